@@ -139,8 +139,8 @@ def split_eval_set(spark, sf):
 
 
 UNIFIED_SPEC = (
-    "user_id,order_id,order_number,order_dow,order_hour_of_day,add_to_cart_order,product_id:i product_name:s "
-    "aisle_id,department_id:i days_since_prior_order:d reordered:i eval_set,Flag:s"
+    "user_id,order_id,order_number,order_dow,order_hour_of_day:i add_to_cart_order,product_id:n product_name:s "
+    "aisle_id,department_id:n days_since_prior_order:d reordered:n eval_set,Flag:s"
 )
 UNIFIED_SQL = """
     SELECT o.*, t.product_id, t.add_to_cart_order, t.reordered, t."Flag", p.product_name, p.aisle_id, p.department_id

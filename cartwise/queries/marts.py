@@ -17,7 +17,7 @@ from cartwise.sources.baskets import load
 
 COUNTS = (
     "reordered_sum,last,prev1,prev2,aisle_products,aisle_reordered,dep_products,dep_reordered,prod_users_unq,"
-    "prod_users_unq_reordered,order_number,days_since_prior_order,order_dow,order_hour_of_day,user_orders,"
+    "prod_users_unq_reordered,order_number,order_dow,order_hour_of_day,user_orders,"
     "user_order_starts_at,user_distinct_products,user_total_products,prod_orders,prod_reorders,"
     "up_orders_since_last_order,up_orders,up_first_order,up_last_order"
 ).split(",")
@@ -80,7 +80,7 @@ def mart_with_embeddings(spark, sf):
 @query(
     "lgbm_features",
     "order_id,user_id,product_id:i eval_set:s label,user_total_orders,user_total_items,total_distinct_items:i "
-    "user_average_days_between_orders,user_average_basket:d order_hour_of_day,days_since_prior_order:i "
+    "user_average_days_between_orders,user_average_basket:d order_hour_of_day:i days_since_prior_order:n "
     "days_since_ratio:d aisle_id,department_id,product_orders,product_reorders:i product_reorder_rate:d UP_orders:i "
     "UP_orders_ratio,UP_average_pos_in_cart,UP_reorder_rate:d UP_orders_since_last,UP_delta_hour_vs_last:i",
     """SELECT l.order_id, l.user_id, l.product_id, l.eval_set, l.reordered AS label,
@@ -112,7 +112,7 @@ def lgbm_features(spark, sf):
     "compact_mart",
     "order_id,user_id,product_id:i eval_set:s up_orders,up_first_order,up_last_order:i up_average_cart_position:d "
     "user_orders,user_period:i user_mean_days_since_prior:d user_total_products:i user_reorder_ratio:d "
-    "user_distinct_products:i user_average_basket:d time_since_last_order:i up_order_rate:d up_orders_since_last_order:i "
+    "user_distinct_products:i user_average_basket:d time_since_last_order:n up_order_rate:d up_orders_since_last_order:i "
     "up_order_rate_since_first_order,up_orders_per_order_since_first:d prod_orders:i "
     "prod_reorder_probability,prod_reorder_times,prod_reorder_ratio:d reordered:i",
     f"""SELECT l.order_id, l.user_id, l.product_id, l.eval_set, u.up_orders, u.up_first_order, u.up_last_order,
@@ -234,8 +234,8 @@ SIZE_SQL = (
 
 @query(
     "basket_size_mart",
-    "user_id:i part:s bask_size_lag,bask_size_lag1,bask_size_lag2:i avg_bask_lag,avg_b:d max_b,min_b:i mode_b:d Segment:s "
-    "num_orders:i reorder_rate,order_dow,order_hour_of_day,days_since_prior_order,rate,lengt:d dep:i",
+    "user_id:i part:s bask_size_lag,bask_size_lag1,bask_size_lag2:n avg_bask_lag,avg_b:d max_b,min_b:i mode_b:d Segment:s "
+    "num_orders:i reorder_rate,order_dow,order_hour_of_day,days_since_prior_order,rate,lengt:d dep:n",
     SIZE_SQL,
 )
 def basket_size_mart(spark, sf):

@@ -273,15 +273,19 @@ def seq_scaled_features(spark, sf):
 
 @query(
     "seq_one_hot",
-    "user_id,product_id,pos,hot:i history:s",
+    "history:s pos,hot,ones:i",
     PADDED_SQL
+    + "SELECT history, pos, hot, count(*) AS ones FROM ("
     + " UNION ALL ".join(
-        f"SELECT user_id, product_id, '{n}' AS history, unnest(range(1, 101)) AS pos, unnest({n}_history) AS hot FROM x"
-        for n in histories.DEPTHS
-    ),
+        f"SELECT '{n}' AS history, unnest(range(1, 101)) AS pos, unnest({n}_history) AS hot, {depth} AS depth FROM x"
+        for n, depth in histories.DEPTHS.items()
+    )
+    + ") WHERE hot >= 0 AND hot < depth GROUP BY history, pos, hot",
 )
 def seq_one_hot(spark, sf):
-    return histories.one_hot_positions(_padded(spark, sf))
+    """One-hot cells of all examples, shown by the number of ones per history, step and value."""
+    cells = histories.one_hot_positions(_padded(spark, sf))
+    return cells.groupBy("history", "pos", "hot").agg(F.count("*").alias("ones"))
 
 
 @query(

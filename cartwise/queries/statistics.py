@@ -202,7 +202,7 @@ def purchase_gaps(spark, sf):
     return gaps.purchase_gaps(b.prior, b.split)
 
 
-GAP_SPEC = "user_id,product_id,last,prev1,prev2:i median,mean,sdev:d"
+GAP_SPEC = "user_id,product_id:i last,prev1,prev2:n median,mean,sdev:d"
 
 
 @query("purchase_gap_stats", GAP_SPEC, "SELECT * FROM c_gap_stats")
@@ -228,7 +228,7 @@ def purchase_gap_stats_target(spark, sf):
 
 @query(
     "gap_arrays",
-    "user_id,product_id,chunk:i periods,all_but_newest:a newest,second_newest,third_newest:i",
+    "user_id,product_id,chunk:i periods,all_but_newest:a newest,second_newest,third_newest:n",
     """SELECT user_id, product_id, 0 AS chunk, periods, periods[:-2] AS all_but_newest, periods[-1] AS newest,
            periods[-2] AS second_newest, periods[-3] AS third_newest
        FROM (SELECT user_id, product_id, list(gap ORDER BY order_number) AS periods FROM c_gaps GROUP BY user_id, product_id)""",

@@ -1,7 +1,8 @@
 """Registry of named queries, each with its output columns and, where SQL can say it, its SQL.
 
-Column kinds: ``i`` integer, ``d`` double (rounded), ``s`` text, ``a`` array shown as text. The
-same declaration shapes the Spark result and the SQL result.
+Column kinds: ``i`` integer, ``n`` integer or NULL (shown as a double, as data frames do), ``d``
+double (rounded), ``s`` text, ``a`` array shown as text. The same declaration shapes the Spark
+result and the SQL result.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ def _spark_column(name: str, kind: str) -> Column:
     c = F.col(name)
     shaped = {
         "i": lambda: c.cast("bigint"),
+        "n": lambda: c.cast("double"),
         "d": lambda: F.round(c.cast("double"), DIGITS),
         "s": lambda: c.cast("string"),
         "a": lambda: F.array_join(c.cast("array<string>"), ","),
@@ -51,6 +53,7 @@ def _sql_column(name: str, kind: str) -> str:
     q = f'"{name}"'
     return {
         "i": f"CAST({q} AS BIGINT) AS {q}",
+        "n": f"CAST({q} AS DOUBLE) AS {q}",
         "d": f"round(CAST({q} AS DOUBLE), {DIGITS}) AS {q}",
         "s": f"CAST({q} AS VARCHAR) AS {q}",
         "a": f"array_to_string({q}, ',') AS {q}",
