@@ -37,8 +37,9 @@ def log_loss_term(label: Column, p: Column) -> Column:
 
 
 def pad(array: Column, width: int) -> Column:
-    """First ``width`` elements, filled up with zeros."""
-    return F.slice(F.concat(array, F.array_repeat(F.lit(0).cast("bigint"), width)), 1, width)
+    """First ``width`` elements of an integer array, filled up with zeros."""
+    missing = F.greatest(F.lit(width) - F.size(array), F.lit(0))
+    return F.concat(F.slice(array, 1, width), F.array_repeat(F.lit(0), missing))
 
 
 def padded_length(array: Column, width: int) -> Column:

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Dimension rows that may be sent to every executor.
-BROADCAST_ROWS = 500_000
+# Values (rows times columns) of a dimension that may be sent to every executor.
+BROADCAST_VALUES = 4_000_000
 # Rows of one key above which its left rows are kept out of the shuffle.
 HOT_ROWS = 5_000_000
 
@@ -28,7 +28,8 @@ def lookup_join(
     many left rows are counted (combined before the shuffle), their few ``dim`` rows are
     broadcast, and the remaining rows take an ordinary shuffle join.
     """
-    broadcast_rows = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
+    if broadcast_rows is None:
+        broadcast_rows = BROADCAST_VALUES // len(dim.columns)
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     keys = [keys] if isinstance(keys, str) else list(keys)
     if dim.limit(broadcast_rows + 1).count() <= broadcast_rows:

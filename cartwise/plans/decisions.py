@@ -22,7 +22,7 @@ def scored(b: Baskets) -> DataFrame:
     prior = F.col("eval_set") == PRIOR
     pairs = (
         b.lines.groupBy("user_id", "product_id")
-        .agg(F.max((~prior).cast("int")).alias("reordered"), *stats.user_product_measures((), when=prior))
+        .agg(F.max((~prior).cast("int")).alias("reordered"), *stats.user_product_measures(when=prior))
         .filter("up_orders > 0")
         .join(stats.user_stat(b.prior_orders).select("user_id", "user_orders"), "user_id")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartwise.operators.scan import ordered_scan, position_block
+from cartwise.plans.stats import with_medians
 
 GAP_COLUMNS = ("last", "prev1", "prev2", "median", "mean", "sdev")
 
@@ -49,19 +50,24 @@ def with_gaps(lines: DataFrame, split: bool = False, prefix: Sequence[str] = (),
 
 
 def gap_measures() -> list[Column]:
-    """Newest three gaps, and the spread of all but the newest."""
+    """Newest three gaps, and mean and deviation of all but the newest."""
     nth, gap = F.col("gap_no"), F.col("gap")
     older = F.when(nth >= 2, gap)
     return [
         F.max(F.when(nth == 1, gap)).alias("last"),
         F.max(F.when(nth == 2, gap)).alias("prev1"),
         F.max(F.when(nth == 3, gap)).alias("prev2"),
-        F.median(older).alias("median"),
         F.avg(older).alias("mean"),
         F.stddev_pop(older).alias("sdev"),
     ]
 
 
+def with_gap_medians(pairs: DataFrame, gapped: DataFrame, prefix: Sequence[str] = ()) -> DataFrame:
+    """Add the median of all gaps but the newest; three such gaps take five lines."""
+    older = gapped.filter(F.col("gap_no") >= 2)
+    return with_medians(pairs, older, [*prefix, "user_id", "product_id"], {"gap": ("mean", "median")}, 5)
+
+
 def purchase_gaps(lines: DataFrame, split: bool = False) -> DataFrame:
     return with_gaps(lines, split).filter(F.col("gap").isNotNull())
 
@@ -71,4 +77,5 @@ def purchase_gap_stats(lines: DataFrame, split: bool = False, prefix: Sequence[s
 
     Pass prior lines, or all lines to let the target order close the newest gap.
     """
-    return with_gaps(lines, split, prefix).groupBy(*prefix, "user_id", "product_id").agg(*gap_measures())
+    gapped = with_gaps(lines, split, prefix)
+    return with_gap_medians(gapped.groupBy(*prefix, "user_id", "product_id").agg(*gap_measures()), gapped, prefix)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,23 +44,28 @@ FEATURES = [
 CATEGORIES = ["product_id", "aisle_id", "department_id"]
 
 
-def pair_mart(b: Baskets, medians: bool = False) -> DataFrame:
-    """History measures, gap statistics and label of every pair, from one pass over the lines.
+def pair_mart(b: Baskets, spread: Sequence[str], medians: bool = False) -> DataFrame:
+    """History measures, gap statistics and label of every pair.
 
     Scan and aggregate share the (user, product) partitioning, so the lines move once. Lines of
     the target order only set the label.
     """
     prior = F.col("eval_set") == PRIOR
-    lines = gaps.with_gaps(stats.with_cart_features(b.lines), b.split, seen=prior)
-    return (
-        lines.groupBy("user_id", "product_id")
+    gapped = gaps.with_gaps(stats.with_cart_features(b.lines), b.split, seen=prior)
+    pairs = (
+        gapped.groupBy("user_id", "product_id")
         .agg(
             F.max((~prior).cast("int")).alias("reordered"),
-            *stats.user_product_measures(when=prior, medians=medians),
+            *stats.user_product_measures(spread, when=prior),
             *gaps.gap_measures(),
         )
         .filter("up_orders > 0")
     )
+    pairs = gaps.with_gap_medians(pairs, gapped)
+    if medians:
+        columns = {c: stats.SPREAD[c] for c in spread}
+        pairs = stats.with_medians(pairs, b.prior, ["user_id", "product_id"], columns)
+    return pairs
 
 
 def with_user_totals(pairs: DataFrame) -> DataFrame:
@@ -85,7 +92,7 @@ def with_user_totals(pairs: DataFrame) -> DataFrame:
 def training_mart(b: Baskets) -> DataFrame:
     """All features per (target order, candidate product) with the label ``reordered``."""
     pairs = lookup_join(
-        pair_mart(b), b.products.select("product_id", "aisle_id", "department_id"), "product_id"
+        pair_mart(b, tuple(stats.SPREAD)), b.products.select("product_id", "aisle_id", "department_id"), "product_id"
     )
     pairs = materialize(pairs)
     products = materialize(stats.product_stat(pairs))
@@ -195,7 +202,7 @@ def compact_mart(b: Baskets) -> DataFrame:
         b.lines.groupBy("user_id", "product_id")
         .agg(
             F.max((~prior).cast("int")).alias("reordered"),
-            *stats.user_product_measures(spread=(), when=prior),
+            *stats.user_product_measures(when=prior),
             F.sum(later.cast("int")).alias("later_lines"),
         )
         .filter("up_orders > 0")
@@ -304,17 +311,7 @@ def snapshot_mart(b: Baskets) -> DataFrame:
 
     Missing numbers become 999; each row carries its customer rank and the holdout part.
     """
-    prior = F.col("eval_set") == PRIOR
-    lines = gaps.with_gaps(b.lines, b.split, seen=prior)
-    pairs = materialize(
-        lines.groupBy("user_id", "product_id")
-        .agg(
-            F.max((~prior).cast("int")).alias("reordered"),
-            *stats.user_product_measures(spread=("days_since_prior_order", "order_dow"), when=prior),
-            *gaps.gap_measures(),
-        )
-        .filter("up_orders > 0")
-    )
+    pairs = materialize(pair_mart(b, ("days_since_prior_order", "order_dow"), medians=True))
     products = materialize(stats.product_stat(pairs))
     users = stats.user_basket_stat(pairs, stats.user_stat(b.prior_orders))
     mart = lookup_join(stats.with_rates(pairs.join(users, "user_id")), products, "product_id")

@@ -92,8 +92,12 @@ def cross_validate(mart: DataFrame, folds: int = 5, depths: Sequence[int] = (2,
 def product_embeddings(
     baskets: DataFrame, size: int = 100, window: int = 5, min_count: int = 2, rounds: int = 1
 ) -> DataFrame:
-    """Skip-gram vectors of products, with baskets (``products``: ordered id texts) as sentences."""
+    """Skip-gram vectors of products, with baskets (``products``: ordered id texts) as sentences.
+
+    The trainer works on as many partitions as the session has slots; its own default is one.
+    """
     model = Word2Vec(
+        numPartitions=baskets.sparkSession.sparkContext.defaultParallelism,
         inputCol="products",
         outputCol="unused",
         vectorSize=size,

@@ -6,7 +6,7 @@ Orders and purchases are ranked newest first. Purchases of one pair always carry
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartwise.functions.columns import ratio
@@ -14,7 +14,7 @@ from cartwise.operators.joins import lookup_join
 from cartwise.operators.scan import ordered_scan, position_block
 from cartwise.plans.stats import count_if
 from cartwise.session import materialize
-from cartwise.sources.baskets import Baskets
+from cartwise.sources.baskets import PRIOR, Baskets
 
 
 def newest_first(rows: DataFrame, keys: list[str], out: str, split: bool = False) -> DataFrame:
@@ -53,20 +53,33 @@ def with_order_rank(lines: DataFrame, split: bool = False) -> DataFrame:
     return lines.join(ranks, "order_id")
 
 
-def pair_facts(b: Baskets) -> DataFrame:
-    """Additive facts per (user, product) from which all recency marts follow."""
+def pair_facts(b: Baskets, orders: DataFrame) -> DataFrame:
+    """Additive facts per (user, product) from which all recency marts follow, and the label.
+
+    ``orders`` comes from :func:`ranked_orders` over the prior lines.
+    """
+    prior = F.col("eval_set") == PRIOR
+
+    def seen(c: Column) -> Column:
+        return F.when(prior, c)
+
     days = F.col("days_since_prior_order")
-    facts = b.prior.groupBy("user_id", "product_id").agg(
-        F.count("*").alias("n"),
-        F.sum("reordered").alias("again"),
-        F.min("order_number").alias("first"),
-        F.max("order_number").alias("newest"),
-        F.sum("add_to_cart_order").alias("position"),
-        F.sum(days).alias("days"),
-        F.count(days).alias("days_known"),
-        count_if(F.col("order_number") > 1).alias("later"),
+    facts = (
+        b.lines.groupBy("user_id", "product_id")
+        .agg(
+            F.count(seen(F.lit(1))).alias("n"),
+            F.sum(seen(F.col("reordered"))).alias("again"),
+            F.min(seen(F.col("order_number"))).alias("first"),
+            F.max(seen(F.col("order_number"))).alias("newest"),
+            F.sum(seen(F.col("add_to_cart_order"))).alias("position"),
+            F.sum(seen(days)).alias("days"),
+            F.count(seen(days)).alias("days_known"),
+            count_if(prior & (F.col("order_number") > 1)).alias("later"),
+            F.max((~prior).cast("int")).alias("reordered"),
+        )
+        .filter("n > 0")
     )
-    ranks = ranked_orders(b.prior, b.split).select(
+    ranks = orders.select(
         "user_id", F.col("order_number").alias("newest"), F.col("rank_order").alias("latest")
     )
     return facts.join(ranks, ["user_id", "newest"])
@@ -131,20 +144,19 @@ def recency_mart(b: Baskets) -> DataFrame:
     The pair facts are stored once; every other part is an aggregate of them. Joins on user meet
     at most one catalogue of rows per user.
     """
+    orders = materialize(ranked_orders(b.prior, b.split))
     facts = lookup_join(
-        pair_facts(b), b.products.select("product_id", "aisle_id", "department_id"), "product_id"
+        pair_facts(b, orders), b.products.select("product_id", "aisle_id", "department_id"), "product_id"
     )
     facts = materialize(facts)
     products = materialize(product_recency(facts))
-    users = user_recency(facts, ranked_orders(b.prior, b.split))
+    users = user_recency(facts, orders)
     aisles = group_recency(facts, ["user_id", "aisle_id"], "_a")
     departments = group_recency(facts, ["user_id", "department_id"], "_d")
-    pair = group_recency(facts, ["user_id", "product_id", "aisle_id", "department_id"])
-    truth = b.target.select("user_id", "product_id", F.lit(1).alias("reordered"))
+    pair = group_recency(facts, ["user_id", "product_id", "aisle_id", "department_id", "reordered"])
     flags = b.target_orders.select("user_id", F.col("eval_set").alias("flag"))
     mart = (
-        pair.join(truth, ["user_id", "product_id"], "left")
-        .join(aisles, ["user_id", "aisle_id"])
+        pair.join(aisles, ["user_id", "aisle_id"])
         .join(departments, ["user_id", "department_id"])
         .join(users, "user_id")
         .join(flags, "user_id")

@@ -122,39 +122,50 @@ SPREAD = {
 }
 
 
-def user_product_measures(
-    spread: Sequence[str] = tuple(SPREAD), when: Column | None = None, medians: bool = True
-) -> list[Column]:
+def user_product_measures(spread: Sequence[str] = (), when: Column | None = None) -> list[Column]:
     """Aggregates of a user-product group, optionally over the lines where ``when`` holds."""
 
     def seen(c: Column) -> Column:
         return c if when is None else F.when(when, c)
 
     orders, again = F.count(seen(F.lit(1))), F.sum(seen(F.col("reordered")))
-    out = [
+    return [
         orders.alias("up_orders"),
         F.min(seen(F.col("order_number"))).alias("up_first_order"),
         F.max(seen(F.col("order_number"))).alias("up_last_order"),
         again.alias("reordered_sum"),
         ratio(again + 1, orders).alias("user_product_reordered_ratio"),
         F.sum(seen(F.col("add_to_cart_order"))).alias("position_sum"),
+        *[F.avg(seen(F.col(column))).alias(SPREAD[column][0]) for column in spread],
     ]
-    for column in spread:
-        mean, median = SPREAD[column]
-        out.append(F.avg(seen(F.col(column))).alias(mean))
-        if medians:
-            out.append(F.median(seen(F.col(column))).alias(median))
-    return out
 
 
-def user_product_stat(prior: DataFrame, prefix: Sequence[str] = (), spread: Sequence[str] = tuple(SPREAD)) -> DataFrame:
-    """All measures per (user, product).
+def with_medians(
+    means: DataFrame, lines: DataFrame, keys: Sequence[str], columns: dict[str, tuple[str, str]], lines_needed: int = 3
+) -> DataFrame:
+    """Add exact medians to ``means``; ``columns`` maps a line column to its (mean, median) names.
 
-    Exact medians keep one counter per distinct value, and dows, hours, gaps in days and cart
-    positions have few, so even a pair with very many lines combines before the shuffle.
+    Up to two values their median is their mean, so only pairs with ``lines_needed`` lines or more
+    enter the median aggregate. It keeps a counter per distinct value: days, hours and cart
+    positions have few, hence even a pair with very many lines combines before the shuffle.
     """
+    medians = (
+        lines.filter(F.col("pair_lines") >= lines_needed)
+        .groupBy(*keys)
+        .agg(*[F.median(column).alias(f"__{median}") for column, (_, median) in columns.items()])
+    )
+    joined = means.join(medians, list(keys), "left")
+    return joined.withColumns(
+        {median: F.coalesce(f"__{median}", mean) for mean, median in columns.values()}
+    ).drop(*[f"__{median}" for _, median in columns.values()])
+
+
+def user_product_stat(prior: DataFrame, prefix: Sequence[str] = (), spread: Sequence[str] = tuple(SPREAD)) -> DataFrame:
+    """All measures per (user, product)."""
     lines = with_cart_features(prior) if "add_to_cart_order_relative" in spread else prior
-    return lines.groupBy(*prefix, "user_id", "product_id").agg(*user_product_measures(spread))
+    keys = [*prefix, "user_id", "product_id"]
+    means = lines.groupBy(*keys).agg(*user_product_measures(spread))
+    return with_medians(means, lines, keys, {c: SPREAD[c] for c in spread}) if spread else means
 
 
 def with_rates(up: DataFrame) -> DataFrame:

@@ -368,7 +368,7 @@ RANKED_LINES = """
 def _facts(spark, sf):
     b = load(spark, sf)
     dims = b.products.select("product_id", "aisle_id", "department_id")
-    return lookup_join(recency.pair_facts(b), dims, "product_id")
+    return lookup_join(recency.pair_facts(b, recency.ranked_orders(b.prior, b.split)), dims, "product_id")
 
 
 @query(
@@ -414,7 +414,8 @@ USER_RECENCY_SQL = f"""
 @query("user_recency", "user_id:i " + USER_RECENCY_SPEC, USER_RECENCY_SQL)
 def user_recency(spark, sf):
     b = load(spark, sf)
-    return recency.user_recency(recency.pair_facts(b), recency.ranked_orders(b.prior, b.split))
+    orders = recency.ranked_orders(b.prior, b.split)
+    return recency.user_recency(recency.pair_facts(b, orders), orders)
 
 
 PRODUCT_RECENCY_SPEC = "pl,prod_reorders,prod_last_orders,prod_secondlast_orders:i pror,pur,ror_prob:d"
@@ -429,4 +430,4 @@ PRODUCT_RECENCY_SQL = f"""
 
 @query("product_recency", "product_id:i " + PRODUCT_RECENCY_SPEC, PRODUCT_RECENCY_SQL)
 def product_recency(spark, sf):
-    return recency.product_recency(recency.pair_facts(load(spark, sf)))
+    return recency.product_recency(_facts(spark, sf))

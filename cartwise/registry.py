@@ -21,6 +21,9 @@ DIGITS = 6
 
 @dataclass(frozen=True)
 class Entry:
+    """``plan`` gives the frame itself, ``build`` the frame in the declared, comparable shape."""
+
+    plan: Build
     build: Build
     sql: str | None
 
@@ -73,7 +76,7 @@ def query(name: str, spec: str, sql: str | None = None) -> Callable[[Build], Bui
             text = with_views(sql, picked)
         if name in ENTRIES:
             raise ValueError(f"query {name} is registered twice")
-        ENTRIES[name] = Entry(shaped, text)
+        ENTRIES[name] = Entry(build, shaped, text)
         return build
 
     return add

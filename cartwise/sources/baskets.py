@@ -7,30 +7,42 @@
 * ``lines``: one row per (order, product) with the order's attributes.
 
 ``load`` derives them from a retail star schema (``orders``, ``lineitem``, ``part``), a product
-being a (brand, type) pair, an aisle a brand and a department a type.
+being a (brand, type) pair, an aisle a brand and a department a type. Orders and lines are written
+once per session to the shared folder when first asked for: numbering histories, folding repeats
+and flagging reorders move every line three times, and each mart would otherwise do that again.
+Later reads are pruned and filtered like those of any Parquet table.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartwise.operators.joins import lookup_join
 from cartwise.operators.scan import BLOCK_IDS, GROUP_ROWS, dense_ids, ordered_scan, position_block
-from cartwise.session import materialize
+from cartwise.session import materialize, scratch_path
+from cartwise.sources.files import roundtrip
 
 PRIOR, TRAIN, TEST = "prior", "train", "test"
 
 
-@dataclass(frozen=True)
 class Baskets:
-    products: DataFrame
-    orders: DataFrame
-    lines: DataFrame
-    # True where one user may have more orders than a single task should hold.
-    split: bool = False
+    """``longest`` is the order count of the busiest user; plans cut histories by it."""
+
+    def __init__(self, products: DataFrame, orders: DataFrame | None, lines: DataFrame | None, longest: int):
+        self.products = products
+        self.longest = longest
+        if orders is not None:
+            self.orders = orders
+        if lines is not None:
+            self.lines = lines
+
+    @property
+    def split(self) -> bool:
+        """True where one user may have more orders than a single task should hold."""
+        return self.longest > GROUP_ROWS
 
     @property
     def prior_orders(self) -> DataFrame:
@@ -85,25 +97,33 @@ def number_orders(raw: DataFrame, split: bool = False) -> DataFrame:
     )
 
 
+# Catalogue rows that may be numbered in one task.
+SMALL_CATALOGUE = 100_000
+
+
 def catalogue(part: DataFrame) -> DataFrame:
-    """Distinct (brand, type) pairs with product, aisle and department ids."""
+    """Distinct (brand, type) pairs with product, aisle and department ids.
+
+    Ids are dense ranks. A counted small catalogue is ranked in one task, a large one by range
+    partitions.
+    """
     pairs = part.groupBy("p_brand", "p_type").agg(F.min("p_name").alias("product_name"))
     pairs = materialize(pairs)
-    numbered = dense_ids(pairs, ["p_brand", "p_type"], "product_id")
-    aisles = dense_ids(pairs, ["p_brand"], "aisle_id")
-    departments = dense_ids(pairs, ["p_type"], "department_id")
-    full = lookup_join(pairs.join(numbered, ["p_brand", "p_type"]), aisles, "p_brand")
-    full = lookup_join(full, departments, "p_type")
-    return materialize(
-        full.select(
-            "product_id",
-            "product_name",
-            "aisle_id",
-            "department_id",
-            F.col("p_brand").alias("aisle"),
-            F.col("p_type").alias("department"),
+    if pairs.count() <= SMALL_CATALOGUE:
+        numbered = pairs.withColumns(
+            {
+                "product_id": F.dense_rank().over(Window.orderBy("p_brand", "p_type")),
+                "aisle_id": F.dense_rank().over(Window.orderBy("p_brand")),
+                "department_id": F.dense_rank().over(Window.orderBy("p_type")),
+            }
         )
-    )
+    else:
+        numbered = pairs.join(dense_ids(pairs, ["p_brand", "p_type"], "product_id"), ["p_brand", "p_type"])
+        numbered = lookup_join(numbered, dense_ids(pairs, ["p_brand"], "aisle_id"), "p_brand")
+        numbered = lookup_join(numbered, dense_ids(pairs, ["p_type"], "department_id"), "p_type")
+    ids = [F.col(c).cast("bigint").alias(c) for c in ("product_id", "aisle_id", "department_id")]
+    named = [F.col("p_brand").alias("aisle"), F.col("p_type").alias("department")]
+    return materialize(numbered.select(*ids, "product_name", *named))
 
 
 def order_lines(keyed: DataFrame, orders: DataFrame, split: bool = False) -> DataFrame:
@@ -128,7 +148,7 @@ def order_lines(keyed: DataFrame, orders: DataFrame, split: bool = False) -> Dat
         ["user_id", "product_id"],
         ["order_number"],
         [position_block("order_number")],
-        whole={"first_order": ("min", F.col("order_number"))},
+        whole={"first_order": ("min", F.col("order_number")), "pair_lines": ("sum", F.lit(1))},
         split=split,
     )
     return flagged.withColumn(
@@ -142,43 +162,52 @@ def longest_history(raw: DataFrame) -> int:
     return per_user.agg(F.max("n")).first()[0] or 0
 
 
-_LOADED: dict[tuple, Baskets] = {}
+class StoredBaskets(Baskets):
+    """Baskets derived from star-schema tables and kept in the shared folder."""
 
+    def __init__(self, spark: SparkSession, raw_orders: DataFrame, lineitem: DataFrame, part: DataFrame):
+        super().__init__(catalogue(part), None, None, longest_history(raw_orders))
+        self._spark, self._raw, self._lineitem, self._part = spark, raw_orders, lineitem, part
 
-def load(spark: SparkSession, sf_dir: str) -> Baskets:
-    """Basket frames over the tables of ``sf_dir``.
+    @cached_property
+    def orders(self) -> DataFrame:
+        return roundtrip(number_orders(self._raw, self.split), scratch_path(self._spark, "orders"))
 
-    The product catalogue and the history length are worked out once per session and folder;
-    orders and lines stay lazy and are planned anew, pruned, in every query.
-    """
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    key = (spark.sparkContext.applicationId, sf_dir, tuple(orders.inputFiles()))
-    if key not in _LOADED:
-        raw = orders.select(
-            F.col("o_orderkey").alias("order_id"),
-            F.col("o_custkey").alias("user_id"),
-            F.col("o_orderdate").cast("date").alias("order_date"),
-        )
-        part = spark.read.parquet(f"{sf_dir}/part.parquet")
-        lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-        split = longest_history(raw) > GROUP_ROWS
-        products = catalogue(part)
-        ids = products.select(
+    @cached_property
+    def lines(self) -> DataFrame:
+        ids = self.products.select(
             F.col("aisle").alias("p_brand"), F.col("department").alias("p_type"), "product_id"
         )
-        part_ids = lookup_join(part.select("p_partkey", "p_brand", "p_type"), ids, ["p_brand", "p_type"])
-        part_ids = part_ids.select(F.col("p_partkey").alias("part_key"), "product_id")
+        parts = lookup_join(self._part.select("p_partkey", "p_brand", "p_type"), ids, ["p_brand", "p_type"])
         keyed = lookup_join(
-            lineitem.select(
+            self._lineitem.select(
                 F.col("l_orderkey").alias("order_id"),
                 F.col("l_partkey").alias("part_key"),
                 F.col("l_linenumber").alias("line"),
                 F.col("l_quantity").alias("units"),
                 F.col("l_extendedprice").alias("dollars"),
             ),
-            part_ids,
+            parts.select(F.col("p_partkey").alias("part_key"), "product_id"),
             "part_key",
-        ).drop("part_key")
-        numbered = number_orders(raw, split)
-        _LOADED[key] = Baskets(products, numbered, order_lines(keyed, numbered, split), split)
+        )
+        lines = order_lines(keyed.drop("part_key"), self.orders, self.split)
+        return roundtrip(lines, scratch_path(self._spark, "lines"))
+
+
+_LOADED: dict[tuple, StoredBaskets] = {}
+
+
+def load(spark: SparkSession, sf_dir: str) -> Baskets:
+    """Basket frames over the tables of ``sf_dir``, shared by all queries of a session."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    key = (spark.sparkContext.applicationId, sf_dir, tuple(orders.inputFiles()))
+    if key not in _LOADED:
+        raw = orders.select(
+            F.col("o_orderkey").alias("order_id"),
+            F.col("o_custkey").alias("user_id"),
+            F.col("o_orderdate").cast("date").alias("order_date"),
+        )
+        _LOADED[key] = StoredBaskets(
+            spark, raw, spark.read.parquet(f"{sf_dir}/lineitem.parquet"), spark.read.parquet(f"{sf_dir}/part.parquet")
+        )
     return _LOADED[key]
