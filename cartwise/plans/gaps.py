@@ -62,9 +62,14 @@ def gap_measures() -> list[Column]:
     ]
 
 
-def with_gap_medians(pairs: DataFrame, gapped: DataFrame, prefix: Sequence[str] = ()) -> DataFrame:
-    """Add the median of all gaps but the newest; three such gaps take five lines."""
-    older = gapped.filter(F.col("gap_no") >= 2)
+def with_gap_medians(
+    pairs: DataFrame, lines: DataFrame, split: bool = False, prefix: Sequence[str] = (), seen: Column | None = None
+) -> DataFrame:
+    """Add the median of all gaps but the newest.
+
+    Three such gaps take five lines, so only pairs with that many are scanned a second time.
+    """
+    older = with_gaps(lines.filter("pair_lines >= 5"), split, prefix, seen).filter(F.col("gap_no") >= 2)
     return with_medians(pairs, older, [*prefix, "user_id", "product_id"], {"gap": ("mean", "median")}, 5)
 
 
@@ -77,5 +82,5 @@ def purchase_gap_stats(lines: DataFrame, split: bool = False, prefix: Sequence[s
 
     Pass prior lines, or all lines to let the target order close the newest gap.
     """
-    gapped = with_gaps(lines, split, prefix)
-    return with_gap_medians(gapped.groupBy(*prefix, "user_id", "product_id").agg(*gap_measures()), gapped, prefix)
+    pairs = with_gaps(lines, split, prefix).groupBy(*prefix, "user_id", "product_id").agg(*gap_measures())
+    return with_gap_medians(pairs, lines, split, prefix)

@@ -61,7 +61,7 @@ def pair_mart(b: Baskets, spread: Sequence[str], medians: bool = False) -> DataF
         )
         .filter("up_orders > 0")
     )
-    pairs = gaps.with_gap_medians(pairs, gapped)
+    pairs = gaps.with_gap_medians(pairs, b.lines, b.split, seen=prior)
     if medians:
         columns = {c: stats.SPREAD[c] for c in spread}
         pairs = stats.with_medians(pairs, b.prior, ["user_id", "product_id"], columns)

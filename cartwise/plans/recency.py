@@ -6,7 +6,7 @@ Orders and purchases are ranked newest first. Purchases of one pair always carry
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from cartwise.functions.columns import ratio
@@ -85,43 +85,81 @@ def pair_facts(b: Baskets, orders: DataFrame) -> DataFrame:
     return facts.join(ranks, ["user_id", "newest"])
 
 
-def _group_columns(suffix: str) -> list:
-    """Ten recency measures of a group of pairs."""
-    n = F.sum("n")
-    return [
-        n.alias(f"upor{suffix}"),
-        F.sum("again").alias(f"upro{suffix}"),
-        F.min("latest").alias(f"latest_or{suffix}"),
-        F.max("n").alias(f"max_prod_ord{suffix}"),
-        ratio(F.sum(F.col("n") * (F.col("n") + 1)), 2 * n).alias(f"avg_prod_ord{suffix}"),
-        F.min("first").alias(f"up_first_order{suffix}"),
-        F.max("newest").alias(f"up_last_order{suffix}"),
-        ratio(F.sum("position"), n).alias(f"up_average_cart_position{suffix}"),
-        n.alias(f"up_order_rate{suffix}"),
-        ratio(F.sum("days"), F.sum("days_known")).alias(f"upaog{suffix}"),
-    ]
+def _group_columns(suffix: str, window: WindowSpec | None = None) -> dict[str, Column]:
+    """Ten recency measures of a group of pairs, as aggregates or over a window."""
 
+    def over(aggregate: Column) -> Column:
+        return aggregate if window is None else aggregate.over(window)
 
-def group_recency(facts: DataFrame, keys: list[str], suffix: str = "") -> DataFrame:
-    return facts.groupBy(*keys).agg(*_group_columns(suffix))
+    n = over(F.sum("n"))
+    return {
+        f"upor{suffix}": n,
+        f"upro{suffix}": over(F.sum("again")),
+        f"latest_or{suffix}": over(F.min("latest")),
+        f"max_prod_ord{suffix}": over(F.max("n")),
+        f"avg_prod_ord{suffix}": ratio(over(F.sum(F.col("n") * (F.col("n") + 1))), 2 * n),
+        f"up_first_order{suffix}": over(F.min("first")),
+        f"up_last_order{suffix}": over(F.max("newest")),
+        f"up_average_cart_position{suffix}": ratio(over(F.sum("position")), n),
+        f"up_order_rate{suffix}": n,
+        f"upaog{suffix}": ratio(over(F.sum("days")), over(F.sum("days_known"))),
+    }
+
+
+def _user_columns(window: WindowSpec | None = None) -> dict[str, Column]:
+    def over(aggregate: Column) -> Column:
+        return aggregate if window is None else aggregate.over(window)
+
+    n, baskets = over(F.sum("n")), over(F.max("newest"))
+    return {
+        "uror": ratio(over(F.sum("again")), over(F.sum("later"))),
+        "ul": n,
+        "udl": over(F.count("*")),
+        "num_baskets": baskets,
+        "prod_ro_density": ratio(over(F.sum(F.col("n") * (F.col("n") + 1))), 2 * n),
+        "avg_basket_size": ratio(n, baskets),
+        "aog": ratio(over(F.sum("days")), over(F.sum("days_known"))),
+    }
+
+
+def _named(columns: dict[str, Column]) -> list[Column]:
+    return [c.alias(name) for name, c in columns.items()]
+
+
+def pair_recency(facts: DataFrame) -> DataFrame:
+    """Recency measures per (user, product); facts have one row each, so nothing is grouped."""
+    n = F.col("n")
+    measures = {
+        "upor": n,
+        "upro": F.col("again"),
+        "latest_or": F.col("latest"),
+        "max_prod_ord": n,
+        "avg_prod_ord": (n + 1) / 2,
+        "up_first_order": F.col("first"),
+        "up_last_order": F.col("newest"),
+        "up_average_cart_position": ratio("position", "n"),
+        "up_order_rate": n,
+        "upaog": ratio("days", "days_known"),
+    }
+    return facts.withColumns(measures)
+
+
+def group_recency(facts: DataFrame, keys: list[str], suffix: str) -> DataFrame:
+    return facts.groupBy(*keys).agg(*_named(_group_columns(suffix)))
+
+
+def basket_lags(orders: DataFrame) -> DataFrame:
+    """Sizes of the two newest baskets per user, from :func:`ranked_orders`."""
+
+    def size(rank: int) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("rank_order") == rank, F.col("bask_size"))), F.lit(0))
+
+    return orders.groupBy("user_id").agg(size(1).alias("basket_size_lag"), size(2).alias("basket_size_lag1"))
 
 
 def user_recency(facts: DataFrame, orders: DataFrame) -> DataFrame:
     """``facts`` from :func:`pair_facts`, ``orders`` from :func:`ranked_orders`."""
-    n = F.sum("n")
-    users = facts.groupBy("user_id").agg(
-        ratio(F.sum("again"), F.sum("later")).alias("uror"),
-        n.alias("ul"),
-        F.count("*").alias("udl"),
-        F.max("newest").alias("num_baskets"),
-        ratio(F.sum(F.col("n") * (F.col("n") + 1)), 2 * n).alias("prod_ro_density"),
-        ratio(n, F.max("newest")).alias("avg_basket_size"),
-        ratio(F.sum("days"), F.sum("days_known")).alias("aog"),
-    )
-    size = F.coalesce(F.sum(F.when(F.col("rank_order") == 1, F.col("bask_size"))), F.lit(0))
-    size1 = F.coalesce(F.sum(F.when(F.col("rank_order") == 2, F.col("bask_size"))), F.lit(0))
-    lags = orders.groupBy("user_id").agg(size.alias("basket_size_lag"), size1.alias("basket_size_lag1"))
-    return users.join(lags, "user_id")
+    return facts.groupBy("user_id").agg(*_named(_user_columns())).join(basket_lags(orders), "user_id")
 
 
 def product_recency(facts: DataFrame) -> DataFrame:
@@ -141,24 +179,20 @@ def product_recency(facts: DataFrame) -> DataFrame:
 def recency_mart(b: Baskets) -> DataFrame:
     """All recency features per (user, product) with the label of the target order.
 
-    The pair facts are stored once; every other part is an aggregate of them. Joins on user meet
-    at most one catalogue of rows per user.
+    The pair facts are stored once. A user has at most one fact per product, so one shuffle by
+    user serves the windows over the user, the user's aisles and the user's departments.
     """
-    orders = materialize(ranked_orders(b.prior, b.split))
-    facts = lookup_join(
-        pair_facts(b, orders), b.products.select("product_id", "aisle_id", "department_id"), "product_id"
-    )
-    facts = materialize(facts)
-    products = materialize(product_recency(facts))
-    users = user_recency(facts, orders)
-    aisles = group_recency(facts, ["user_id", "aisle_id"], "_a")
-    departments = group_recency(facts, ["user_id", "department_id"], "_d")
-    pair = group_recency(facts, ["user_id", "product_id", "aisle_id", "department_id", "reordered"])
+    orders = materialize(ranked_orders(b.prior, b.split), "ranked")
+    dims = b.products.select("product_id", "aisle_id", "department_id")
+    facts = materialize(lookup_join(pair_facts(b, orders), dims, "product_id"), "facts")
+    products = materialize(product_recency(facts), "products")
     flags = b.target_orders.select("user_id", F.col("eval_set").alias("flag"))
     mart = (
-        pair.join(aisles, ["user_id", "aisle_id"])
-        .join(departments, ["user_id", "department_id"])
-        .join(users, "user_id")
+        pair_recency(facts.repartition("user_id"))
+        .withColumns(_user_columns(Window.partitionBy("user_id")))
+        .withColumns(_group_columns("_a", Window.partitionBy("user_id", "aisle_id")))
+        .withColumns(_group_columns("_d", Window.partitionBy("user_id", "department_id")))
+        .join(basket_lags(orders), "user_id")
         .join(flags, "user_id")
     )
     mart = lookup_join(mart, products, "product_id")

@@ -82,14 +82,20 @@ def user_stat(prior_orders: DataFrame, prefix: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def user_basket_stat(up: DataFrame, users: DataFrame, prefix: Sequence[str] = ()) -> DataFrame:
-    """Basket totals per user, from ``pairs`` rows and ``user_stat``."""
+def user_basket_stat(
+    up: DataFrame, users: DataFrame, prefix: Sequence[str] = (), users_prefix: Sequence[str] | None = None
+) -> DataFrame:
+    """Basket totals per user, from ``pairs`` rows and ``user_stat``.
+
+    ``users_prefix`` names the leading keys of ``users`` where they differ from ``prefix``.
+    """
+    on = [*(prefix if users_prefix is None else users_prefix), "user_id"]
     totals = up.groupBy(*prefix, "user_id").agg(
         F.sum("up_orders").alias("user_total_products"),
         ratio(F.sum("reordered_sum"), F.sum("up_orders")).alias("user_reorder_ratio"),
         F.count("*").alias("user_distinct_products"),
     )
-    return totals.join(users, [*prefix, "user_id"]).withColumn(
+    return totals.join(users, on).withColumn(
         "user_average_basket", ratio("user_total_products", "user_orders")
     )
 

@@ -50,7 +50,9 @@ def _sentences(spark, sf):
 
 @query("product_embeddings", "product_id,width:i norm:d")
 def product_embeddings(spark, sf):
-    vectors = models.product_embeddings(_sentences(spark, sf))
+    sentences = materialize(_sentences(spark, sf))
+    longest = sentences.agg(F.max(F.size("products"))).first()[0]
+    vectors = models.product_embeddings(sentences, window=longest)
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda total, v: total + v * v))
     return vectors.select("product_id", F.size("embedding").alias("width"), norm.alias("norm"))
 

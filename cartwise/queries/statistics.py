@@ -377,7 +377,7 @@ def _facts(spark, sf):
     recency_sql("user_id, product_id", ""),
 )
 def user_product_recency(spark, sf):
-    return recency.group_recency(_facts(spark, sf), ["user_id", "product_id"])
+    return recency.pair_recency(_facts(spark, sf))
 
 
 @query(

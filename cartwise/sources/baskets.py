@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 
 from cartwise.operators.joins import lookup_join
 from cartwise.operators.scan import BLOCK_IDS, GROUP_ROWS, dense_ids, ordered_scan, position_block
-from cartwise.session import materialize, scratch_path
-from cartwise.sources.files import roundtrip
+from cartwise.session import materialize
 
 PRIOR, TRAIN, TEST = "prior", "train", "test"
 
@@ -165,13 +164,13 @@ def longest_history(raw: DataFrame) -> int:
 class StoredBaskets(Baskets):
     """Baskets derived from star-schema tables and kept in the shared folder."""
 
-    def __init__(self, spark: SparkSession, raw_orders: DataFrame, lineitem: DataFrame, part: DataFrame):
+    def __init__(self, raw_orders: DataFrame, lineitem: DataFrame, part: DataFrame):
         super().__init__(catalogue(part), None, None, longest_history(raw_orders))
-        self._spark, self._raw, self._lineitem, self._part = spark, raw_orders, lineitem, part
+        self._raw, self._lineitem, self._part = raw_orders, lineitem, part
 
     @cached_property
     def orders(self) -> DataFrame:
-        return roundtrip(number_orders(self._raw, self.split), scratch_path(self._spark, "orders"))
+        return materialize(number_orders(self._raw, self.split), "orders")
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -190,24 +189,24 @@ class StoredBaskets(Baskets):
             parts.select(F.col("p_partkey").alias("part_key"), "product_id"),
             "part_key",
         )
-        lines = order_lines(keyed.drop("part_key"), self.orders, self.split)
-        return roundtrip(lines, scratch_path(self._spark, "lines"))
+        return materialize(order_lines(keyed.drop("part_key"), self.orders, self.split), "lines")
 
 
-_LOADED: dict[tuple, StoredBaskets] = {}
+_LOADED: dict[tuple[str, str], StoredBaskets] = {}
 
 
-def load(spark: SparkSession, sf_dir: str) -> Baskets:
-    """Basket frames over the tables of ``sf_dir``, shared by all queries of a session."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    key = (spark.sparkContext.applicationId, sf_dir, tuple(orders.inputFiles()))
-    if key not in _LOADED:
-        raw = orders.select(
+def load(spark: SparkSession, sf_dir: str, refresh: bool = False) -> Baskets:
+    """Basket frames over the tables of ``sf_dir``, shared by all queries of a session.
+
+    ``refresh`` derives them anew after the tables have changed.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if refresh or key not in _LOADED:
+        raw = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
             F.col("o_orderkey").alias("order_id"),
             F.col("o_custkey").alias("user_id"),
             F.col("o_orderdate").cast("date").alias("order_date"),
         )
-        _LOADED[key] = StoredBaskets(
-            spark, raw, spark.read.parquet(f"{sf_dir}/lineitem.parquet"), spark.read.parquet(f"{sf_dir}/part.parquet")
-        )
+        lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+        _LOADED[key] = StoredBaskets(raw, lineitem, spark.read.parquet(f"{sf_dir}/part.parquet"))
     return _LOADED[key]
