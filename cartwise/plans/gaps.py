@@ -25,8 +25,18 @@ def order_timeline(orders: DataFrame, split: bool = False) -> DataFrame:
     )
 
 
-def with_gaps(lines: DataFrame, split: bool = False, prefix: Sequence[str] = (), seen: Column | None = None) -> DataFrame:
-    """Add ``gap`` (NULL on the first purchase) and ``gap_no``, counted from the newest gap.
+def numbered_gaps(lines: DataFrame, with_target: bool = False) -> DataFrame:
+    """Number the stored gaps of basket lines from the newest, which is 1, in ``gap_no``.
+
+    Without the target order its line, the newest of the pair, gets number 0, which no measure
+    reads.
+    """
+    newest = F.col("pair_lines" if with_target else "pair_prior_lines")
+    return lines.withColumn("gap_no", F.when(F.col("gap").isNotNull(), newest - F.col("pair_nth") + 1))
+
+
+def scanned_gaps(lines: DataFrame, split: bool = False, prefix: Sequence[str] = (), seen: Column | None = None) -> DataFrame:
+    """Work out ``gap`` and ``gap_no`` where lines are grouped further (``prefix``).
 
     With ``seen`` only lines where it holds take part; the other lines get NULL in both. They
     must be newer than the lines taking part.
@@ -62,25 +72,20 @@ def gap_measures() -> list[Column]:
     ]
 
 
-def with_gap_medians(
-    pairs: DataFrame, lines: DataFrame, split: bool = False, prefix: Sequence[str] = (), seen: Column | None = None
-) -> DataFrame:
-    """Add the median of all gaps but the newest.
-
-    Three such gaps take five lines, so only pairs with that many are scanned a second time.
-    """
-    older = with_gaps(lines.filter("pair_lines >= 5"), split, prefix, seen).filter(F.col("gap_no") >= 2)
+def with_gap_medians(pairs: DataFrame, gapped: DataFrame, prefix: Sequence[str] = ()) -> DataFrame:
+    """Add the median of all gaps but the newest; three such gaps take five lines."""
+    older = gapped.filter(F.col("gap_no") >= 2)
     return with_medians(pairs, older, [*prefix, "user_id", "product_id"], {"gap": ("mean", "median")}, 5)
 
 
-def purchase_gaps(lines: DataFrame, split: bool = False) -> DataFrame:
-    return with_gaps(lines, split).filter(F.col("gap").isNotNull())
+def purchase_gaps(lines: DataFrame, with_target: bool = False) -> DataFrame:
+    return numbered_gaps(lines, with_target).filter(F.col("gap_no") >= 1)
 
 
-def purchase_gap_stats(lines: DataFrame, split: bool = False, prefix: Sequence[str] = ()) -> DataFrame:
-    """Gap statistics per (user, product); pairs bought once have NULLs.
+def purchase_gap_stats(gapped: DataFrame, prefix: Sequence[str] = ()) -> DataFrame:
+    """Gap statistics per (user, product) of lines with numbered gaps; pairs bought once have NULLs.
 
-    Pass prior lines, or all lines to let the target order close the newest gap.
+    Pass prior lines, or all lines numbered with the target to let it close the newest gap.
     """
-    pairs = with_gaps(lines, split, prefix).groupBy(*prefix, "user_id", "product_id").agg(*gap_measures())
-    return with_gap_medians(pairs, lines, split, prefix)
+    pairs = gapped.groupBy(*prefix, "user_id", "product_id").agg(*gap_measures())
+    return with_gap_medians(pairs, gapped, prefix)

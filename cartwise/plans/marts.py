@@ -45,13 +45,12 @@ CATEGORIES = ["product_id", "aisle_id", "department_id"]
 
 
 def pair_mart(b: Baskets, spread: Sequence[str], medians: bool = False) -> DataFrame:
-    """History measures, gap statistics and label of every pair.
+    """History measures, gap statistics and label of every pair, in one aggregate over the lines.
 
-    Scan and aggregate share the (user, product) partitioning, so the lines move once. Lines of
-    the target order only set the label.
+    Lines of the target order only set the label.
     """
     prior = F.col("eval_set") == PRIOR
-    gapped = gaps.with_gaps(stats.with_cart_features(b.lines), b.split, seen=prior)
+    gapped = gaps.numbered_gaps(stats.with_cart_features(b.lines))
     pairs = (
         gapped.groupBy("user_id", "product_id")
         .agg(
@@ -61,7 +60,7 @@ def pair_mart(b: Baskets, spread: Sequence[str], medians: bool = False) -> DataF
         )
         .filter("up_orders > 0")
     )
-    pairs = gaps.with_gap_medians(pairs, b.lines, b.split, seen=prior)
+    pairs = gaps.with_gap_medians(pairs, gapped)
     if medians:
         columns = {c: stats.SPREAD[c] for c in spread}
         pairs = stats.with_medians(pairs, b.prior, ["user_id", "product_id"], columns)

@@ -43,8 +43,9 @@ def ranked_orders(lines: DataFrame, split: bool = False) -> DataFrame:
     return newest_first(per_order, ["user_id"], "rank_order", split)
 
 
-def product_recency_rank(lines: DataFrame, split: bool = False) -> DataFrame:
-    return newest_first(lines, ["user_id", "product_id"], "prod_rank_order", split)
+def product_recency_rank(prior: DataFrame) -> DataFrame:
+    """Rank of a prior line among the purchases of its pair, the newest being 1."""
+    return prior.withColumn("prod_rank_order", F.col("pair_prior_lines") - F.col("pair_nth") + 1)
 
 
 def with_order_rank(lines: DataFrame, split: bool = False) -> DataFrame:

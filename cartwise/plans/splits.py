@@ -97,7 +97,6 @@ def purchase_log(b: Baskets, ranks: DataFrame) -> DataFrame:
         ["user_id", "product_id"],
         ["order_number"],
         [position_block("order_number")],
-        running={"nth": F.lit(1)},
         whole={"__days": ("sum", days), "__known": ("sum", days.isNotNull().cast("int"))},
         split=b.split,
     )
@@ -105,9 +104,9 @@ def purchase_log(b: Baskets, ranks: DataFrame) -> DataFrame:
         "user_id", (F.col("order_number") - 1).alias("order_number"), F.col("order_date").alias("cust_lead_date")
     )
     following_purchase = lines.select(
-        "user_id", "product_id", (F.col("nth") - 1).alias("nth"), F.col("order_date").alias("cust_prod_lead_date")
+        "user_id", "product_id", (F.col("pair_nth") - 1).alias("pair_nth"), F.col("order_date").alias("cust_prod_lead_date")
     )
-    log = lines.join(following_purchase, ["user_id", "product_id", "nth"], "left").join(
+    log = lines.join(following_purchase, ["user_id", "product_id", "pair_nth"], "left").join(
         following_order, ["user_id", "order_number"], "left"
     )
     log = lookup_join(log, ranks, "user_id").withColumns(calendar(F.col("order_date")))

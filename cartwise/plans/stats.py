@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from cartwise.functions.columns import ratio
 from cartwise.operators.joins import lookup_join
-from cartwise.operators.scan import ordered_scan, position_block
 
 
 
@@ -45,18 +44,6 @@ def product_stat(up: DataFrame, prefix: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def purchase_number(lines: DataFrame, split: bool = False) -> DataFrame:
-    """Which purchase of the product by the user a line is: 1, 2, …"""
-    return ordered_scan(
-        lines,
-        ["user_id", "product_id"],
-        ["order_number"],
-        [position_block("order_number")],
-        running={"product_time": F.lit(1)},
-        split=split,
-    )
-
-
 def product_repeat_stat(up: DataFrame) -> DataFrame:
     """Reorder probability from the counts of first and second purchases.
 

@@ -65,8 +65,7 @@ def product_repeat_stat(spark, sf):
        AS product_time FROM c_prior""",
 )
 def purchase_number(spark, sf):
-    b = load(spark, sf)
-    return stats.purchase_number(b.prior, b.split)
+    return load(spark, sf).prior.withColumnRenamed("pair_nth", "product_time")
 
 
 @query(
@@ -198,8 +197,7 @@ def order_timeline(spark, sf):
 
 @query("purchase_gaps", "user_id,product_id,order_number,gap,gap_no:i", "SELECT * FROM c_gaps")
 def purchase_gaps(spark, sf):
-    b = load(spark, sf)
-    return gaps.purchase_gaps(b.prior, b.split)
+    return gaps.purchase_gaps(load(spark, sf).prior)
 
 
 GAP_SPEC = "user_id,product_id:i last,prev1,prev2:n median,mean,sdev:d"
@@ -207,8 +205,7 @@ GAP_SPEC = "user_id,product_id:i last,prev1,prev2:n median,mean,sdev:d"
 
 @query("purchase_gap_stats", GAP_SPEC, "SELECT * FROM c_gap_stats")
 def purchase_gap_stats(spark, sf):
-    b = load(spark, sf)
-    return gaps.purchase_gap_stats(b.prior, b.split)
+    return gaps.purchase_gap_stats(gaps.numbered_gaps(load(spark, sf).prior))
 
 
 @query(
@@ -222,8 +219,7 @@ def purchase_gap_stats(spark, sf):
        GROUP BY p.user_id, p.product_id""",
 )
 def purchase_gap_stats_target(spark, sf):
-    b = load(spark, sf)
-    return gaps.purchase_gap_stats(b.lines, b.split)
+    return gaps.purchase_gap_stats(gaps.numbered_gaps(load(spark, sf).lines, with_target=True))
 
 
 @query(
@@ -235,11 +231,10 @@ def purchase_gap_stats_target(spark, sf):
 )
 def gap_arrays(spark, sf):
     """Gaps as arrays, oldest first, in chunks of a thousand orders of the user."""
-    b = load(spark, sf)
     chunk = F.floor((F.col("order_number") - 1) / 1000)
     ordered = F.array_sort(F.collect_list(F.struct("order_number", "gap")))
     arrays = (
-        gaps.purchase_gaps(b.prior, b.split)
+        gaps.purchase_gaps(load(spark, sf).prior)
         .groupBy("user_id", "product_id", chunk.alias("chunk"))
         .agg(ordered.alias("g"))
         .select("user_id", "product_id", "chunk", F.col("g.gap").alias("periods"))
@@ -291,8 +286,7 @@ def order_recency_rank(spark, sf):
        dense_rank() OVER (PARTITION BY user_id, product_id ORDER BY order_number DESC) AS prod_rank_order FROM c_prior""",
 )
 def product_recency_rank(spark, sf):
-    b = load(spark, sf)
-    return recency.product_recency_rank(b.prior, b.split)
+    return recency.product_recency_rank(load(spark, sf).prior)
 
 
 @query(

@@ -130,6 +130,11 @@ def order_lines(keyed: DataFrame, orders: DataFrame, split: bool = False) -> Dat
 
     ``keyed`` has order_id, product_id, line, units, dollars. Repeats are folded before the
     order-level shuffle, so an order never has more rows than the catalogue has products.
+
+    The scan that flags reorders also leaves the line's place among the purchases of its pair
+    (``pair_nth`` of ``pair_lines``, of which ``pair_prior_lines`` lie in the history) and the days
+    since the purchase before (``gap``). Marts thus need no window over the lines, and rows of a
+    pair lie together, so their aggregates combine before anything is shuffled.
     """
     folded = keyed.groupBy("order_id", "product_id").agg(
         F.min("line").alias("line"), F.sum("units").alias("units"), F.sum("dollars").alias("dollars")
@@ -142,17 +147,26 @@ def order_lines(keyed: DataFrame, orders: DataFrame, split: bool = False) -> Dat
         }
     ).drop("line")
     joined = placed.join(orders, "order_id")
-    flagged = ordered_scan(
+    scanned = ordered_scan(
         joined,
         ["user_id", "product_id"],
         ["order_number"],
         [position_block("order_number")],
-        whole={"first_order": ("min", F.col("order_number")), "pair_lines": ("sum", F.lit(1))},
+        running={"pair_nth": F.lit(1)},
+        previous={"__before": F.col("timeline")},
+        whole={
+            "__first": ("min", F.col("order_number")),
+            "pair_lines": ("sum", F.lit(1)),
+            "pair_prior_lines": ("sum", (F.col("eval_set") == PRIOR).cast("int")),
+        },
         split=split,
     )
-    return flagged.withColumn(
-        "reordered", (F.col("order_number") > F.col("first_order")).cast("int")
-    ).drop("first_order")
+    return scanned.withColumns(
+        {
+            "reordered": (F.col("order_number") > F.col("__first")).cast("int"),
+            "gap": F.col("timeline") - F.col("__before"),
+        }
+    ).drop("__first", "__before")
 
 
 def longest_history(raw: DataFrame) -> int:

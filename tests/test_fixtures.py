@@ -28,7 +28,7 @@ def test_gap_statistics(spark):
         data, "user_id BIGINT, product_id BIGINT, order_number BIGINT, timeline BIGINT, pair_lines BIGINT"
     )
     for split in (False, True):
-        got = {r.product_id: r for r in gaps.purchase_gap_stats(lines, split).collect()}
+        got = {r.product_id: r for r in gaps.purchase_gap_stats(gaps.scanned_gaps(lines, split)).collect()}
         one = got[1]
         assert (one["last"], one["prev1"], one["prev2"], one["median"], one["mean"], one["sdev"]) == (2, 8, 7, 7.5, 7.5, 0.5)
         two, three = got[2], got[3]

@@ -47,9 +47,10 @@ PLANS = {
     "orders": lambda b: b.orders,
     "lines": lambda b: b.lines,
     "timeline": lambda b: gaps.order_timeline(b.orders, b.split),
-    "gap stats": lambda b: gaps.purchase_gap_stats(b.prior, b.split),
-    "gap stats with target": lambda b: gaps.purchase_gap_stats(b.lines, b.split),
-    "purchase number": lambda b: stats.purchase_number(b.prior, b.split),
+    "gap stats": lambda b: gaps.purchase_gap_stats(gaps.numbered_gaps(b.prior)),
+    "gap stats with target": lambda b: gaps.purchase_gap_stats(gaps.numbered_gaps(b.lines, True)),
+    "scanned gap stats": lambda b: gaps.purchase_gap_stats(gaps.scanned_gaps(b.prior, b.split)),
+    "user product stat": lambda b: stats.user_product_stat(b.prior),
     "order rank": lambda b: recency.with_order_rank(b.lines, b.split),
     "training mart": marts.training_mart,
     "recency mart": recency.recency_mart,
@@ -72,6 +73,13 @@ def test_cut_histories_give_the_same_rows(both, name):
     assert [tuple(map(tidy, r)) for r in plain] == [tuple(map(tidy, r)) for r in cut]
 
 
+def test_stored_and_scanned_gaps_agree(both):
+    b = both[1]
+    for lines, target in ((b.prior, False), (b.lines, True)):
+        stored = gaps.purchase_gap_stats(gaps.numbered_gaps(lines, target))
+        assert rows(stored) == rows(gaps.purchase_gap_stats(gaps.scanned_gaps(lines)))
+
+
 def tidy(v):
     return round(v, 9) if isinstance(v, float) else v
 
