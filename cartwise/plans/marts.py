@@ -212,7 +212,11 @@ def compact_mart(b: Baskets) -> DataFrame:
         ratio(F.sum("reordered_sum"), F.sum("later_lines")).alias("user_reorder_ratio"),
         F.count("*").alias("user_distinct_products"),
     )
-    users = stats.user_stat(b.prior_orders).withColumnRenamed("user_order_starts_at", "user_period")
+    users = (
+        stats.user_stat(b.prior_orders)
+        .withColumnRenamed("user_order_starts_at", "user_period")
+        .drop("user_median_days_since_prior")
+    )
     target = b.target_orders.select(
         "user_id", "order_id", "eval_set", F.col("days_since_prior_order").alias("time_since_last_order")
     )

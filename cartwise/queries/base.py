@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from cartwise.operators.joins import lookup_join
 from cartwise.operators.scan import dense_ids
-from cartwise.plans import candidates, decisions, marts, splits
+from cartwise.plans import candidates, decisions, gaps, marts, splits
 from cartwise.registry import query
 from cartwise.session import scratch_path
 from cartwise.sources import files
-from cartwise.sources.baskets import load
+from cartwise.sources.baskets import from_csv, from_log, load
 
 FOLDS = 10
 
@@ -81,6 +81,73 @@ def scan_log_hive_nulls(spark, sf):
     return files.read_log(spark, path)
 
 
+def _basket_csv(spark, sf):
+    """The basket tables as a folder of CSV files, in the layout ``from_csv`` reads."""
+    b, folder = load(spark, sf), scratch_path(spark, "baskets-csv")
+
+    def put(name: str, frame, schema: str) -> None:
+        files.write_csv(frame.select(*[item.split()[0] for item in schema.split(", ")]), f"{folder}/{name}.csv")
+
+    put("orders", b.orders, files.ORDERS)
+    put("products", b.products, files.PRODUCTS)
+    put("aisles", b.products.select("aisle_id", "aisle").distinct(), files.AISLES)
+    put("departments", b.products.select("department_id", "department").distinct(), files.DEPARTMENTS)
+    put("order_products__prior", b.prior, files.ORDER_PRODUCTS)
+    put("order_products__train", b.lines.filter("eval_set = 'train'"), files.ORDER_PRODUCTS)
+    return from_csv(spark, folder)
+
+
+@query(
+    "scan_basket_csv",
+    "order_id,user_id,product_id,add_to_cart_order,reordered,order_number,order_size,timeline:i eval_set:s aisle,department:s",
+    """SELECT l.*, count(*) OVER (PARTITION BY l.order_id) AS order_size, p.aisle, p.department
+       FROM c_lines l JOIN c_products p ON p.product_id = l.product_id WHERE l.eval_set <> 'test'""",
+)
+def scan_basket_csv(spark, sf):
+    b = _basket_csv(spark, sf)
+    return lookup_join(b.lines, b.products, "product_id")
+
+
+@query(
+    "csv_training_mart",
+    "order_id,product_id,reordered,prod_orders,up_orders:i reorder_prob,up_order_rate,dep_reordered_ratio:d last:i median:d",
+    """SELECT l.order_id, l.product_id, l.reordered, ps.prod_orders, r.up_orders, rp.reorder_prob, r.up_order_rate,
+        d.dep_reordered::DOUBLE / r.user_orders AS dep_reordered_ratio, coalesce(g.last, 9999) AS last, coalesce(g.median, 9999) AS median
+    FROM c_labels l JOIN c_products p ON p.product_id = l.product_id
+    JOIN c_product_stat ps ON ps.product_id = l.product_id JOIN c_reorder_prob rp ON rp.product_id = l.product_id
+    JOIN c_up_rates r ON r.user_id = l.user_id AND r.product_id = l.product_id
+    JOIN c_department_stat d ON d.user_id = l.user_id AND d.department_id = p.department_id
+    JOIN c_gap_stats g ON g.user_id = l.user_id AND g.product_id = l.product_id WHERE l.eval_set = 'train'""",
+)
+def csv_training_mart(spark, sf):
+    """The training mart worked out from CSV tables; rows whose truth such tables hold."""
+    return marts.training_mart(_basket_csv(spark, sf)).filter("eval_set = 'train'")
+
+
+@query(
+    "log_purchase_gaps",
+    "user_id,product_id,order_number,gap,gap_no:i",
+    """SELECT *, row_number() OVER (PARTITION BY user_id, product_id ORDER BY order_number DESC) AS gap_no
+       FROM (SELECT user_id, product_id, order_number,
+                days - lag(days) OVER (PARTITION BY user_id, product_id ORDER BY order_number) AS gap
+             FROM c_prior JOIN (
+                SELECT order_id, sum(coalesce(days_since_prior_order, 0)) OVER (PARTITION BY user_id ORDER BY order_number) AS days
+                FROM (SELECT DISTINCT user_id, order_id, order_number, days_since_prior_order FROM c_lines)) USING (order_id))
+       WHERE gap IS NOT NULL""",
+)
+def log_purchase_gaps(spark, sf):
+    """Purchase gaps of baskets rebuilt from the purchase log, which has no empty orders."""
+    b = load(spark, sf)
+    path = scratch_path(spark, "log-csv")
+    log = splits.purchase_log(b, marts.customer_ranks(b.orders)).join(
+        b.orders.select("order_id", "order_number"), "order_id"
+    )
+    columns = [item.split()[0] for item in files.PURCHASE_LOG.split(", ")]
+    numbered = log.withColumn("order_id", F.col("order_number")).select(*columns)
+    files.write_csv(numbered, path, header=False, null="\\N")
+    return gaps.purchase_gaps(from_log(files.read_log(spark, path)).prior)
+
+
 @query(
     "mart_roundtrip",
     "order_id,user_id,product_id:i eval_set:s reordered:i",

@@ -260,9 +260,7 @@ def seq_shift_targets(spark, sf):
 )
 def seq_scaled_features(spark, sf):
     """Scaled histories, shown by their sum and their last real step."""
-    examples = _padded(spark, sf)
-    lengths = examples.select("user_id", "product_id", "history_length")
-    scaled = histories.scaled(examples).join(lengths, ["user_id", "product_id"])
+    scaled = histories.scaled(_padded(spark, sf))
     shown = []
     for name in histories.SCALES:
         values = F.col(f"{name}_scaled")
@@ -302,12 +300,8 @@ def seq_last_state(spark, sf):
 
 def _guessed(spark, sf):
     """Next-step truth with a repeatable guess: what was bought now is likely bought next."""
-    examples = _padded(spark, sf)
     guess = F.transform("is_ordered_history", lambda v: F.lit(0.1) + F.lit(0.8) * v)
-    targets = histories.shift_targets(examples)
-    return targets.join(
-        examples.select("user_id", "product_id", guess.alias("guess")), ["user_id", "product_id"]
-    )
+    return histories.shift_targets(_padded(spark, sf).withColumn("guess", guess), keep=["guess"])
 
 
 STEPWISE = f"""SELECT y, 0.1::DOUBLE + 0.8::DOUBLE * v AS p FROM (

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from cartwise.operators.joins import lookup_join
 from cartwise.operators.scan import BLOCK_IDS, GROUP_ROWS, dense_ids, ordered_scan, position_block
 from cartwise.session import materialize
+from cartwise.sources import files
 
 PRIOR, TRAIN, TEST = "prior", "train", "test"
 
@@ -125,48 +126,60 @@ def catalogue(part: DataFrame) -> DataFrame:
     return materialize(numbered.select(*ids, "product_name", *named))
 
 
+def complete_orders(given: DataFrame, split: bool = False) -> DataFrame:
+    """Orders that come with their number and set: add totals, newest-first rank and timeline."""
+    scanned = ordered_scan(
+        given,
+        ["user_id"],
+        ["order_number"],
+        [position_block("order_number")],
+        running={"timeline": F.coalesce(F.col("days_since_prior_order"), F.lit(0))},
+        whole={"user_total_orders": ("sum", F.lit(1))},
+        split=split,
+    )
+    return scanned.withColumn("rank_order", F.col("user_total_orders") - F.col("order_number") + 1)
+
+
 def order_lines(keyed: DataFrame, orders: DataFrame, split: bool = False) -> DataFrame:
     """Lines per (order, product) with cart position, reorder flag and the order's attributes.
 
     ``keyed`` has order_id, product_id, line, units, dollars. Repeats are folded before the
     order-level shuffle, so an order never has more rows than the catalogue has products.
-
-    The scan that flags reorders also leaves the line's place among the purchases of its pair
-    (``pair_nth`` of ``pair_lines``, of which ``pair_prior_lines`` lie in the history) and the days
-    since the purchase before (``gap``). Marts thus need no window over the lines, and rows of a
-    pair lie together, so their aggregates combine before anything is shuffled.
     """
     folded = keyed.groupBy("order_id", "product_id").agg(
         F.min("line").alias("line"), F.sum("units").alias("units"), F.sum("dollars").alias("dollars")
     )
     cart = Window.partitionBy("order_id").orderBy("line", "product_id")
-    placed = folded.withColumns(
-        {
-            "add_to_cart_order": F.row_number().over(cart),
-            "order_size": F.count("*").over(Window.partitionBy("order_id")),
-        }
-    ).drop("line")
-    joined = placed.join(orders, "order_id")
+    return place_lines(folded.withColumn("add_to_cart_order", F.row_number().over(cart)).drop("line"), orders, split)
+
+
+def place_lines(lines: DataFrame, orders: DataFrame, split: bool = False) -> DataFrame:
+    """Put (order, product) lines with a cart position into the histories of their users.
+
+    ``reordered`` is worked out unless the lines bring it. The scan also leaves the line's place
+    among the purchases of its pair (``pair_nth`` of ``pair_lines``, of which
+    ``pair_prior_lines`` lie in the history) and the days since the purchase before (``gap``).
+    Marts thus need no window over the lines, and rows of a pair lie together, so their
+    aggregates combine before anything is shuffled.
+    """
+    sized = lines.withColumn("order_size", F.count("*").over(Window.partitionBy("order_id")))
     scanned = ordered_scan(
-        joined,
+        sized.join(orders, "order_id"),
         ["user_id", "product_id"],
         ["order_number"],
         [position_block("order_number")],
         running={"pair_nth": F.lit(1)},
         previous={"__before": F.col("timeline")},
         whole={
-            "__first": ("min", F.col("order_number")),
             "pair_lines": ("sum", F.lit(1)),
             "pair_prior_lines": ("sum", (F.col("eval_set") == PRIOR).cast("int")),
         },
         split=split,
     )
-    return scanned.withColumns(
-        {
-            "reordered": (F.col("order_number") > F.col("__first")).cast("int"),
-            "gap": F.col("timeline") - F.col("__before"),
-        }
-    ).drop("__first", "__before")
+    placed = scanned.withColumn("gap", F.col("timeline") - F.col("__before")).drop("__before")
+    if "reordered" in lines.columns:
+        return placed
+    return placed.withColumn("reordered", (F.col("pair_nth") > 1).cast("int"))
 
 
 def longest_history(raw: DataFrame) -> int:
@@ -224,3 +237,54 @@ def load(spark: SparkSession, sf_dir: str, refresh: bool = False) -> Baskets:
         lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
         _LOADED[key] = StoredBaskets(raw, lineitem, spark.read.parquet(f"{sf_dir}/part.parquet"))
     return _LOADED[key]
+
+
+def from_csv(spark: SparkSession, folder: str) -> Baskets:
+    """Baskets from a folder of CSV tables that already describe histories.
+
+    Reads ``orders``, ``order_products__prior``, ``order_products__train``, ``products``,
+    ``aisles`` and ``departments`` (``.csv``, with header). Orders to be scored have no lines.
+    """
+
+    def table(name: str, schema: str) -> DataFrame:
+        return files.read_csv(spark, f"{folder}/{name}.csv", schema)
+
+    products = lookup_join(table("products", files.PRODUCTS), table("aisles", files.AISLES), "aisle_id", "left")
+    products = lookup_join(products, table("departments", files.DEPARTMENTS), "department_id", "left")
+    given = table("orders", files.ORDERS)
+    longest = longest_history(given)
+    orders = materialize(complete_orders(given, longest > GROUP_ROWS), "orders")
+    lines = table("order_products__prior", files.ORDER_PRODUCTS).unionByName(
+        table("order_products__train", files.ORDER_PRODUCTS)
+    )
+    placed = place_lines(lines, orders, longest > GROUP_ROWS)
+    return Baskets(materialize(products, "products"), orders, materialize(placed, "lines"), longest)
+
+
+def from_log(log: DataFrame) -> Baskets:
+    """Baskets from a purchase log with a calendar date per line (see ``files.read_log``).
+
+    The log's order ids number the orders of a user, so user and number together name an order;
+    the newest order of a user is the target. Cart positions are ranks of the product id, and the
+    products carry no names or categories.
+    """
+    order_id = F.concat_ws("_", "user_id", "order_id")
+    keyed = log.withColumns({"order_number": F.col("order_id"), "order_id": order_id})
+    given = keyed.groupBy("order_id", "user_id", "order_number").agg(
+        F.min("visit_date").alias("order_date"),
+        F.when(F.min("train_test") > 1, PRIOR).otherwise(TRAIN).alias("eval_set"),
+        F.min("days_since_prior_order").alias("days_since_prior_order"),
+        F.min("order_dow").alias("order_dow"),
+        F.lit(None).cast("int").alias("order_hour_of_day"),
+    )
+    given = materialize(given, "given")
+    longest = longest_history(given)
+    orders = materialize(complete_orders(given, longest > GROUP_ROWS), "orders")
+    cart = Window.partitionBy("order_id").orderBy("product_id")
+    lines = (
+        keyed.groupBy("order_id", "product_id")
+        .agg(F.sum("units").alias("units"), F.sum("dollars").alias("dollars"), F.max("reordered").alias("reordered"))
+        .withColumn("add_to_cart_order", F.dense_rank().over(cart))
+    )
+    placed = materialize(place_lines(lines, orders, longest > GROUP_ROWS), "lines")
+    return Baskets(placed.select("product_id").distinct(), orders, placed, longest)
