@@ -25,5 +25,5 @@ def test_shared_folder_comes_from_the_session(spark):
 def test_materialized_rows_do_not_change(spark):
     df = spark.range(50).withColumn("r", F.rand()).repartition(3)
     stored = session.materialize(df)
-    assert stored.schema == df.schema
+    assert stored.dtypes == df.dtypes
     assert rows(stored) == rows(stored) and stored.count() == 50
