@@ -255,7 +255,7 @@ def order_profile(b: Baskets) -> DataFrame:
     )
     flags = b.target_orders.select("user_id", F.initcap("eval_set").alias("Flag"))
     return (
-        lookup_join(orders, segments.join(flags, "user_id"), "user_id")
+        lookup_join(orders, materialize(segments.join(flags, "user_id"), "segments"), "user_id")
         .withColumnRenamed("order_rate", "reorder_rate")
         .drop("reorders")
     )
