@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwise.llm import bpe, exact, packing
+from cartwise.llm import bpe, exact, langid, packing, toxicity
 from cartwise.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,25 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the rows outside the held-out third, predicts all."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(fold("doc_id", 3) != 1))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from labelled rows outside the held-out third, scores all."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(
+        docs.filter(fold("doc_id", 3) != 1).select("doc_id", "text").join(
+            table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id"
+        )
+    )
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
