@@ -99,3 +99,18 @@ def batches(
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str | None]:
     return batch.column(name).to_pylist()
+
+
+#: Keys of at most this many rows of one or two longs (about 40 bytes each once hashed) are broadcast.
+BROADCAST_KEYS = 3_000_000
+
+
+def narrow(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
+    """Join ``rows`` with a stored table of distinct keys.
+
+    The keys are counted. Few enough to send to every task spare a shuffle of wide rows; more of
+    them take an ordinary join, which AQE may split. Both give the same rows.
+    """
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    return rows.join(keys, on, how)

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartwise.llm.common import narrow
 from cartwise.llm.components import components
 from cartwise.session import materialize
 
@@ -26,10 +27,11 @@ OPEN_PER_ROW, MOST_ROUNDS = 2, 12
 
 
 def shared_buckets(items: DataFrame) -> DataFrame:
-    """(key, cls) rows of keys that several items of ``items`` (cls, bands) have."""
+    """Distinct (key, cls) of keys that different items of ``items`` (cls, bands) have."""
     rows = items.select(F.explode("bands").alias("key"), "cls")
-    several = rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
-    return materialize(rows.join(several, "key", "left_semi"), "buckets")
+    several = rows.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low <> high")
+    keys = materialize(several.select("key"), "bucket-keys")
+    return materialize(narrow(rows, keys, ["key"]).distinct(), "buckets")
 
 
 def verified(

@@ -30,10 +30,14 @@ class MinHash:
 
     def band_keys(self, signature: np.ndarray) -> np.ndarray:
         """A signed 64-bit key per band; equal rows of one band give equal keys."""
-        part = signature.reshape(self.bands, self.rows).astype(np.uint64)
-        key = self.salt
+        return self.band_keys_of(signature[None, :])[0]
+
+    def band_keys_of(self, signatures: np.ndarray) -> np.ndarray:
+        """The same for many signatures, one a row."""
+        part = signatures.reshape(len(signatures), self.bands, self.rows).astype(np.uint64)
+        key = np.broadcast_to(self.salt, part.shape[:2])
         for k in range(self.rows):
-            key = mix(key + part[:, k])
+            key = mix(key + part[:, :, k])
         return key.view(np.int64)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwise.llm import bpe, exact, langid, near, packing, topk, toxicity
+from cartwise.llm import bpe, exact, langid, lines, near, packing, passages, topk, toxicity
 from cartwise.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,22 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of at least 80 % of the united two-word shingles."""
     return near.components_of(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.decide(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has already."""
+    return passages.find(table(spark, sf_dir, "documents"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of ``corpus_pipeline`` on all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
