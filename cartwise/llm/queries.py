@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwise.llm import bpe, exact, langid, lines, near, packing, passages, topk, toxicity
+from cartwise.llm import bpe, exact, langid, lines, near, ngrams, packing, passages, topk, toxicity
 from cartwise.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query
+def op6_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from nine tenths of the texts, scores all."""
+    docs = table(spark, sf_dir, "documents")
+    model = ngrams.train(docs.filter(fold("doc_id", 10) != 0))
+    found = ngrams.score(docs, model)
+    return found.withColumn("held_out", fold("doc_id", 10) == 0)
