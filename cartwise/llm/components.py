@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from cartwise.session import materialize
 
-#: Links a task contracts at once; it bounds a worker's memory.
-LOCAL_LINKS = 1_000_000
+#: Links a task contracts at once; it bounds a worker's memory. There are as many tasks as this needs.
+LOCAL_LINKS = 500_000
 
 
 class UnionFind:
@@ -69,7 +69,7 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def _print(links: DataFrame) -> tuple:
+def _state(links: DataFrame) -> tuple:
     row = links.agg(
         F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.countDistinct("a").alias("members")
     ).first()
@@ -84,11 +84,12 @@ def components(links: DataFrame) -> DataFrame:
     member has one link, to the smallest, which no other step changes.
     """
     proper = links.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
-    current = materialize(proper.mapInArrow(_contract, "a long, b long"), "links")
-    before = _print(current)
+    parts = -(-links.count() // LOCAL_LINKS)
+    current = materialize(proper.coalesce(max(parts, 1)).mapInArrow(_contract, "a long, b long"), "links")
+    before = _state(current) if parts > 1 else (0,)  # one task's forest is final
     while before[0]:
         current = materialize(_small_star(_large_star(current)), "links")
-        after = _print(current)
+        after = _state(current)
         if after == before:
             break
         before = after

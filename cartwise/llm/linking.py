@@ -22,8 +22,8 @@ from cartwise.llm.common import narrow
 from cartwise.llm.components import components
 from cartwise.session import materialize
 
-#: Another round with other centres pays while the open pairs outnumber the bucket rows so often.
-OPEN_PER_ROW, MOST_ROUNDS = 2, 12
+#: Another round with other centres pays while the open pairs outnumber all bucket rows so often.
+OPEN_PER_ROW, MOST_ROUNDS = 8, 12
 
 
 def shared_buckets(items: DataFrame) -> DataFrame:
@@ -81,6 +81,7 @@ def link(
     ``screen`` maps candidate pairs (a, b) to (a, b, matches) and may leave hopeless ones out.
     """
     links = tried = parts = None
+    rows = buckets.count()
     for turn in range(MOST_ROUNDS + 1):
         if parts is None:
             now = buckets.withColumn("part", F.col("cls"))
@@ -98,7 +99,7 @@ def link(
         facts = now.groupBy("key").agg(F.count("*").alias("n"), F.first("open").alias("open")).agg(F.sum("n"), F.sum("open")).first()
         if not facts[0]:
             break
-        last = turn > 0 and (facts[1] <= OPEN_PER_ROW * facts[0] or turn == MOST_ROUNDS)
+        last = turn > 0 and (facts[1] <= OPEN_PER_ROW * rows or turn == MOST_ROUNDS)
         if last:
             other = now.select("key", F.col("cls").alias("b"), F.col("part").alias("part_b"))
             found = (
