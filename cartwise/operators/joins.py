@@ -1,47 +1,17 @@
-"""Lookup joins whose strategy follows measured sizes."""
+"""Lookup joins: many rows meet a dimension with one row per key."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# Values (rows times columns) of a dimension that may be sent to every executor.
-BROADCAST_VALUES = 4_000_000
-# Rows of one key above which its left rows are kept out of the shuffle.
-HOT_ROWS = 5_000_000
 
+def lookup_join(left: DataFrame, dim: DataFrame, keys: Sequence[str] | str, how: str = "inner") -> DataFrame:
+    """Join ``left`` to ``dim``, which has one row per key, whatever the sizes.
 
-def lookup_join(
-    left: DataFrame,
-    dim: DataFrame,
-    keys: Sequence[str] | str,
-    how: str = "inner",
-    *,
-    broadcast_rows: int | None = None,
-    hot_rows: int | None = None,
-) -> DataFrame:
-    """Join ``left`` to ``dim``, which has one row per key.
-
-    ``dim`` is broadcast when its counted rows stay within the bound. Otherwise keys with very
-    many left rows are counted (combined before the shuffle), their few ``dim`` rows are
-    broadcast, and the remaining rows take an ordinary shuffle join.
+    Catalyst broadcasts a dimension whose known bytes allow it. Otherwise both sides are dealt by the
+    key, and AQE splits the partitions of any number of hot keys and repeats their few dimension
+    rows; the join needs no key's rows together, so a split changes nothing.
     """
-    if broadcast_rows is None:
-        broadcast_rows = BROADCAST_VALUES // len(dim.columns)
-    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    if dim.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        return left.join(F.broadcast(dim), keys, how)
-    counts = left.groupBy(*keys).agg(F.count("*").alias("__n"))
-    hot = counts.filter(F.col("__n") > hot_rows).select(*keys)
-    few = hot.limit(broadcast_rows + 1).count()
-    if few == 0 or few > broadcast_rows:
-        # With no hot key nothing needs splitting; with very many the rows are spread anyway.
-        return left.join(dim, keys, how)
-    hot = F.broadcast(hot)
-    hot_left = left.join(hot, keys, "left_semi")
-    cold_left = left.join(hot, keys, "left_anti")
-    hot_dim = dim.join(hot, keys, "left_semi")
-    return hot_left.join(F.broadcast(hot_dim), keys, how).unionByName(cold_left.join(dim, keys, how))
+    return left.join(dim, [keys] if isinstance(keys, str) else list(keys), how)

@@ -13,7 +13,7 @@ from cartwise.sources.baskets import PRIOR, Baskets
 
 # Thresholds in use for turning a score into a prediction.
 THRESHOLDS = (0.2, 0.205, 0.21, 0.22, 0.25, 0.5)
-# Candidates of an order that enter the search without "None".
+# Candidates of an order in the report of the best ones.
 TOP_CANDIDATES = 80
 
 
@@ -50,16 +50,23 @@ def blend(first: DataFrame, second: DataFrame, weight: float = 0.5, keys: Sequen
     )
 
 
-def submission(predicted: DataFrame) -> DataFrame:
-    """Space-joined chosen products per order, 'None' where nothing is chosen.
+def submission(predicted: DataFrame, orders: DataFrame) -> DataFrame:
+    """Space-joined chosen products for each of ``orders``, 'None' where nothing is chosen.
 
-    One aggregate over all candidates keeps orders without a choice, so no anti-join is needed.
+    An order without any candidate, such as a user's first, gets its 'None' too.
     """
-    chosen = F.array_sort(F.collect_list(F.when(F.col("predicted") == 1, F.col("product_id"))))
-    joined = predicted.groupBy("order_id").agg(F.array_join(chosen.cast("array<string>"), " ").alias("products"))
-    return joined.select(
-        "order_id", F.when(F.col("products") == "", "None").otherwise(F.col("products")).alias("products")
-    ).orderBy("order_id")
+    chosen = F.array_sort(F.collect_list("product_id"))  # at most a catalogue
+    picked = (
+        predicted.filter("predicted = 1")
+        .groupBy("order_id")
+        .agg(F.array_join(chosen.cast("array<string>"), " ").alias("products"))
+    )
+    return (
+        orders.select("order_id")
+        .join(picked, "order_id", "left")
+        .select("order_id", F.coalesce("products", F.lit("None")).alias("products"))
+        .orderBy("order_id")
+    )
 
 
 def none_probability(rows: DataFrame) -> DataFrame:
@@ -67,6 +74,12 @@ def none_probability(rows: DataFrame) -> DataFrame:
     return rows.groupBy("order_id").agg(F.product(1.0 - F.col("score")).alias("p_none"))
 
 
+def with_none_candidate(rows: DataFrame) -> DataFrame:
+    """Candidates and, for each order, product 0 for "None" with the chance that nothing is bought."""
+    none = none_probability(rows).select("order_id", F.lit(0).cast("bigint").alias("product_id"), F.col("p_none").alias("score"))
+    return rows.select("order_id", F.col("product_id").cast("bigint").alias("product_id"), "score").unionByName(none)
+
+
 def top_candidates(rows: DataFrame, k: int = TOP_CANDIDATES) -> DataFrame:
     best = Window.partitionBy("order_id").orderBy(F.desc("score"), "product_id")
     return rows.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k)
@@ -77,12 +90,13 @@ def score_rank(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.dense_rank().over(best))
 
 
-def optimal_k(rows: DataFrame, *, allow_none: bool = True) -> DataFrame:
+def optimal_k(rows: DataFrame, *, allow_none: bool = True, k: int | None = None) -> DataFrame:
     """Best basket size per order with its candidates, best first.
 
-    Groups hold the candidates of one order, at most one per product of the catalogue.
+    Groups hold the candidates of one order, at most one per product of the catalogue; with ``k``
+    only the best so many enter the search.
     """
-    rows = rows if allow_none else top_candidates(rows)
+    rows = rows if k is None else top_candidates(rows, k)
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "product_id", "score")))
     groups = rows.groupBy("order_id").agg(ranked.alias("ranked"))
     best = groups.withColumn("best", optimal_basket(F.col("ranked.score"), allow_none=allow_none))

@@ -60,18 +60,29 @@ def scanned_gaps(lines: DataFrame, split: bool = False, prefix: Sequence[str] =
 
 
 def gap_measures() -> list[Column]:
-    """Newest three gaps, and mean and deviation of all but the newest."""
+    """Newest three gaps, and mean and deviation of all but the newest; gaps are whole days."""
     nth, gap = F.col("gap_no"), F.col("gap")
     older = F.when(nth >= 2, gap)
     return [
         F.max(F.when(nth == 1, gap)).alias("last"),
         F.max(F.when(nth == 2, gap)).alias("prev1"),
         F.max(F.when(nth == 3, gap)).alias("prev2"),
-        F.avg(older).alias("mean"),
-        F.stddev_pop(older).alias("sdev"),
+        _mean(older).alias("mean"),
+        _deviation(older).alias("sdev"),
     ]
 
 
+def _mean(days: Column) -> Column:
+    return F.sum(days.cast("bigint")) / F.count(days)
+
+
+def _deviation(days: Column) -> Column:
+    """Population deviation of whole days from integer sums, alike in any order of the rows."""
+    n, x = F.count(days), days.cast("bigint")
+    spread = n * F.sum(x * x) - F.sum(x) * F.sum(x)
+    return F.when(n > 0, F.sqrt(spread) / n)
+
+
 def with_gap_medians(pairs: DataFrame, gapped: DataFrame, prefix: Sequence[str] = ()) -> DataFrame:
     """Add the median of all gaps but the newest; three such gaps take five lines."""
     older = gapped.filter(F.col("gap_no") >= 2)

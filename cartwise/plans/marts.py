@@ -21,8 +21,8 @@ from cartwise.sources.files import embedding_columns
 MISSING_GAP = 9999
 # Value put for all other missing numbers of a snapshot.
 MISSING = 999
-# Customers of this rank and above are held out.
-HOLDOUT_RANK = 900
+# Share of customers, the last by rank, that is held out.
+HOLDOUT_SHARE = 0.1
 
 FEATURES = [
     "user_product_reordered_ratio", "reordered_sum",
@@ -304,6 +304,13 @@ def basket_size_mart(profile: DataFrame) -> DataFrame:
     )
 
 
+def with_holdout(ranks: DataFrame, share: float = HOLDOUT_SHARE) -> DataFrame:
+    """Mark the last ``share`` of the ranks as ``test``, the others as ``train``."""
+    total = ranks.agg(F.max("rank_cust").alias("total")).scalar()
+    held = F.col("rank_cust") > F.ceil(total * (1 - share))
+    return ranks.withColumn("part", F.when(held, "test").otherwise("train"))
+
+
 def customer_ranks(orders: DataFrame) -> DataFrame:
     """Dense rank of customers by id."""
     return global_rank(orders.select("user_id").distinct(), ["user_id"], "rank_cust")
@@ -318,7 +325,7 @@ def snapshot_mart(b: Baskets) -> DataFrame:
     products = materialize(stats.product_stat(pairs))
     users = stats.user_basket_stat(pairs, stats.user_stat(b.prior_orders))
     mart = lookup_join(stats.with_rates(pairs.join(users, "user_id")), products, "product_id")
-    mart = mart.fillna(MISSING).join(customer_ranks(b.orders), "user_id")
-    return mart.withColumn("part", F.when(F.col("rank_cust") >= HOLDOUT_RANK, "test").otherwise("train"))
+    ranks = with_holdout(customer_ranks(b.orders))
+    return mart.fillna(MISSING).join(ranks, "user_id")
 
 

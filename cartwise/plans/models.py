@@ -90,18 +90,23 @@ def cross_validate(mart: DataFrame, folds: int = 5, depths: Sequence[int] = (2,
 
 
 def product_embeddings(
-    baskets: DataFrame, size: int = 100, window: int = 5, min_count: int = 2, rounds: int = 1
+    baskets: DataFrame, size: int = 100, window: int | None = None, min_count: int = 2, rounds: int = 1
 ) -> DataFrame:
     """Skip-gram vectors of products, with baskets (``products``: ordered id texts) as sentences.
 
+    No basket is cut; without ``window`` the longest one is the window.
+
     The trainer works on as many partitions as the session has slots; its own default is one.
     """
+    longest = max(baskets.agg(F.max(F.size("products"))).first()[0] or 1, 1)
+    window = longest if window is None else window
     model = Word2Vec(
         numPartitions=baskets.sparkSession.sparkContext.defaultParallelism,
         inputCol="products",
         outputCol="unused",
         vectorSize=size,
         windowSize=window,
+        maxSentenceLength=longest,
         minCount=min_count,
         maxIter=rounds,
         seed=SEED,

@@ -26,10 +26,13 @@ def hash_split(rows: DataFrame, column: str, percent: int = 75) -> DataFrame:
     return rows.withColumn("in_train", (id_bucket(F.col(column)) < percent).cast("int"))
 
 
-def order_folds(orders: DataFrame, folds: int, keep_remainder: bool = False) -> DataFrame:
-    """Contiguous folds of equal size over the sorted order ids; the remainder is dropped or kept."""
+def order_folds(orders: DataFrame, folds: int, keep_remainder: bool = True) -> DataFrame:
+    """Contiguous folds of equal size over the sorted order ids; the last takes the remainder.
+
+    Without ``keep_remainder`` those orders are in no fold. Fewer orders than folds leave folds empty.
+    """
     ranked = global_rank(orders.select("order_id").distinct(), ["order_id"], "__rank", "__total")
-    size = F.floor(F.col("__total") / folds)
+    size = F.greatest(F.floor(F.col("__total") / folds), F.lit(1))
     fold = F.floor((F.col("__rank") - 1) / size)
     placed = ranked.withColumn("fold", F.least(fold, F.lit(folds - 1)) if keep_remainder else fold)
     return placed.filter(F.col("fold") < folds).select("order_id", "fold")

@@ -161,12 +161,15 @@ def mart_roundtrip(spark, sf):
 @query(
     "sink_submission_csv",
     "order_id:i products:s",
-    """SELECT order_id, coalesce(string_agg(CAST(product_id AS VARCHAR), ' ' ORDER BY product_id) FILTER (score > 0.2), 'None')
-       AS products FROM c_scored GROUP BY order_id""",
+    """SELECT o.order_id, coalesce(string_agg(CAST(s.product_id AS VARCHAR), ' ' ORDER BY s.product_id), 'None') AS products
+       FROM c_orders o LEFT JOIN c_scored s ON s.order_id = o.order_id AND s.score > 0.2::DOUBLE
+       WHERE o.eval_set = 'test' GROUP BY o.order_id""",
 )
 def sink_submission_csv(spark, sf):
     path = scratch_path(spark, "submission")
-    files.write_csv(decisions.submission(decisions.predict(decisions.scored(load(spark, sf)), 0.2)), path)
+    b = load(spark, sf)
+    predicted = decisions.predict(decisions.scored(b), 0.2)
+    files.write_csv(decisions.submission(predicted, b.orders.filter(F.col("eval_set") == "test")), path)
     return files.read_csv(spark, path, files.SUBMISSION)
 
 
@@ -186,9 +189,9 @@ def entity_trace(spark, sf):
 
 @query(
     "embedding_columns",
-    "product_id:i " + ",".join(f"feature_{i}" for i in range(32)) + ":d",
+    "product_id:i " + ",".join(f"feature_{i}" for i in range(64)) + ":d",
     "SELECT vec_id AS product_id, "
-    + ", ".join(f"embedding[{i + 1}] AS feature_{i}" for i in range(32))
+    + ", ".join(f"embedding[{i + 1}] AS feature_{i}" for i in range(64))
     + " FROM embeddings",
 )
 def embedding_columns(spark, sf):
@@ -274,20 +277,18 @@ def hash_sample_split(spark, sf):
 @query(
     "customer_holdout",
     "user_id,rank_cust:i part:s",
-    """SELECT user_id, rank_cust, CASE WHEN rank_cust >= 900 THEN 'test' ELSE 'train' END AS part
+    """SELECT user_id, rank_cust,
+              CASE WHEN rank_cust > ceil(max(rank_cust) OVER () * 0.9::DOUBLE) THEN 'test' ELSE 'train' END AS part
        FROM (SELECT user_id, row_number() OVER (ORDER BY user_id) AS rank_cust FROM (SELECT DISTINCT user_id FROM c_orders))""",
 )
 def customer_holdout(spark, sf):
-    ranks = marts.customer_ranks(load(spark, sf).orders)
-    held = F.col("rank_cust") >= marts.HOLDOUT_RANK
-    return ranks.withColumn("part", F.when(held, "test").otherwise("train"))
+    return marts.with_holdout(marts.customer_ranks(load(spark, sf).orders))
 
 
 FOLDS_SQL = f"""
-    SELECT order_id, (rn - 1) // (n // {FOLDS}) AS fold
+    SELECT order_id, least((rn - 1) // greatest(n // {FOLDS}, 1), {FOLDS - 1}) AS fold
     FROM (SELECT order_id, row_number() OVER (ORDER BY order_id) AS rn, count(*) OVER () AS n
-          FROM c_orders WHERE eval_set <> 'prior')
-    WHERE (rn - 1) // (n // {FOLDS}) < {FOLDS}"""
+          FROM c_orders WHERE eval_set <> 'prior')"""
 
 
 @query("order_folds", "order_id,fold:i", FOLDS_SQL)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cartwise.plans import decisions, marts, metrics
 from cartwise.queries.marts import SIZE_SQL
 from cartwise.registry import query
-from cartwise.sources.baskets import load
+from cartwise.sources.baskets import TEST, load
 
 
 def _scored(spark, sf):
@@ -46,13 +46,16 @@ def blend_predictions(spark, sf):
     "submission_with_none",
     "order_id:i products:s",
     """SELECT order_id, string_agg(CAST(product_id AS VARCHAR), ' ' ORDER BY product_id) AS products
-       FROM c_scored WHERE score > 0.2::DOUBLE GROUP BY order_id
+       FROM c_scored WHERE score > 0.2::DOUBLE
+         AND order_id IN (SELECT order_id FROM c_orders WHERE eval_set = 'test') GROUP BY order_id
        UNION ALL
-       SELECT DISTINCT order_id, 'None' FROM c_scored
-       WHERE order_id NOT IN (SELECT order_id FROM c_scored WHERE score > 0.2::DOUBLE)""",
+       SELECT order_id, 'None' FROM c_orders
+       WHERE eval_set = 'test' AND order_id NOT IN (SELECT order_id FROM c_scored WHERE score > 0.2::DOUBLE)""",
 )
 def submission_with_none(spark, sf):
-    return decisions.submission(decisions.predict(_scored(spark, sf), 0.2))
+    """One row per order of the test set."""
+    b = load(spark, sf)
+    return decisions.submission(decisions.predict(decisions.scored(b), 0.2), b.orders.filter(F.col("eval_set") == TEST))
 
 
 @query(
@@ -115,12 +118,8 @@ F1_NONE = (
         FROM (SELECT order_id, k, 0 AS none, with_none AS e FROM expected UNION ALL SELECT order_id, k, 1, plain FROM expected)) b
     ON b.order_id = g.order_id AND b.rn = 1"""
 )
-TOP80 = (
-    "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY score DESC, product_id) AS rn "
-    "FROM c_scored) WHERE rn <= 80)"
-)
 F1_PLAIN = (
-    f1_ctes(TOP80)
+    f1_ctes("c_scored")
     + """;;SELECT order_id, k AS k_max, false AS pred_none, plain AS ef1
     FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY round(plain, 12) DESC, k) AS rn FROM expected) WHERE rn = 1"""
 )
@@ -136,6 +135,18 @@ def f1_optimal_k_no_none(spark, sf):
     return decisions.optimal_k(_scored(spark, sf), allow_none=False)
 
 
+WITH_NONE = (
+    "(SELECT order_id, product_id, score FROM c_scored UNION ALL "
+    "SELECT order_id, 0, product(1.0::DOUBLE - score) FROM c_scored GROUP BY order_id)"
+)
+
+
+@query("f1_optimal_k_none_candidate", "order_id,k_max,pred_none:i ef1:d", F1_PLAIN.replace("c_scored", WITH_NONE, 1))
+def f1_optimal_k_none_candidate(spark, sf):
+    """The search without "None", with "None" as one more candidate."""
+    return decisions.optimal_k(decisions.with_none_candidate(_scored(spark, sf)), allow_none=False)
+
+
 @query(
     "f1_baskets",
     "order_id,k_max,pred_none:i products:s",

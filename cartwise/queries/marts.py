@@ -69,7 +69,7 @@ EMBEDDED = ",".join(f"feature_{i}" for i in range(32))
     "mart_with_embeddings",
     f"{MART_SPEC} {EMBEDDED}:d",
     "SELECT m.*, "
-    + ", ".join(f"e.embedding[{i + 1}] AS feature_{i}" for i in range(32))
+    + ", ".join(f"e.embedding[{i + 1}] AS feature_{i}" for i in range(64))
     + f" FROM ({MART_SQL}) m JOIN embeddings e ON e.vec_id = m.product_id",
 )
 def mart_with_embeddings(spark, sf):
@@ -267,7 +267,7 @@ def _fill(alias: str, columns: str) -> str:
         b.user_total_products, b.user_distinct_products, b.user_reorder_ratio, b.user_average_basket,
         r.up_order_rate, r.up_orders_since_last_order, r.up_order_rate_since_first_order,
         {_fill('g', 'last,prev1,prev2,median,mean,sdev')}, l.reordered, c.rank_cust,
-        CASE WHEN c.rank_cust >= 900 THEN 'test' ELSE 'train' END AS part
+        CASE WHEN c.rank_cust > ceil((SELECT count(DISTINCT user_id) FROM c_orders) * 0.9::DOUBLE) THEN 'test' ELSE 'train' END AS part
     FROM c_labels l
     JOIN c_up_stat u ON u.user_id = l.user_id AND u.product_id = l.product_id
     JOIN c_up_rates r ON r.user_id = l.user_id AND r.product_id = l.product_id
@@ -282,12 +282,17 @@ def snapshot_mart(spark, sf):
     return marts.snapshot_mart(load(spark, sf))
 
 
-def rolling_ctes(horizon: int = 1) -> str:
+STRIDE = 61  # days between windows that together cover the whole log
+
+
+def rolling_ctes(horizon: int = 1, stride: int = STRIDE) -> str:
     """Windows and the lines, pairs, user and product facts inside them."""
     return f"""
-    w AS (SELECT s.split, c.counter, m.d + CAST(c.counter + s.shift AS INTEGER) AS lo,
-            m.d + CAST(c.counter + s.shift + 120 AS INTEGER) AS hi
-          FROM (VALUES ('train', 0), ('test', 15)) s(split, shift), range(16) c(counter), (SELECT min(order_date) AS d FROM c_lines) m),
+    m AS (SELECT min(order_date) AS d, date_diff('day', min(order_date), max(order_date)) AS span FROM c_lines),
+    w AS (SELECT s.split, c.counter, m.d + CAST(c.counter * {stride} + s.shift AS INTEGER) AS lo,
+            m.d + CAST(c.counter * {stride} + s.shift + 120 AS INTEGER) AS hi
+          FROM (VALUES ('train', 0), ('test', 15)) s(split, shift), m,
+               unnest(range(greatest(1, ceil((m.span - 120 - 15 - {horizon}) / {stride}::DOUBLE)::BIGINT + 1))) c(counter)),
     wl AS MATERIALIZED (SELECT w.split, w.counter, l.* FROM c_lines l JOIN w ON l.order_date BETWEEN w.lo AND w.hi),
     wlabel AS MATERIALIZED (
         SELECT p.*, CASE WHEN y.product_id IS NULL THEN 0 ELSE 1 END AS reordered
@@ -303,7 +308,7 @@ def rolling_ctes(horizon: int = 1) -> str:
     f"{rolling_ctes()};;SELECT * FROM wl",
 )
 def rolling_snapshots(spark, sf):
-    return rolling.snapshots(load(spark, sf))
+    return rolling.snapshots(load(spark, sf), rolling.Windows(stride_days=STRIDE))
 
 
 @query(
@@ -312,7 +317,7 @@ def rolling_snapshots(spark, sf):
     f"{rolling_ctes()};;SELECT * FROM wlabel",
 )
 def rolling_labels(spark, sf):
-    return rolling.labels(load(spark, sf))
+    return rolling.labels(load(spark, sf), rolling.Windows(stride_days=STRIDE))
 
 
 @query(
@@ -322,7 +327,7 @@ def rolling_labels(spark, sf):
 )
 def rolling_labels_month(spark, sf):
     """Labels over the thirty days after each window instead of the next day."""
-    return rolling.labels(load(spark, sf), rolling.Windows(horizon_days=30))
+    return rolling.labels(load(spark, sf), rolling.Windows(horizon_days=30, stride_days=STRIDE))
 
 
 ROLLING_SQL = f"""{rolling_ctes()},
@@ -380,4 +385,4 @@ ROLLING_SQL = f"""{rolling_ctes()},
 
 @query("rolling_features", f"split:s counter:i {SNAPSHOT_SPEC}", ROLLING_SQL)
 def rolling_features(spark, sf):
-    return rolling.features(load(spark, sf))
+    return rolling.features(load(spark, sf), rolling.Windows(stride_days=STRIDE))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cartwise.plans import marts, models
+from cartwise.plans import decisions, marts, models
 from cartwise.registry import query
 from cartwise.session import materialize
 from cartwise.sources.baskets import load
@@ -22,6 +22,15 @@ def gbt_scores(spark, sf):
     return models.classify(model, mart.filter("eval_set = 'test'"), marts.FEATURES)
 
 
+@query("gbt_submission", "order_id:i products:s")
+def gbt_submission(spark, sf):
+    """From the mart over the fitted model and a threshold to one row per order of the test set."""
+    mart, model = _classifier(spark, sf)
+    scores = models.classify(model, mart.filter("eval_set = 'test'"), marts.FEATURES)
+    orders = load(spark, sf).orders.filter("eval_set = 'test'")
+    return decisions.submission(decisions.predict(scores, 0.205), orders)
+
+
 @query("gbt_feature_importance", "feature:s importance:d")
 def gbt_feature_importance(spark, sf):
     _, model = _classifier(spark, sf)
@@ -48,13 +57,11 @@ def _sentences(spark, sf):
     return baskets.select(F.col("items.product_id").cast("array<string>").alias("products"))
 
 
-@query("product_embeddings", "product_id,width:i norm:d")
+@query("product_embeddings", "product_id,width:i norm:d embedding:a")
 def product_embeddings(spark, sf):
-    sentences = materialize(_sentences(spark, sf))
-    longest = sentences.agg(F.max(F.size("products"))).first()[0]
-    vectors = models.product_embeddings(sentences, window=longest)
+    vectors = models.product_embeddings(materialize(_sentences(spark, sf)))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda total, v: total + v * v))
-    return vectors.select("product_id", F.size("embedding").alias("width"), norm.alias("norm"))
+    return vectors.select("product_id", F.size("embedding").alias("width"), norm.alias("norm"), "embedding")
 
 
 @query("embedding_pca", "vec_id:i component_1,component_2:d")

@@ -97,30 +97,16 @@ def number_orders(raw: DataFrame, split: bool = False) -> DataFrame:
     )
 
 
-# Catalogue rows that may be numbered in one task.
-SMALL_CATALOGUE = 100_000
-
-
 def catalogue(part: DataFrame) -> DataFrame:
     """Distinct (brand, type) pairs with product, aisle and department ids.
 
-    Ids are dense ranks. A counted small catalogue is ranked in one task, a large one by range
-    partitions.
+    Ids are dense ranks, found by range partitions.
     """
     pairs = part.groupBy("p_brand", "p_type").agg(F.min("p_name").alias("product_name"))
     pairs = materialize(pairs)
-    if pairs.count() <= SMALL_CATALOGUE:
-        numbered = pairs.withColumns(
-            {
-                "product_id": F.dense_rank().over(Window.orderBy("p_brand", "p_type")),
-                "aisle_id": F.dense_rank().over(Window.orderBy("p_brand")),
-                "department_id": F.dense_rank().over(Window.orderBy("p_type")),
-            }
-        )
-    else:
-        numbered = pairs.join(dense_ids(pairs, ["p_brand", "p_type"], "product_id"), ["p_brand", "p_type"])
-        numbered = lookup_join(numbered, dense_ids(pairs, ["p_brand"], "aisle_id"), "p_brand")
-        numbered = lookup_join(numbered, dense_ids(pairs, ["p_type"], "department_id"), "p_type")
+    numbered = pairs.join(dense_ids(pairs, ["p_brand", "p_type"], "product_id"), ["p_brand", "p_type"])
+    numbered = lookup_join(numbered, dense_ids(pairs, ["p_brand"], "aisle_id"), "p_brand")
+    numbered = lookup_join(numbered, dense_ids(pairs, ["p_type"], "department_id"), "p_type")
     ids = [F.col(c).cast("bigint").alias(c) for c in ("product_id", "aisle_id", "department_id")]
     named = [F.col("p_brand").alias("aisle"), F.col("p_type").alias("department")]
     return materialize(numbered.select(*ids, "product_name", *named))

@@ -145,12 +145,38 @@ def test_rolling_windows_hold_each_line_as_often_as_it_fits(both):
     assert rolling.snapshots(b, w).count() == want
 
 
-def test_catalogue_ranks_agree(spark, monkeypatch):
+def test_catalogue_ids_are_dense_ranks(spark):
     from cartwise.sources import baskets
 
     part = spark.createDataFrame(
         [(f"B{i % 7}", f"T{i % 3}", f"n{i}") for i in range(40)], "p_brand STRING, p_type STRING, p_name STRING"
     )
-    small = rows(baskets.catalogue(part))
-    monkeypatch.setattr(baskets, "SMALL_CATALOGUE", 2)
-    assert rows(baskets.catalogue(part)) == small
+    pairs = sorted({(f"B{i % 7}", f"T{i % 3}") for i in range(40)})
+    brands, types = sorted({b for b, _ in pairs}), sorted({t for _, t in pairs})
+    want = {(b, t): (k + 1, brands.index(b) + 1, types.index(t) + 1) for k, (b, t) in enumerate(pairs)}
+    got = {(r.aisle, r.department): (r.product_id, r.aisle_id, r.department_id) for r in baskets.catalogue(part).collect()}
+    assert got == want
+
+
+def test_windows_reach_the_last_day(both):
+    b = both[0]
+    days = [r.order_date for r in b.lines.collect()]
+    first, last = min(days), max(days)
+    w = rolling.Windows(span_days=30, shift_days=6, stride_days=20)
+    got = rolling.snapshots(b, w).groupBy("split", "counter").count().collect()
+    count = w.over((last - first).days).count
+    assert max(r.counter for r in got) == count - 1
+    want = {}
+    for d in days:
+        for s, shift in (("train", 0), ("test", 6)):
+            for i in range(count):
+                if i * 20 + shift <= (d - first).days <= i * 20 + shift + 30:
+                    want[s, i] = want.get((s, i), 0) + 1
+    assert {(r.split, r.counter): r["count"] for r in got} == want
+    assert (count - 1) * 20 + 6 + 30 + 1 >= (last - first).days
+
+
+def test_submission_has_every_order(both):
+    b = both[0]
+    got = decisions.submission(decisions.predict(decisions.scored(b), 2.0), b.target_orders).collect()
+    assert len(got) == b.target_orders.count() and {r.products for r in got} == {"None"}
