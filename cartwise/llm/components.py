@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cartwise.session import materialize
 
 #: Links a task contracts at once; it bounds a worker's memory. There are as many tasks as this needs.
-LOCAL_LINKS = 500_000
+LOCAL_LINKS = 2_000_000
 
 
 class UnionFind:

@@ -2,28 +2,34 @@
 
 Items that share a band key lie in one bucket. In a first round every item meets only the centre of
 each of its buckets and its most promising centre is verified; links found become components. Then
-only pairs that share a bucket but still lie in different components are left. While there are many
-of them, further rounds pick other centres; the rest is verified pair by pair, so a pair that shares
-a bucket is never given up. Inside a component nothing is compared any more, which is what keeps
-large groups of near copies cheap.
+only pairs that share a bucket but still lie in different components are left. While other centres
+close many of them, further rounds follow. What is left is compared in full, so a pair that shares a
+bucket is never given up: small buckets pair by pair, large ones in cells of two blocks of items, of
+which only the pairs that may be links come out. Inside a component nothing is compared any more,
+which is what keeps large groups of near copies cheap.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartwise.llm.common import narrow
 from cartwise.llm.components import components
 from cartwise.session import materialize
 
-#: Another round with other centres pays while the open pairs outnumber all bucket rows so often.
+#: Another round with other centres pays while the open pairs outnumber all bucket rows so often and
+#: the last round closed at least half of them.
 OPEN_PER_ROW, MOST_ROUNDS = 8, 12
+#: Buckets above this size are compared in cells of two blocks of about ``BLOCK`` items.
+SMALL_BUCKET, BLOCK = 16, 128
+
+#: Tells which of the item pairs (i of the first list, j of the second) may be links.
+Compare = Callable[[list, list, np.ndarray, np.ndarray], np.ndarray]
 
 
 def shared_buckets(items: DataFrame) -> DataFrame:
@@ -37,36 +43,124 @@ def shared_buckets(items: DataFrame) -> DataFrame:
 def verified(
     pairs: DataFrame, bodies: DataFrame, to_set: Callable[[str], np.ndarray], percent: int
 ) -> DataFrame:
-    """The rows of ``pairs`` (a, b) with 100 * intersection >= percent * union of their sets."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: OrderedDict[int, np.ndarray] = OrderedDict()
-
-        def of(cls: int, body: pa.Scalar) -> np.ndarray:
-            if cls in recent:
-                recent.move_to_end(cls)
-                return recent[cls]
-            recent[cls] = to_set(body.as_py())
-            if len(recent) > 64:
-                recent.popitem(last=False)
-            return recent[cls]
-
-        for batch in it:
-            keep = []
-            columns = (batch.column(c) for c in ("a", "b", "x", "y"))
-            for a, b, x, y in zip(*columns, strict=True):
-                p, q = of(a.as_py(), x), of(b.as_py(), y)
-                # Both sorted and distinct: equal neighbours in the united order are common values.
+    """The rows of ``pairs`` (a, b), a stored table, with 100 * intersection >= percent * union.
+
+    Pairs that hang together are verified together, so that a body moves once for many pairs: small
+    sets of candidates share a cell, large ones are cut into cells of two blocks. A cell holds about
+    two blocks of bodies, and only bodies that one of its pairs needs.
+    """
+    group = materialize(components(pairs), "candidate-groups")
+    sizes = group.groupBy("component").agg(F.count("*").alias("size"))
+    shared = max(1, -(-group.count() // BLOCK))
+    placed = group.join(sizes, "component").select(
+        F.col("id").alias("cls"), "component", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")
+    )
+    mine = placed.select(F.col("cls").alias("a"), "component", "blocks")
+
+    def block(name: str) -> Column:
+        return F.pmod(F.xxhash64(name), F.col("blocks")).cast("int")
+
+    celled = materialize(
+        pairs.select("a", "b")
+        .join(mine, "a")
+        .select(
+            F.when(F.col("blocks") > 1, F.col("component"))
+            .otherwise(F.pmod(F.xxhash64("component"), F.lit(shared)))
+            .alias("cell"),
+            F.when(F.col("blocks") > 1, F.least(block("a"), block("b"))).otherwise(-1).alias("low"),
+            F.when(F.col("blocks") > 1, F.greatest(block("a"), block("b"))).otherwise(-1).alias("high"),
+            "a",
+            "b",
+        ),
+        "pair-cells",
+    )
+    where = ["cell", "low", "high"]
+    members = (
+        celled.select(*where, F.col("a").alias("cls"))
+        .unionByName(celled.select(*where, F.col("b").alias("cls")))
+        .distinct()
+        .join(bodies, "cls")
+        .select(*[(F.col(c) + 0).alias(f"m_{c}") for c in where], "cls", "body")
+    )
+
+    def check(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        sets = {c: to_set(t) for c, t in zip(there["cls"].tolist(), there["body"].tolist(), strict=True)}
+        keep = []
+        for a, b in zip(asked["a"].tolist(), asked["b"].tolist(), strict=True):
+            p, q = sets[a], sets[b]
+            small, large = min(len(p), len(q)), max(len(p), len(q))
+            # The smaller set bounds what two sets can have in common.
+            ok = small > 0 and 100 * small >= percent * large
+            if ok:
                 both = np.concatenate([p, q])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
-                keep.append(len(p) > 0 and 100 * common >= percent * (len(p) + len(q) - common))
-            if any(keep):
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                ok = 100 * common >= percent * (len(p) + len(q) - common)
+            keep.append(ok)
+        return asked.loc[np.array(keep, bool), ["a", "b"]]
+
+    return (
+        celled.groupBy(*where)
+        .cogroup(members.groupBy("m_cell", "m_low", "m_high"))
+        .applyInPandas(check, "a long, b long")
+    )
+
+
+def by_sets(to_set: Callable[[str], np.ndarray], percent: int) -> Compare:
+    """Compare bodies by the exact similarity of their sets."""
+
+    def compare(first: list, second: list, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        left = [to_set(x) for x in first]
+        right = left if second is first else [to_set(y) for y in second]
+        p = np.array([len(x) for x in left])[i]
+        q = np.array([len(y) for y in right])[j]
+        # The smaller set bounds what two sets can have in common.
+        keep = (np.minimum(p, q) > 0) & (100 * np.minimum(p, q) >= percent * np.maximum(p, q))
+        for k in np.flatnonzero(keep):
+            common = len(np.intersect1d(left[i[k]], right[j[k]], assume_unique=True))
+            keep[k] = 100 * common >= percent * (p[k] + q[k] - common)
+        return keep
 
-    left = bodies.select(F.col("cls").alias("a"), F.col("body").alias("x"))
-    right = bodies.select(F.col("cls").alias("b"), F.col("body").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
+    return compare
+
+
+def _cells(large: DataFrame, payload: DataFrame, compare: Compare) -> DataFrame:
+    """(a, b) of different parts of the same large bucket that ``compare`` lets through.
+
+    A row of a bucket of n items goes to n / ``BLOCK`` cells; only survivors leave a cell.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    placed = (
+        large.join(payload, "cls")
+        .withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select(
+            "key",
+            F.least("block", "other").alias("low"),
+            F.greatest("block", "other").alias("high"),
+            "block",
+            "cls",
+            "part",
+            "payload",
+        )
+    )
+
+    def cell(rows: pd.DataFrame) -> pd.DataFrame:
+        own = rows["block"].to_numpy() == rows["low"].to_numpy()
+        first = rows[own]
+        second = first if rows["low"].iloc[0] == rows["high"].iloc[0] else rows[~own]
+        a, b = first["cls"].to_numpy(np.int64), second["cls"].to_numpy(np.int64)
+        open_ = first["part"].to_numpy()[:, None] != second["part"].to_numpy()[None, :]
+        if second is first:
+            open_ &= a[:, None] < b[None, :]
+        i, j = np.nonzero(open_)
+        if len(i):
+            x = first["payload"].tolist()
+            keep = compare(x, x if second is first else second["payload"].tolist(), i, j)
+            i, j = i[keep], j[keep]
+        return pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j])})
+
+    return placed.groupBy("key", "low", "high").applyInPandas(cell, "a long, b long")
 
 
 def link(
@@ -75,13 +169,19 @@ def link(
     to_set: Callable[[str], np.ndarray],
     percent: int,
     screen: Callable[[DataFrame], DataFrame] | None = None,
+    payload: DataFrame | None = None,
+    compare: Compare | None = None,
 ) -> DataFrame:
     """(id, component) of all items that are linked to another one.
 
-    ``screen`` maps candidate pairs (a, b) to (a, b, matches) and may leave hopeless ones out.
+    ``screen`` maps candidate pairs (a, b) to (a, b, matches) and may leave hopeless ones out; inside
+    large buckets ``compare`` does so on ``payload`` (cls, payload). Without them large buckets are
+    compared by their bodies' sets.
     """
+    if payload is None or compare is None:
+        payload, compare = bodies.withColumnRenamed("body", "payload"), by_sets(to_set, percent)
     links = tried = parts = None
-    rows = buckets.count()
+    rows, before = buckets.count(), None
     for turn in range(MOST_ROUNDS + 1):
         if parts is None:
             now = buckets.withColumn("part", F.col("cls"))
@@ -93,17 +193,22 @@ def link(
             F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("parts")
         ).filter("parts > 1")
         now = materialize(
-            now.join(open_keys.select("key", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("open")), "key"),
+            now.join(
+                open_keys.select("key", "n", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("open")), "key"
+            ),
             "open-buckets",
         )
         facts = now.groupBy("key").agg(F.count("*").alias("n"), F.first("open").alias("open")).agg(F.sum("n"), F.sum("open")).first()
         if not facts[0]:
             break
-        last = turn > 0 and (facts[1] <= OPEN_PER_ROW * rows or turn == MOST_ROUNDS)
+        slow = before is not None and facts[1] > before / 2
+        last = turn > 0 and (facts[1] <= OPEN_PER_ROW * rows or slow or turn == MOST_ROUNDS)
+        before = facts[1]
         if last:
-            other = now.select("key", F.col("cls").alias("b"), F.col("part").alias("part_b"))
+            small = now.filter(F.col("n") <= SMALL_BUCKET)
+            other = small.select("key", F.col("cls").alias("b"), F.col("part").alias("part_b"))
             found = (
-                now.select("key", F.col("cls").alias("a"), "part")
+                small.select("key", F.col("cls").alias("a"), "part")
                 .join(other, "key")
                 .filter((F.col("a") < F.col("b")) & (F.col("part") != F.col("part_b")))
             )
@@ -119,7 +224,11 @@ def link(
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         if screen is not None:
             pairs = screen(pairs)
-        if not last:
+        if last:
+            inside = _cells(now.filter(F.col("n") > SMALL_BUCKET).select("key", "cls", "part", "n"), payload, compare)
+            inside = inside.distinct().join(tried, ["a", "b"], "left_anti")
+            pairs = pairs.select("a", "b").unionByName(inside).distinct()
+        else:
             order = F.col("matches") if screen is not None else F.xxhash64("a", "b")
             pairs = pairs.groupBy("item").agg(F.max(F.struct(order.alias("o"), "a", "b")).alias("p")).select("p.a", "p.b").distinct()
         pairs = materialize(pairs.select("a", "b"), "pairs")

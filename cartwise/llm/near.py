@@ -127,6 +127,24 @@ def bayes_screen(sigs: DataFrame, hashes: int, percent: int, missed: float = MIS
     return screen
 
 
+def bayes_compare(hashes: int, percent: int, missed: float = MISS, batch: int = BATCH):
+    """The same inside a cell of two blocks of signatures."""
+    steps = least_matches(hashes, batch, percent / 100, missed)
+
+    def compare(first: list, second: list, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        p = np.frombuffer(b"".join(first), np.uint8).reshape(-1, hashes)
+        q = np.frombuffer(b"".join(second), np.uint8).reshape(-1, hashes)
+        alive, matches, seen = np.arange(len(i)), np.zeros(len(i), np.int64), 0
+        for upto, fewest in steps:
+            matches[alive] += (p[i[alive], seen:upto] == q[j[alive], seen:upto]).sum(axis=1)
+            alive, seen = alive[matches[alive] >= fewest], upto
+        keep = np.zeros(len(i), bool)
+        keep[alive] = True
+        return keep
+
+    return compare
+
+
 def _bodies(docs: DataFrame, classes: DataFrame, buckets: DataFrame, width: int) -> DataFrame:
     """(cls, body): one whole text for each class that has a candidate."""
     wanted = classes.join(buckets.select("cls").distinct(), "cls", "left_semi").select("least", F.col("cls").alias("want"))
@@ -167,6 +185,8 @@ def components_of(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
         lambda text: shingles(word_hashes(text), width),
         percent,
         bayes_screen(involved, BANDS * ROWS, percent),
+        involved.withColumnRenamed("sig", "payload"),
+        bayes_compare(BANDS * ROWS, percent),
     )
     named = parts.withColumnRenamed("id", "cls").join(classes.select("cls", "least"), "cls")
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
