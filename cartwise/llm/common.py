@@ -105,6 +105,17 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str | None]:
 BROADCAST_KEYS = 3_000_000
 
 
+def at_ids(docs: DataFrame, places: DataFrame, entries: int) -> DataFrame:
+    """Texts of ``docs`` with the row of ``places`` (at_id, ...) for their id; null ids match too.
+
+    ``places`` is a stored table that holds ``entries`` small entries in all. Few are broadcast, so
+    that only the wanted texts move on; more take an ordinary join with the same rows.
+    """
+    if entries <= BROADCAST_KEYS // 3:
+        places = F.broadcast(places)
+    return docs.select("doc_id", "text").join(places, F.col("doc_id").eqNullSafe(F.col("at_id")))
+
+
 def narrow(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
     """Join ``rows`` with a stored table of distinct keys.
 

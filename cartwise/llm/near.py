@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartwise.llm.common import batches, shingles, word_hashes
+from cartwise.llm.common import at_ids, batches, shingles, word_hashes
 from cartwise.llm.linking import link, shared_buckets
 from cartwise.llm.minhash import MinHash
 from cartwise.session import materialize
@@ -147,7 +147,12 @@ def bayes_compare(hashes: int, percent: int, missed: float = MISS, batch: int =
 
 def _bodies(docs: DataFrame, classes: DataFrame, buckets: DataFrame, width: int) -> DataFrame:
     """(cls, body): one whole text for each class that has a candidate."""
-    wanted = classes.join(buckets.select("cls").distinct(), "cls", "left_semi").select("least", F.col("cls").alias("want"))
+    wanted = materialize(
+        classes.join(buckets.select("cls").distinct(), "cls", "left_semi").select(
+            F.col("least").alias("at_id"), F.col("cls").alias("want")
+        ),
+        "wanted-classes",
+    )
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         # An id may have several texts: only the one that makes this class counts.
@@ -157,7 +162,7 @@ def _bodies(docs: DataFrame, classes: DataFrame, buckets: DataFrame, width: int)
         ]
         return batch.filter(pa.array(same, pa.bool_()))
 
-    rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("least")))
+    rows = at_ids(docs, wanted, wanted.count())
     return batches(
         rows.select(F.col("want").alias("cls"), F.col("text").alias("body")), step, "cls long, body string"
     ).dropDuplicates(["cls"])
