@@ -1,7 +1,5 @@
 import pytest
 
-from tests.conftest import spark  # noqa: F401
-
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma".split()
 
 
@@ -16,7 +14,7 @@ SCHEMA = (
 )
 
 
-def frame(spark, rows):  # noqa: F811
+def frame(spark, rows):
     """Documents with columns whose names operators use inside."""
     full = [(i, t, "en", "s", None, False, 9.0, 7, 7, 7, 7, 7) for i, t in rows]
     return spark.createDataFrame(full, SCHEMA)
@@ -42,12 +40,12 @@ AWKWARD = [
 
 
 @pytest.fixture(scope="session")
-def awkward(spark):  # noqa: F811
+def awkward(spark):
     return frame(spark, AWKWARD)
 
 
 @pytest.fixture(scope="session")
-def nothing(spark):  # noqa: F811
+def nothing(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
