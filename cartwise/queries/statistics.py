@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cartwise.functions.columns import without_last
 from cartwise.operators.joins import lookup_join
 from cartwise.plans import gaps, recency, stats
 from cartwise.registry import query
@@ -225,26 +224,40 @@ def purchase_gap_stats_target(spark, sf):
 @query(
     "gap_arrays",
     "user_id,product_id,chunk:i periods,all_but_newest:a newest,second_newest,third_newest:n",
-    """SELECT user_id, product_id, 0 AS chunk, periods, periods[:-2] AS all_but_newest, periods[-1] AS newest,
-           periods[-2] AS second_newest, periods[-3] AS third_newest
-       FROM (SELECT user_id, product_id, list(gap ORDER BY order_number) AS periods FROM c_gaps GROUP BY user_id, product_id)""",
+    """SELECT user_id, product_id, (order_number - 1) // 1000 AS chunk, list(gap ORDER BY order_number) AS periods,
+           coalesce(list(gap ORDER BY order_number) FILTER (gap_no > 1), []) AS all_but_newest,
+           any_value(newest) AS newest, any_value(second_newest) AS second_newest, any_value(third_newest) AS third_newest
+       FROM (SELECT *, max(gap) FILTER (gap_no = 1) OVER pair AS newest, max(gap) FILTER (gap_no = 2) OVER pair AS second_newest,
+                 max(gap) FILTER (gap_no = 3) OVER pair AS third_newest
+             FROM c_gaps WINDOW pair AS (PARTITION BY user_id, product_id))
+       GROUP BY user_id, product_id, chunk""",
 )
 def gap_arrays(spark, sf):
-    """Gaps as arrays, oldest first, in chunks of a thousand orders of the user."""
+    """Gaps as arrays, oldest first, in chunks of a thousand orders of the user.
+
+    The newest three are those of the pair and stand in each of its few chunks.
+    """
+    from pyspark.sql import Window
+
     chunk = F.floor((F.col("order_number") - 1) / 1000)
-    ordered = F.array_sort(F.collect_list(F.struct("order_number", "gap")))
+    ordered = F.array_sort(F.collect_list(F.struct("order_number", "gap", "gap_no")))
+    newest = ("newest", "second_newest", "third_newest")
     arrays = (
         gaps.purchase_gaps(load(spark, sf).prior)
         .groupBy("user_id", "product_id", chunk.alias("chunk"))
-        .agg(ordered.alias("g"))
-        .select("user_id", "product_id", "chunk", F.col("g.gap").alias("periods"))
+        .agg(
+            ordered.alias("g"),
+            *[F.max(F.when(F.col("gap_no") == k + 1, F.col("gap"))).alias(name) for k, name in enumerate(newest)],
+        )
     )
+    pair = Window.partitionBy("user_id", "product_id")
     return arrays.select(
-        "*",
-        without_last(F.col("periods")).alias("all_but_newest"),
-        F.try_element_at("periods", F.lit(-1)).alias("newest"),
-        F.try_element_at("periods", F.lit(-2)).alias("second_newest"),
-        F.try_element_at("periods", F.lit(-3)).alias("third_newest"),
+        "user_id",
+        "product_id",
+        "chunk",
+        F.col("g.gap").alias("periods"),
+        F.transform(F.filter("g", lambda x: x.gap_no > 1), lambda x: x.gap).alias("all_but_newest"),
+        *[F.max(name).over(pair).alias(name) for name in newest],
     )
 
 
