@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartwise.llm.common import narrow
-from cartwise.llm.components import components
+from cartwise.llm.components import UnionFind, components
 from cartwise.session import materialize
 
 #: Another round with other centres pays while the open pairs outnumber all bucket rows so often and
@@ -85,18 +85,8 @@ def verified(
 
     def check(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         sets = {c: to_set(t) for c, t in zip(there["cls"].tolist(), there["body"].tolist(), strict=True)}
-        keep = []
-        for a, b in zip(asked["a"].tolist(), asked["b"].tolist(), strict=True):
-            p, q = sets[a], sets[b]
-            small, large = min(len(p), len(q)), max(len(p), len(q))
-            # The smaller set bounds what two sets can have in common.
-            ok = small > 0 and 100 * small >= percent * large
-            if ok:
-                both = np.concatenate([p, q])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                ok = 100 * common >= percent * (len(p) + len(q) - common)
-            keep.append(ok)
+        pairs_here = zip(asked["a"].tolist(), asked["b"].tolist(), strict=True)
+        keep = [_similar(sets[a], sets[b], percent) for a, b in pairs_here]
         return asked.loc[np.array(keep, bool), ["a", "b"]]
 
     return (
@@ -106,61 +96,108 @@ def verified(
     )
 
 
-def by_sets(to_set: Callable[[str], np.ndarray], percent: int) -> Compare:
-    """Compare bodies by the exact similarity of their sets."""
+def _common(p: np.ndarray, q: np.ndarray) -> int:
+    """Common values of two sorted arrays of distinct values."""
+    both = np.concatenate([p, q])
+    both.sort(kind="stable")  # equal neighbours are common
+    return int((both[1:] == both[:-1]).sum())
 
-    def compare(first: list, second: list, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        left = [to_set(x) for x in first]
-        right = left if second is first else [to_set(y) for y in second]
-        p = np.array([len(x) for x in left])[i]
-        q = np.array([len(y) for y in right])[j]
-        # The smaller set bounds what two sets can have in common.
-        keep = (np.minimum(p, q) > 0) & (100 * np.minimum(p, q) >= percent * np.maximum(p, q))
-        for k in np.flatnonzero(keep):
-            common = len(np.intersect1d(left[i[k]], right[j[k]], assume_unique=True))
-            keep[k] = 100 * common >= percent * (p[k] + q[k] - common)
-        return keep
 
-    return compare
+def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    small, large = min(len(p), len(q)), max(len(p), len(q))
+    if not small or 100 * small < percent * large:  # the smaller set bounds what they can share
+        return False
+    common = _common(p, q)
+    return 100 * common >= percent * (len(p) + len(q) - common)
 
 
-def _cells(large: DataFrame, payload: DataFrame, compare: Compare) -> DataFrame:
-    """(a, b) of different parts of the same large bucket that ``compare`` lets through.
+class _Cell:
+    """Rows of two blocks of one bucket and the pairs of them that lie in different parts."""
 
-    A row of a bucket of n items goes to n / ``BLOCK`` cells; only survivors leave a cell.
+    def __init__(self, rows: pd.DataFrame):
+        own = rows["block"].to_numpy() == rows["low"].to_numpy()
+        self.first = rows[own]
+        self.second = self.first if rows["low"].iloc[0] == rows["high"].iloc[0] else rows[~own]
+        self.a = self.first["cls"].to_numpy(np.int64)
+        self.b = self.second["cls"].to_numpy(np.int64)
+        open_ = self.first["part"].to_numpy()[:, None] != self.second["part"].to_numpy()[None, :]
+        if self.second is self.first:
+            open_ &= self.a[:, None] < self.b[None, :]
+        self.i, self.j = np.nonzero(open_)
+
+    def narrow(self, keep: np.ndarray) -> None:
+        self.i, self.j = self.i[keep], self.j[keep]
+
+    def lists(self, column: str) -> tuple[list, list]:
+        x = self.first[column].tolist()
+        return x, x if self.second is self.first else self.second[column].tolist()
+
+    def screen(self, compare: Compare, key: int) -> None:
+        """Keep pairs that may be links and whose first common bucket is this one."""
+        if len(self.i) and len(self.b):
+            self.narrow(compare(*self.lists("sig"), self.i, self.j))
+        if len(self.i):
+            x, y = (np.stack(v) for v in self.lists("bands"))
+            same = x[self.i] == y[self.j]
+            self.narrow(x[self.i, same.argmax(axis=1)] == key)
+
+    def links(self, to_set: Callable[[str], np.ndarray], percent: int) -> pd.DataFrame:
+        """Links that join the cell's items; pairs that others have joined already are left out."""
+        x, y = self.lists("body")
+        need_x, need_y = set(self.i.tolist()), set(self.j.tolist())
+        sets_x = {k: to_set(x[k]) for k in need_x}
+        sets_y = {k: to_set(y[k]) for k in need_y}
+        joined, out = UnionFind(), []
+        part_a, part_b = (f["part"].to_numpy(np.int64) for f in (self.first, self.second))
+        for i, j in zip(self.i.tolist(), self.j.tolist(), strict=True):
+            p, q = int(part_a[i]), int(part_b[j])
+            if joined.find(p) != joined.find(q) and _similar(sets_x[i], sets_y[j], percent):
+                joined.union(p, q)
+                out.append((int(self.a[i]), int(self.b[j])))
+        return pd.DataFrame(out, columns=["a", "b"]).astype(np.int64)
+
+
+def _in_cells(
+    large: DataFrame,
+    bodies: DataFrame,
+    to_set: Callable[[str], np.ndarray],
+    percent: int,
+    payload: DataFrame | None,
+    compare: Compare | None,
+) -> DataFrame:
+    """Links (a, b) between different parts of the same large bucket.
+
+    A row of a bucket of n items goes to n / ``BLOCK`` cells. With ``payload`` and ``compare`` the
+    cells are screened first, and only items with a pair left come back with their bodies. A pair is
+    verified in the first of its common buckets alone, and no row is written for pairs that are not
+    links.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     placed = (
-        large.join(payload, "cls")
-        .withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
+        large.withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select(
-            "key",
-            F.least("block", "other").alias("low"),
-            F.greatest("block", "other").alias("high"),
-            "block",
-            "cls",
-            "part",
-            "payload",
-        )
+        .select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cls", "part")
     )
+    where = ["key", "low", "high"]
+    if compare is not None:
 
-    def cell(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows["block"].to_numpy() == rows["low"].to_numpy()
-        first = rows[own]
-        second = first if rows["low"].iloc[0] == rows["high"].iloc[0] else rows[~own]
-        a, b = first["cls"].to_numpy(np.int64), second["cls"].to_numpy(np.int64)
-        open_ = first["part"].to_numpy()[:, None] != second["part"].to_numpy()[None, :]
-        if second is first:
-            open_ &= a[:, None] < b[None, :]
-        i, j = np.nonzero(open_)
-        if len(i):
-            x = first["payload"].tolist()
-            keep = compare(x, x if second is first else second["payload"].tolist(), i, j)
-            i, j = i[keep], j[keep]
-        return pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j])})
-
-    return placed.groupBy("key", "low", "high").applyInPandas(cell, "a long, b long")
+        def pick(rows: pd.DataFrame) -> pd.DataFrame:
+            cell = _Cell(rows)
+            cell.screen(compare, int(rows["key"].iloc[0]))
+            kept = [cell.first.iloc[np.unique(cell.i)], cell.second.iloc[np.unique(cell.j)]]
+            return pd.concat(kept)[[*where, "block", "cls", "part"]].drop_duplicates("cls")
+
+        kinds = "key long, low int, high int, block int, cls long, part long"
+        hot = placed.join(payload, "cls").groupBy(*where).applyInPandas(pick, kinds)
+        placed = materialize(hot, "open-cells").join(payload, "cls")
+
+    def check(rows: pd.DataFrame) -> pd.DataFrame:
+        cell = _Cell(rows)
+        if compare is not None:
+            cell.screen(compare, int(rows["key"].iloc[0]))
+        return cell.links(to_set, percent)
+
+    return placed.join(bodies, "cls").groupBy(*where).applyInPandas(check, "a long, b long")
 
 
 def link(
@@ -175,11 +212,8 @@ def link(
     """(id, component) of all items that are linked to another one.
 
     ``screen`` maps candidate pairs (a, b) to (a, b, matches) and may leave hopeless ones out; inside
-    large buckets ``compare`` does so on ``payload`` (cls, payload). Without them large buckets are
-    compared by their bodies' sets.
+    large buckets ``compare`` does so on ``payload`` (cls, sig, bands).
     """
-    if payload is None or compare is None:
-        payload, compare = bodies.withColumnRenamed("body", "payload"), by_sets(to_set, percent)
     links = tried = parts = None
     rows, before = buckets.count(), None
     for turn in range(MOST_ROUNDS + 1):
@@ -224,15 +258,15 @@ def link(
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         if screen is not None:
             pairs = screen(pairs)
-        if last:
-            inside = _cells(now.filter(F.col("n") > SMALL_BUCKET).select("key", "cls", "part", "n"), payload, compare)
-            inside = inside.distinct().join(tried, ["a", "b"], "left_anti")
-            pairs = pairs.select("a", "b").unionByName(inside).distinct()
-        else:
+        if not last:
             order = F.col("matches") if screen is not None else F.xxhash64("a", "b")
             pairs = pairs.groupBy("item").agg(F.max(F.struct(order.alias("o"), "a", "b")).alias("p")).select("p.a", "p.b").distinct()
         pairs = materialize(pairs.select("a", "b"), "pairs")
-        good = materialize(verified(pairs, bodies, to_set, percent), "verified")
+        good = verified(pairs, bodies, to_set, percent)
+        if last:
+            large = now.filter(F.col("n") > SMALL_BUCKET).select("key", "cls", "part", "n")
+            good = good.unionByName(_in_cells(large, bodies, to_set, percent, payload, compare))
+        good = materialize(good, "verified")
         links = good if links is None else links.unionByName(good)
         tried = pairs if tried is None else tried.unionByName(pairs)
         if last and good.isEmpty():

@@ -183,14 +183,14 @@ def components_of(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
     )
     buckets = shared_buckets(classes)
     bodies = materialize(_bodies(docs, classes, buckets, width), "bodies")
-    involved = classes.join(buckets.select("cls").distinct(), "cls", "left_semi").select("cls", "sig")
+    involved = classes.join(buckets.select("cls").distinct(), "cls", "left_semi").select("cls", "sig", "bands")
     parts = link(
         buckets,
         bodies,
         lambda text: shingles(word_hashes(text), width),
         percent,
         bayes_screen(involved, BANDS * ROWS, percent),
-        involved.withColumnRenamed("sig", "payload"),
+        involved,
         bayes_compare(BANDS * ROWS, percent),
     )
     named = parts.withColumnRenamed("id", "cls").join(classes.select("cls", "least"), "cls")
