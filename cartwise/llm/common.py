@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 CACHE_ENTRIES = 600_000
 #: The six characters that separate words or are deleted for exact comparison.
 SPACES = " \t\n\x0b\x0c\r"
-#: ASCII-only lower case; other letters keep their case.
-ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+#: ASCII-only lower case of bytes; other letters keep their case.
+_LOWER = bytes(c + 32 if ord("A") <= c <= ord("Z") else c for c in range(256))
 WORD_RULE = r"[^\x20\x09-\x0D]+"
 
 
@@ -30,15 +30,12 @@ def fold(doc_id: str | Column, parts: int) -> Column:
 
 
 def words(text: str) -> list[str]:
-    """Lower-case A-Z, then the runs without the six spaces."""
-    text = text.translate(ASCII_LOWER)
-    if text.isascii():
-        # str.split() also cuts at \x1c-\x1f, so texts with those take the exact way below.
-        if not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return text.split()
-    for c in SPACES[1:]:
-        text = text.replace(c, " ")
-    return [w for w in text.split(" ") if w]
+    """Lower-case A-Z, then the runs without the six spaces.
+
+    Both are properties of single bytes of UTF-8, where ``bytes`` methods do just this.
+    """
+    runs = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    return b"\n".join(runs).decode("utf-8", "surrogatepass").split("\n") if runs else []
 
 
 class WordHash(dict):
