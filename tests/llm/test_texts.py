@@ -178,7 +178,8 @@ def test_trie_file_and_normalised_probabilities(spark, tmp_path):
     for first in range(v.start + 1):
         for second in range(v.start + 1):
             n = np.full(v.start, 1)
-            total = (10 ** trie.log_p(n * first, n * second, words_)).sum()
+            context = trie.find_pairs(n * first, n * second)
+            total = (10 ** trie.log_p(n * second, words_, trie.find_pairs(n * second, words_), context)).sum()
             # Counts of nothing get a tenth; quantising changes little with so few values.
             assert total == pytest.approx(1, abs=0.05)
 
