@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from cartwise.llm.common import CACHE_ENTRIES, batches
 
-BITS, TRAIN_ROWS, THRESHOLD = 18, 20_000, 0.7
+BITS, TRAIN_ROWS, THRESHOLD = 18, 12_000, 0.7
 #: Groups of terms that may be exchanged for each other; a parameter of ``train``.
 IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
     ("women", "men"),
@@ -96,12 +96,13 @@ def _ragged(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return at, (np.concatenate(rows) if rows else np.empty(0, np.int32)).astype(np.int64)
 
 
-def evident(row: np.ndarray, slot: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+def evident(x: list[np.ndarray], y: np.ndarray, least: float) -> np.ndarray:
     """Slots whose share of toxic texts differs from that of others by ``least`` standard errors."""
     size, p = 1 << BITS, y.sum()
     q = len(y) - p
-    a = np.bincount(slot, y[row], size)
-    b = np.bincount(slot, minlength=size) - a
+    a, b = np.zeros(size), np.zeros(size)
+    for slots, toxic in zip(x, y, strict=True):  # a text has a slot once
+        (a if toxic else b)[slots] += 1
     # Log odds ratio and its error, with half a text added to each cell.
     odds = np.log((a + 0.5) / (p - a + 0.5)) - np.log((b + 0.5) / (q - b + 0.5))
     error = np.sqrt(1 / (a + 0.5) + 1 / (p - a + 0.5) + 1 / (b + 0.5) + 1 / (q - b + 0.5))
@@ -130,12 +131,10 @@ def fit(
     base = float(np.log(share / (1 - share)))
     if y.min() == y.max():
         return Model(np.zeros(size, np.float32), base)
-    row, slot = _ragged(x)
-    use = evident(row, slot, y, evidence)
-    row, slot = row[use[slot]], slot[use[slot]]
+    use = evident(x, y, evidence)
+    row, slot = _ragged([s[use[s]] for s in x])
     pairs = [k for k, t in enumerate(twins) if t is not None]
-    twin_row, twin_slot = _ragged([twins[k] for k in pairs])
-    twin_row, twin_slot = twin_row[use[twin_slot]], twin_slot[use[twin_slot]]
+    twin_row, twin_slot = _ragged([twins[k][use[twins[k]]] for k in pairs])
     at = np.array(pairs, np.int64)
     of_pair = np.full(n, -1, np.int64)
     of_pair[at] = np.arange(len(at))
@@ -199,8 +198,8 @@ def train(
         .limit(train_rows)
         .toArrow()
     )
-    x = [np.asarray(v.values.to_numpy() if v.is_valid else (), np.int32) for v in got.column("own")]
-    twins = [np.asarray(v.values.to_numpy(), np.int32) if v.is_valid else None for v in got.column("twin")]
+    x = [v.values.to_numpy() for v in got.column("own")]
+    twins = [v.values.to_numpy() if v.is_valid else None for v in got.column("twin")]
     return fit(x, got.column("toxic").to_numpy().astype(np.float64), twins, counterfactual)
 
 
