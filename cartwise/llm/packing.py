@@ -22,6 +22,8 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import filterfalse
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,10 @@ LENGTH = 2048
 END_ID = 1
 #: Tokens between two allowed cuts inside a sentence that is longer than this.
 STEP = 128
+#: Of sentence ends within this many tokens the last may be a cut.
+APART = 24
+#: Powers of two below this are used for a partition's end only: shorter windows help nobody.
+LEAST_POWER = 512
 #: Cost, in padded tokens, of a cut at a sentence end and inside a sentence.
 SENTENCE_PENALTY, INSIDE_PENALTY = 4, 24
 CHUNK = 400_000
@@ -57,9 +63,26 @@ class Chunks(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self._alone(self.MARK)
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _alone(self, part: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4")
+        return np.array(self.tokenizer.encode_batch_fast([part], add_special_tokens=False)[0].ids, "<u4")
+
+    def learn_letters(self, parts: list[str]) -> None:
+        """Parts of letters alone: each is one word, and ends with the first id that ends a word."""
+        for a in range(0, len(parts), 1024):
+            some = parts[a : a + 1024]
+            ids = self._alone(" ".join(some))
+            ends = (np.flatnonzero(self.is_end[ids]) + 1).tolist()
+            if len(ends) == len(some):
+                raw, start = ids.tobytes(), 0
+                for part, end in zip(some, ends, strict=True):
+                    self[part] = raw[4 * start : 4 * end]
+                    start = end
+            else:  # a letter whose lower case is more than letters
+                self.learn(some)
 
     def learn(self, parts: list[str]) -> None:
         for a in range(0, len(parts), 512):
@@ -79,26 +102,36 @@ class Chunks(dict):
                 for part in some:
                     self[part] = self._alone(part).tobytes()
 
-    def add(self, parts: set[str]) -> None:
-        """Know all ``parts``. A run of ASCII letters with stops behind it is taken as two."""
-        if len(self) > self.LIMIT:
+    def add(self, parts: set[str]) -> bool:
+        """Know all ``parts``; true if others were forgotten for it.
+
+        A run of letters with stops behind it is taken as two.
+        """
+        emptied = len(self) > self.LIMIT
+        if emptied:
             self.clear()
-        cores: dict[str, tuple[str, str]] = {}
-        need: dict[str, None] = {}
+        cores: list[tuple[str, str, str]] = []
+        letters: set[str] = set()
+        other: set[str] = set()
         for part in parts:
-            low = part.lower() if part.isascii() else part
-            core = low.rstrip(".,!?")
-            if core and core.isascii() and core.isalpha():
-                tail = low[len(core) :]
-                cores[part] = (core, tail)
-                for x in (core, tail):
-                    if x and x not in self:
-                        need[x] = None
+            core = part.rstrip(".,!?")
+            if core.isalpha():
+                tail = part[len(core) :]
+                if core.isascii():
+                    core = core.lower()
+                if core not in self:
+                    letters.add(core)
+                if tail and tail not in self:
+                    other.add(tail)
+                if core != part:
+                    cores.append((part, core, tail))
             else:
-                need[part] = None
-        self.learn(list(need))
-        for part, (core, tail) in cores.items():
+                other.add(part)
+        self.learn_letters(list(letters))
+        self.learn(list(other))
+        for part, core, tail in cores:
             self[part] = self[core] + self[tail] if tail else self[core]
+        return emptied
 
 
 @lru_cache(maxsize=1)
@@ -106,20 +139,24 @@ def _chunks(path: str) -> Chunks:
     return Chunks(path)
 
 
+_NOT_SPACE = "\x1c\x1d\x1e\x1f"  # str.split() would cut here, the tokenizer does not
 _TO_BLANK = str.maketrans("\t\n\x0b\x0c\r", "     ")
-_SLICE = 2_000_000
+_SLICE, _LAST = 2_000_000, itemgetter(-1)
 
 
 def _parts(text: str) -> Iterator[list[str]]:
-    """Runs between ASCII white space, for long texts a slice at a time."""
-    text = text.translate(_TO_BLANK)
+    """Runs between white space, for long texts a slice at a time."""
     start = 0
     while start < len(text):
         end = len(text)
         if end - start > _SLICE:
             cut = text.find(" ", start + _SLICE)
             end = cut if cut >= 0 else end
-        yield [p for p in text[start:end].split(" ") if p]
+        piece = text[start:end]
+        if any(c in piece for c in _NOT_SPACE):
+            yield [p for p in piece.translate(_TO_BLANK).split(" ") if p]
+        else:
+            yield piece.split()
         start = end
 
 
@@ -128,17 +165,17 @@ def tokens_of(text: str | None, path: str, end_id: int = END_ID) -> tuple[np.nda
     known = _chunks(path)
     ids, ends, base = [], [], 0
     for parts in _parts(text or ""):
-        new = {p for p in parts if p not in known}
-        if new:
-            known.add(new)
-            if any(p not in known for p in parts):  # emptied meanwhile
-                known.add(set(parts))
+        if not parts:
+            continue
+        new = set(filterfalse(known.__contains__, parts))
+        if new and known.add(new):
+            known.add(set(parts) - new)
         raw = list(map(known.__getitem__, parts))
         sizes = np.fromiter(map(len, raw), np.int64, len(raw)).cumsum() // 4
-        stops = [k for k, p in enumerate(parts) if p[-1] in ".!?"]
-        ends.append(base + sizes[stops])
+        last = np.frombuffer("".join(map(_LAST, parts)).encode("utf-32-le", "surrogatepass"), "<u4")
+        ends.append(base + sizes[(last == ord(".")) | (last == ord("!")) | (last == ord("?"))])
         ids.append(b"".join(raw))
-        base += int(sizes[-1]) if len(sizes) else 0
+        base += int(sizes[-1])
     ids.append(np.array([end_id], "<u4").tobytes())
     at = np.concatenate(ends) if ends else np.empty(0, np.int64)
     return np.frombuffer(b"".join(ids), "<u4"), at
@@ -146,11 +183,15 @@ def tokens_of(text: str | None, path: str, end_id: int = END_ID) -> tuple[np.nda
 
 def cut_places(n: int, sentence_ends: np.ndarray, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
     """Places inside a document of ``n`` tokens where it may be cut, with their penalties."""
-    marks = np.unique(np.concatenate([[0], sentence_ends[(sentence_ends > 0) & (sentence_ends < n - 1)], [n]]))
+    if n <= APART:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    inner = sentence_ends[(sentence_ends > 0) & (sentence_ends < n - 1)]  # they ascend
+    marks = np.concatenate([[0], inner, [n]])
     inside = []
-    for k in np.flatnonzero(np.diff(marks) > step):
+    for k in np.flatnonzero(marks[1:] - marks[:-1] > step):
         inside.append(np.arange(marks[k] + step, marks[k + 1], step))
     places = marks[1:-1]
+    places = places[np.diff(places // APART, append=-1) != 0]  # the last of those close together
     costs = np.full(len(places), SENTENCE_PENALTY, np.int64)
     if inside:
         extra = np.concatenate(inside)
@@ -166,7 +207,7 @@ def choose_cuts(places: list[int], costs: list[int], length: int = LENGTH) -> li
 
     Neighbouring places are at most ``length`` apart.
     """
-    powers = [1 << k for k in range(length.bit_length()) if 1 << k <= length]
+    powers = [1 << k for k in range(length.bit_length()) if LEAST_POWER <= 1 << k < length]
     best, back = [0], [-1]
     index = {0: 0}
     at = [0, *places]
