@@ -110,7 +110,9 @@ def test_submission_orders_products_numerically(spark):
     rows_ = spark.createDataFrame(
         [(1, 10, 1), (1, 2, 1), (2, 7, 0)], "order_id BIGINT, product_id BIGINT, predicted INT"
     )
-    assert [tuple(r) for r in decisions.submission(rows_).collect()] == [(1, "2 10"), (2, "None")]
+    orders = spark.createDataFrame([(1,), (2,), (3,)], "order_id BIGINT")
+    got = [tuple(r) for r in decisions.submission(rows_, orders).collect()]
+    assert got == [(1, "2 10"), (2, "None"), (3, "None")]
 
 
 def test_none_probability(spark):
@@ -151,8 +153,8 @@ def test_vocabulary_and_encoding(spark):
 
 def test_order_folds(spark):
     orders = spark.range(10, 33).withColumnRenamed("id", "order_id")
-    dropped = {r.order_id: r.fold for r in splits.order_folds(orders, 5).collect()}
-    kept = {r.order_id: r.fold for r in splits.order_folds(orders, 5, keep_remainder=True).collect()}
+    dropped = {r.order_id: r.fold for r in splits.order_folds(orders, 5, keep_remainder=False).collect()}
+    kept = {r.order_id: r.fold for r in splits.order_folds(orders, 5).collect()}
     assert dropped == {10 + i: i // 4 for i in range(20)}
     assert kept == {10 + i: min(i // 4, 4) for i in range(23)}
 
