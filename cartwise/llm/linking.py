@@ -26,7 +26,7 @@ from cartwise.session import materialize
 #: the last round closed at least half of them.
 OPEN_PER_ROW, MOST_ROUNDS = 8, 12
 #: Buckets above this size are compared in cells of two blocks of about ``BLOCK`` items.
-SMALL_BUCKET, BLOCK = 16, 128
+SMALL_BUCKET, BLOCK = 16, 512
 
 #: Tells which of the item pairs (i of the first list, j of the second) may be links.
 Compare = Callable[[list, list, np.ndarray, np.ndarray], np.ndarray]
