@@ -232,3 +232,36 @@ def test_search_leaves_candidates_out():
     ids, scores, seen = index.search(-1, v[5], 10)
     best = np.lexsort((np.arange(4000), -(v @ v[5])))[:10]
     assert ids.tolist() == best.tolist() and seen < 2000
+
+
+def random_words(rng, n):
+    return [f"w{k}" for k in rng.integers(0, 100_000, n)]
+
+
+def test_exact_passages_go_from_end_to_end(spark):
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for k in range(60):
+        passage = random_words(rng, 50 + k % 12)
+        rows.append((k, " ".join(random_words(rng, 40) + passage + random_words(rng, 30))))
+        before, after = random_words(rng, 20 + k % 7), random_words(rng, 25)
+        rows.append((100 + k, " ".join(before + passage + after)))
+        want[100 + k] = len(before), len(passage)
+    docs = frame(spark, rows)
+    found = passages.find(docs)
+    got = {r.doc_id: (r.start, r.n_words, r.first_doc) for r in found.collect()}
+    assert sorted(got) == sorted(want)
+    for i, (start, n) in want.items():
+        a, size, first = got[i]
+        # A paragraph that reaches over an end may be a near copy as a whole.
+        assert a <= start and a + size >= start + n and size <= n + 6 and first == i - 100
+
+
+def test_every_run_of_fifty_words_holds_a_seed():
+    rng = np.random.default_rng(12)
+    hashes = word_hashes(" ".join(random_words(rng, 2000)))
+    at, _ = passages.seeds(hashes)
+    for a in range(2000 - passages.EXACT_WORDS + 1):
+        assert ((at >= a) & (at + passages.SEED_WORDS <= a + passages.EXACT_WORDS)).any()
+    own = passages.run_hashes(hashes, 50)
+    assert (passages.run_hashes(hashes[7:], 50) == own[7:]).all() and len(np.unique(own)) == len(own)
