@@ -265,3 +265,35 @@ def test_every_run_of_fifty_words_holds_a_seed():
         assert ((at >= a) & (at + passages.SEED_WORDS <= a + passages.EXACT_WORDS)).any()
     own = passages.run_hashes(hashes, 50)
     assert (passages.run_hashes(hashes[7:], 50) == own[7:]).all() and len(np.unique(own)) == len(own)
+
+
+def test_edited_paragraphs_are_found_as_a_whole(spark):
+    rng = np.random.default_rng(13)
+    rows, pairs = [], {}
+    for k in range(90):
+        n, edits = ((60, 1), (80, 1), (100, 2))[k % 3]
+        line = random_words(rng, n)
+        rows.append((k, " ".join(random_words(rng, 20)) + "\n" + " ".join(line) + "\n" + " ".join(random_words(rng, 20))))
+        changed = list(line)
+        for e in range(edits):
+            changed[n // (edits + 1) * (e + 1)] = f"edit{k}x{e}"
+        p, q = (shingles(word_hashes(" ".join(x)), 5) for x in (line, changed))
+        assert 100 * len(np.intersect1d(p, q)) >= 80 * len(np.union1d(p, q))
+        rows.append((100 + k, " ".join(random_words(rng, 15)) + "\n" + " ".join(changed)))
+        pairs[100 + k] = (15, n)
+    found = {(r.doc_id, r.start, r.n_words) for r in passages.find(frame(spark, rows)).collect()}
+    # A piece that reaches over an end may be a near copy as a whole; three bands miss 0.8 % at the threshold.
+    whole = [(i, a, n) for i, a, n in found if i in pairs and 9 <= a <= 15 and a + n == sum(pairs[i])]
+    assert len(whole) >= 86 and len(found) - len(whole) <= 4
+    assert all(i >= 100 for i, _, _ in found)
+
+
+def test_units_are_pieces_and_lines():
+    rng = np.random.default_rng(14)
+    lines_ = [" ".join(random_words(rng, n)) for n in (30, 10, 40)]
+    starts, sizes, names, signatures = passages.units(f"{lines_[0]}\n{lines_[1]}\n\n{lines_[2]}\n")
+    assert list(zip(starts.tolist(), sizes.tolist(), strict=True))[-2:] == [(0, 30), (40, 40)]
+    assert len(starts) == len(names) == len(signatures)
+    hashes = word_hashes(" ".join(lines_))
+    assert [passages.paragraph_name(hashes[a : a + n]) for a, n in zip(starts, sizes, strict=True)] == names.tolist()
+    assert all(len(x) == 0 for x in (*passages.units(None), *passages.units(" ")))
