@@ -185,14 +185,10 @@ def planted(doc_id: str = "doc_id", text: str = "text") -> Column:
     h = F.crc32(F.col(doc_id).cast("string").cast("binary"))
     g = F.floor(h / 10)
     words = F.regexp_extract_all(text, F.lit(f"({WORD_RULE})"), 1)
-    n = F.size(words).cast("long")
-
-    def repeated(w: Column) -> Column:
-        a = F.pmod(g, F.size(w).cast("long"))
-        p = F.floor((F.size(w) - a) / (3 + F.pmod(g, F.lit(8)))) + 1
-        places = F.sequence(F.lit(0).cast("long"), F.size(w).cast("long") - 1)
-        return F.array_join(
-            F.transform(places, lambda i: F.get(w, F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int"))), " "
-        )
-
-    return F.when((F.pmod(h, F.lit(10)) == 0) & (n > 0), repeated(words)).otherwise(F.col(text))
+    n = F.size(words)
+    a = F.pmod(g, n.cast("long")).cast("int")
+    p = (F.floor((n - a) / (3 + F.pmod(g, F.lit(8)))) + 1).cast("int")
+    # Word by word lookups would cut the text anew for each word; whole slices do it a fixed number of times.
+    copies = F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int"))
+    made = F.concat(F.slice(words, F.lit(1), a), F.slice(F.flatten(copies), F.lit(1), n - a))
+    return F.when((F.pmod(h, F.lit(10)) == 0) & (n > 0), F.array_join(made, " ")).otherwise(F.col(text))
