@@ -33,6 +33,7 @@ Without rules all urls get the default.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -187,7 +188,6 @@ def judge(
     pages: DataFrame, rules: Sequence[Rule], default: str = ALLOW, id_col: str = "page_id", url_col: str = "url"
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row; ``rule`` is null where none fits."""
-    spark = pages.sparkSession
     verdicts: dict[str, str] = {}
     for r in rules:
         if verdicts.setdefault(r.key, r.verdict) != r.verdict:
@@ -198,7 +198,9 @@ def judge(
         return rows.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     shapes = sorted({r.shape for r in rules})
     keyed = rows.withColumn("keys", keys_of(F.col("host"), F.col("path"), shapes))
-    lists = spark.createDataFrame(list(verdicts.items()), "key string, verdict string")
+    listing = json.dumps([{"key": k, "verdict": v} for k, v in verdicts.items()])
+    parsed = F.from_json(F.lit(listing), "array<struct<key: string, verdict: string>>")
+    lists = pages.sparkSession.range(1).select(F.inline(parsed))
     universe = keyed.select(F.explode("keys.key").alias("key"))
     listed = build_cascade(lists.select("key"), universe)
     blocked = build_cascade(lists.filter(F.col("verdict") == BLOCK).select("key"), lists.select("key"))
