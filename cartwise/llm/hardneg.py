@@ -188,9 +188,14 @@ def _cells(classes: DataFrame, anchors: DataFrame, keys: list[str]) -> tuple[Dat
     )
     facts = materialize(facts, "cells")
     spread = F.xxhash64("cid")
+
+    def place(parts: str) -> Column:
+        # Both sides of a cell need keys of one type: an int and a long are dealt out differently.
+        return F.pmod(spread, F.col(parts)).cast("int")
+
     asked = anchors.join(facts, keys).select(
         *anchors.columns,
-        F.pmod(spread, F.col("blocks")).alias("block"),
+        place("blocks").alias("block"),
         F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"),
     )
     # New names for the same columns, since both sides come from ``classes``.
@@ -198,7 +203,7 @@ def _cells(classes: DataFrame, anchors: DataFrame, keys: list[str]) -> tuple[Dat
         *[F.col(c).alias(c) for c in ("dim", "label", "v", "cid", "copies")],
         F.col("vec_id").isNull().alias("unnamed"),
         F.coalesce("vec_id", F.lit(0)).alias("id"),
-        F.pmod(spread, F.col("groups")).alias("group"),
+        place("groups").alias("group"),
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
     )
     return asked.withColumnRenamed("cid", "owner"), stored, [*keys, "block", "group"]
