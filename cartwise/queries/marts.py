@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from cartwise.plans import marts, recency, rolling
 from cartwise.queries.statistics import (
     PRODUCT_RECENCY_SPEC,
@@ -282,107 +284,176 @@ def snapshot_mart(spark, sf):
     return marts.snapshot_mart(load(spark, sf))
 
 
-STRIDE = 61  # days between windows that together cover the whole log
+def rolling_ctes(horizon: int = 1) -> str:
+    """Days, starts and lines by start. A window starting on day s is train window s and test window s - 15."""
+    return f"""
+    m AS (SELECT min(order_date) AS d, greatest(0, date_diff('day', min(order_date), max(order_date)) - 120 - 15 - {horizon}) AS last
+          FROM c_lines),
+    dated AS MATERIALIZED (SELECT l.*, date_diff('day', m.d, l.order_date) AS off FROM c_lines l, m),
+    held AS (SELECT * EXCLUDE (last), unnest(range(greatest(off - 120, 0), least(off, last + 15) + 1)) AS s
+             FROM (SELECT dated.*, m.last FROM dated, m)),
+    splits AS (SELECT * FROM (VALUES ('train', 0), ('test', 15)) x(split, shift))"""
 
 
-def rolling_ctes(horizon: int = 1, stride: int = STRIDE) -> str:
-    """Windows and the lines, pairs, user and product facts inside them."""
-    return f"""
-    m AS (SELECT min(order_date) AS d, date_diff('day', min(order_date), max(order_date)) AS span FROM c_lines),
-    w AS (SELECT s.split, c.counter, m.d + CAST(c.counter * {stride} + s.shift AS INTEGER) AS lo,
-            m.d + CAST(c.counter * {stride} + s.shift + 120 AS INTEGER) AS hi
-          FROM (VALUES ('train', 0), ('test', 15)) s(split, shift), m,
-               unnest(range(greatest(1, ceil((m.span - 120 - 15 - {horizon}) / {stride}::DOUBLE)::BIGINT + 1))) c(counter)),
-    wl AS MATERIALIZED (SELECT w.split, w.counter, l.* FROM c_lines l JOIN w ON l.order_date BETWEEN w.lo AND w.hi),
-    wlabel AS MATERIALIZED (
-        SELECT p.*, CASE WHEN y.product_id IS NULL THEN 0 ELSE 1 END AS reordered
-        FROM (SELECT DISTINCT split, counter, user_id, product_id FROM wl) p
-        LEFT JOIN (SELECT DISTINCT w.split, w.counter, l.user_id, l.product_id
-                   FROM c_lines l JOIN w ON l.order_date > w.hi AND l.order_date <= w.hi + {horizon}) y
-        ON y.split = p.split AND y.counter = p.counter AND y.user_id = p.user_id AND y.product_id = p.product_id)"""
+# Ranges of starts as ranges of window counters.
+CLIPPED = """SELECT split, greatest(lo - shift, 0) AS first_counter, least(hi - shift, m.last) AS last_counter, r.* EXCLUDE (lo, hi)
+    FROM {rows} r, splits, m WHERE greatest(lo - shift, 0) <= least(hi - shift, m.last)"""
 
 
 @query(
     "rolling_snapshots",
-    "split:s counter,order_id,user_id,product_id:i",
-    f"{rolling_ctes()};;SELECT * FROM wl",
+    "split:s first_counter,last_counter,order_id,user_id,product_id:i",
+    f"""{rolling_ctes()},
+    each AS (SELECT order_id, user_id, product_id, min(s) AS lo, max(s) AS hi FROM held GROUP BY ALL);;
+    {CLIPPED.format(rows="each")}""",
 )
 def rolling_snapshots(spark, sf):
-    return rolling.snapshots(load(spark, sf), rolling.Windows(stride_days=STRIDE))
+    """All lines with the daily windows that hold them."""
+    return rolling.snapshot_ranges(load(spark, sf))
 
 
-@query(
-    "rolling_labels",
-    "split:s counter,user_id,product_id,reordered:i",
-    f"{rolling_ctes()};;SELECT * FROM wlabel",
-)
+def label_sql(horizon: int) -> str:
+    """Label of every pair and start, start by start, then equal neighbours as one range."""
+    return f"""{rolling_ctes(horizon)},
+    hits AS (SELECT DISTINCT user_id, product_id,
+                unnest(range(greatest(off - 120 - {horizon}, 0), least(off - 121, m.last + 15) + 1)) AS s FROM dated, m),
+    flags AS (SELECT h.*, (y.s IS NOT NULL)::INT AS reordered FROM (SELECT DISTINCT user_id, product_id, s FROM held) h
+              LEFT JOIN hits y ON y.user_id = h.user_id AND y.product_id = h.product_id AND y.s = h.s),
+    each AS (SELECT user_id, product_id, reordered, min(s) AS lo, max(s) AS hi
+             FROM (SELECT *, s - row_number() OVER (PARTITION BY user_id, product_id, reordered ORDER BY s) AS island FROM flags)
+             GROUP BY user_id, product_id, reordered, island);;
+    {CLIPPED.format(rows="each")}"""
+
+
+@query("rolling_labels", "split:s first_counter,last_counter,user_id,product_id,reordered:i", label_sql(1))
 def rolling_labels(spark, sf):
-    return rolling.labels(load(spark, sf), rolling.Windows(stride_days=STRIDE))
+    return rolling.label_ranges(load(spark, sf))
 
 
-@query(
-    "rolling_labels_month",
-    "split:s counter,user_id,product_id,reordered:i",
-    f"{rolling_ctes(30)};;SELECT * FROM wlabel",
-)
+@query("rolling_labels_month", "split:s first_counter,last_counter,user_id,product_id,reordered:i", label_sql(30))
 def rolling_labels_month(spark, sf):
     """Labels over the thirty days after each window instead of the next day."""
-    return rolling.labels(load(spark, sf), rolling.Windows(horizon_days=30, stride_days=STRIDE))
+    return rolling.label_ranges(load(spark, sf), rolling.Windows(horizon_days=30))
+
+
+@query(
+    "rolling_products",
+    "split:s counter,product_id,prod_orders,prod_reorders:i reorder_ration,reorder_prob:d prod_users_unq,prod_users_unq_reordered:i",
+    f"""{rolling_ctes()},
+    up AS (SELECT s, product_id, user_id, count(*) AS n, sum(reordered) AS again FROM held GROUP BY ALL);;
+    SELECT split, s - shift AS counter, p.* EXCLUDE (s) FROM (
+        SELECT s, product_id, sum(n) AS prod_orders, sum(again) AS prod_reorders, sum(again)::DOUBLE / sum(n) AS reorder_ration,
+            avg(CASE WHEN again > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS reorder_prob,
+            count(*) AS prod_users_unq, count(*) FILTER (again > 0) AS prod_users_unq_reordered
+        FROM up GROUP BY ALL) p, splits, m WHERE s - shift BETWEEN 0 AND m.last""",
+)
+def rolling_products(spark, sf):
+    """Statistics of every product in every daily window."""
+    return rolling.product_windows(load(spark, sf))
 
 
-ROLLING_SQL = f"""{rolling_ctes()},
-    wg AS (SELECT *, row_number() OVER (PARTITION BY split, counter, user_id, product_id ORDER BY order_number DESC) AS gap_no
-           FROM (SELECT split, counter, user_id, product_id, order_number, timeline - lag(timeline) OVER
-                    (PARTITION BY split, counter, user_id, product_id ORDER BY order_number) AS gap FROM wl)
+PRODUCT_COLUMNS = "prod_orders prod_reorders reorder_ration reorder_prob prod_users_unq prod_users_unq_reordered".split()
+RANGE_SPEC = (
+    "split:s first_counter,last_counter,user_id,product_id,up_orders,up_first_order,up_last_order,reordered_sum:i "
+    "days_since_prior_order_mean,days_since_prior_order_median,order_dow_mean,order_dow_median,"
+    "user_product_reordered_ratio:d user_orders,user_order_starts_at:i "
+    "user_mean_days_since_prior,user_median_days_since_prior:d user_total_products,"
+    "user_distinct_products:i user_reorder_ratio,user_average_basket,up_order_rate:d up_orders_since_last_order:i "
+    "up_order_rate_since_first_order:d last,prev1,prev2:i median,mean,sdev:d reordered,rank_cust:i"
+)
+RANGE_VALUES = [
+    c for item in RANGE_SPEC.split() for c in item.split(":")[0].split(",")
+    if c not in ("split", "first_counter", "last_counter", "user_id", "product_id", "rank_cust")
+]
+
+# States of a user lie between the days on which any line or order of the user enters or leaves a window or label day.
+RANGES_CTES = f"""{rolling_ctes()},
+    priors AS (SELECT o.*, date_diff('day', m.d, o.order_date) AS off FROM c_orders o, m WHERE o.eval_set = 'prior'),
+    marks AS (SELECT DISTINCT user_id, unnest([0, off - 121, off - 120, off + 1]) AS p
+              FROM (SELECT user_id, off FROM dated UNION SELECT user_id, off FROM priors)),
+    states AS MATERIALIZED (
+        SELECT user_id, p, coalesce(lead(p) OVER (PARTITION BY user_id ORDER BY p), m.last + 16) - 1 AS q
+        FROM marks, m WHERE p BETWEEN 0 AND m.last + 15),
+    wl AS MATERIALIZED (SELECT t.p, l.* FROM states t JOIN dated l ON l.user_id = t.user_id AND l.off BETWEEN t.p AND t.p + 120),
+    hit AS (SELECT DISTINCT t.p, l.user_id, l.product_id FROM states t JOIN dated l ON l.user_id = t.user_id AND l.off = t.p + 121),
+    wg AS (SELECT *, row_number() OVER (PARTITION BY p, user_id, product_id ORDER BY order_number DESC) AS gap_no
+           FROM (SELECT p, user_id, product_id, order_number, timeline - lag(timeline) OVER
+                    (PARTITION BY p, user_id, product_id ORDER BY order_number) AS gap FROM wl)
            WHERE gap IS NOT NULL),
-    wgs AS MATERIALIZED (
-        SELECT split, counter, user_id, product_id, max(gap) FILTER (gap_no = 1) AS last, max(gap) FILTER (gap_no = 2) AS prev1,
+    wgs AS (
+        SELECT p, user_id, product_id, max(gap) FILTER (gap_no = 1) AS last, max(gap) FILTER (gap_no = 2) AS prev1,
             max(gap) FILTER (gap_no = 3) AS prev2, median(gap) FILTER (gap_no >= 2) AS median,
             avg(gap) FILTER (gap_no >= 2) AS mean, stddev_pop(gap) FILTER (gap_no >= 2) AS sdev
         FROM wg GROUP BY ALL),
-    wup AS MATERIALIZED (
-        SELECT split, counter, user_id, product_id, count(*) AS up_orders, min(order_number) AS up_first_order,
+    wup AS (
+        SELECT p, user_id, product_id, count(*) AS up_orders, min(order_number) AS up_first_order,
             max(order_number) AS up_last_order, sum(reordered) AS reordered_sum,
             (sum(reordered) + 1.0::DOUBLE) / count(*) AS user_product_reordered_ratio,
             avg(days_since_prior_order) AS days_since_prior_order_mean, median(days_since_prior_order) AS days_since_prior_order_median,
             avg(order_dow) AS order_dow_mean, median(order_dow) AS order_dow_median
         FROM wl GROUP BY ALL),
-    wps AS MATERIALIZED (
-        SELECT split, counter, product_id, sum(up_orders) AS prod_orders, sum(reordered_sum) AS prod_reorders,
-            sum(reordered_sum)::DOUBLE / sum(up_orders) AS reorder_ration,
-            avg(CASE WHEN reordered_sum > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS reorder_prob,
-            count(*) AS prod_users_unq, count(*) FILTER (reordered_sum > 0) AS prod_users_unq_reordered
-        FROM wup GROUP BY ALL),
-    wus AS MATERIALIZED (
-        SELECT w.split, w.counter, o.user_id, max(order_number) AS user_orders,
-            sum(coalesce(days_since_prior_order, 0)) AS user_order_starts_at,
+    wus AS (
+        SELECT t.p, o.user_id, max(order_number) AS user_orders, sum(coalesce(days_since_prior_order, 0)) AS user_order_starts_at,
             avg(days_since_prior_order) AS user_mean_days_since_prior, median(days_since_prior_order) AS user_median_days_since_prior
-        FROM c_orders o JOIN w ON o.order_date BETWEEN w.lo AND w.hi WHERE o.eval_set = 'prior' GROUP BY ALL),
-    wbs AS MATERIALIZED (
-        SELECT split, counter, user_id, count(*) AS user_total_products, sum(reordered)::DOUBLE / count(*) AS user_reorder_ratio,
+        FROM states t JOIN priors o ON o.user_id = t.user_id AND o.off BETWEEN t.p AND t.p + 120 GROUP BY ALL),
+    wbs AS (
+        SELECT p, user_id, count(*) AS user_total_products, sum(reordered)::DOUBLE / count(*) AS user_reorder_ratio,
             count(DISTINCT product_id) AS user_distinct_products
-        FROM wl WHERE eval_set = 'prior' GROUP BY ALL);;
-    SELECT u.split, u.counter, u.user_id, u.product_id, ps.prod_users_unq, ps.prod_users_unq_reordered, u.up_orders,
-        u.up_first_order, u.up_last_order, u.reordered_sum, {_fill('u', 'days_since_prior_order_mean,days_since_prior_order_median')},
-        u.order_dow_mean, u.order_dow_median, u.user_product_reordered_ratio, ps.prod_orders, ps.prod_reorders,
-        ps.reorder_ration, ps.reorder_prob, s.user_orders, s.user_order_starts_at,
-        {_fill('s', 'user_mean_days_since_prior,user_median_days_since_prior')},
-        b.user_total_products, b.user_distinct_products, b.user_reorder_ratio,
-        b.user_total_products::DOUBLE / s.user_orders AS user_average_basket,
-        u.up_orders::DOUBLE / s.user_orders AS up_order_rate, s.user_orders - u.up_last_order AS up_orders_since_last_order,
-        CASE WHEN s.user_orders - u.up_first_order + 1 = 0 THEN 999
-             ELSE s.user_orders::DOUBLE / (s.user_orders - u.up_first_order + 1) END AS up_order_rate_since_first_order,
-        {_fill('g', 'last,prev1,prev2,median,mean,sdev')}, l.reordered, c.rank_cust
-    FROM wup u
-    JOIN wps ps ON ps.split = u.split AND ps.counter = u.counter AND ps.product_id = u.product_id
-    JOIN wus s ON s.split = u.split AND s.counter = u.counter AND s.user_id = u.user_id
-    JOIN wbs b ON b.split = u.split AND b.counter = u.counter AND b.user_id = u.user_id
-    JOIN wlabel l ON l.split = u.split AND l.counter = u.counter AND l.user_id = u.user_id AND l.product_id = u.product_id
-    LEFT JOIN wgs g ON g.split = u.split AND g.counter = u.counter AND g.user_id = u.user_id AND g.product_id = u.product_id
-    JOIN (SELECT user_id, row_number() OVER (ORDER BY user_id) AS rank_cust FROM (SELECT DISTINCT user_id FROM c_orders)) c
-        ON c.user_id = u.user_id"""
+        FROM wl WHERE eval_set = 'prior' GROUP BY ALL),
+    wide AS MATERIALIZED (
+        SELECT u.p, t.q, u.user_id, u.product_id, u.up_orders,
+            u.up_first_order, u.up_last_order, u.reordered_sum, {_fill('u', 'days_since_prior_order_mean,days_since_prior_order_median')},
+            u.order_dow_mean, u.order_dow_median, u.user_product_reordered_ratio, s.user_orders, s.user_order_starts_at,
+            {_fill('s', 'user_mean_days_since_prior,user_median_days_since_prior')},
+            b.user_total_products, b.user_distinct_products, b.user_reorder_ratio,
+            b.user_total_products::DOUBLE / s.user_orders AS user_average_basket,
+            u.up_orders::DOUBLE / s.user_orders AS up_order_rate, s.user_orders - u.up_last_order AS up_orders_since_last_order,
+            CASE WHEN s.user_orders - u.up_first_order + 1 = 0 THEN 999
+                 ELSE s.user_orders::DOUBLE / (s.user_orders - u.up_first_order + 1) END AS up_order_rate_since_first_order,
+            {_fill('g', 'last,prev1,prev2,median,mean,sdev')}, (h.p IS NOT NULL)::INT AS reordered
+        FROM wup u JOIN states t ON t.user_id = u.user_id AND t.p = u.p
+        JOIN wus s ON s.p = u.p AND s.user_id = u.user_id JOIN wbs b ON b.p = u.p AND b.user_id = u.user_id
+        LEFT JOIN hit h ON h.p = u.p AND h.user_id = u.user_id AND h.product_id = u.product_id
+        LEFT JOIN wgs g ON g.p = u.p AND g.user_id = u.user_id AND g.product_id = u.product_id),
+    ranks AS (SELECT user_id, row_number() OVER (ORDER BY user_id) AS rank_cust FROM (SELECT DISTINCT user_id FROM c_orders))"""
+
+ROLLING_SQL = f"""{RANGES_CTES},
+    steps AS (
+        SELECT *, CASE WHEN lag(q) OVER w + 1 = p AND lag(body) OVER w IS NOT DISTINCT FROM body THEN 0 ELSE 1 END AS fresh
+        FROM (SELECT *, row({', '.join(RANGE_VALUES)}) AS body FROM wide) WINDOW w AS (PARTITION BY user_id, product_id ORDER BY p)),
+    islands AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id, product_id ORDER BY p) AS island FROM steps),
+    each AS (
+        SELECT user_id, product_id, min(p) AS lo, max(q) AS hi, {', '.join(f'any_value({c}) AS {c}' for c in RANGE_VALUES)}
+        FROM islands GROUP BY user_id, product_id, island);;
+    SELECT f.*, c.rank_cust FROM ({CLIPPED.format(rows="each")}) f JOIN ranks c ON c.user_id = f.user_id"""
+
+
+@query("rolling_features", RANGE_SPEC, ROLLING_SQL)
+def rolling_features(spark, sf):
+    """Features of pair and user with the label for every daily window, as ranges of windows that share them."""
+    return rolling.ranges(load(spark, sf))
 
 
-@query("rolling_features", f"split:s counter:i {SNAPSHOT_SPEC}", ROLLING_SQL)
-def rolling_features(spark, sf):
-    return rolling.features(load(spark, sf), rolling.Windows(stride_days=STRIDE))
+TOTALS = "reordered up_orders reordered_sum last prev1 user_orders user_total_products user_distinct_products rank_cust".split() + [
+    "prod_orders", "prod_reorders", "prod_users_unq", "prod_users_unq_reordered",
+]
+
+
+@query(
+    "rolling_mart_totals",
+    f"split:s counter,pairs,{','.join(TOTALS)}:i",
+    f"""{RANGES_CTES},
+    ups AS (SELECT s, product_id, user_id, count(*) AS n, sum(reordered) AS again FROM held GROUP BY ALL),
+    wps AS (
+        SELECT s, product_id, sum(n) AS prod_orders, sum(again) AS prod_reorders, count(*) AS prod_users_unq,
+            count(*) FILTER (again > 0) AS prod_users_unq_reordered FROM ups GROUP BY ALL),
+    days AS (SELECT wide.*, unnest(range(p, q + 1)) AS s FROM wide),
+    sums AS (
+        SELECT d.s, count(*) AS pairs, {', '.join(f'sum({c}) AS {c}' for c in TOTALS)}
+        FROM days d JOIN wps ON wps.s = d.s AND wps.product_id = d.product_id JOIN ranks r ON r.user_id = d.user_id GROUP BY d.s);;
+    SELECT split, s - shift AS counter, sums.* EXCLUDE (s) FROM sums, splits, m WHERE s - shift BETWEEN 0 AND m.last""",
+)
+def rolling_mart_totals(spark, sf):
+    """The whole mart of every daily window, row by row with its product's statistics, added up per window."""
+    mart = rolling.features(load(spark, sf))
+    return mart.groupBy("split", "counter").agg(F.count("*").alias("pairs"), *[F.sum(c).alias(c) for c in TOTALS])
