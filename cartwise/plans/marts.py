@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartwise.functions.columns import circular_hours, mean_of_known, ratio
 from cartwise.operators.joins import lookup_join
 from cartwise.operators.scan import global_rank, ntile
+from cartwise.operators.totals import grouping_totals
 from cartwise.plans import gaps, stats
 from cartwise.plans.candidates import TARGET_COLUMNS
 from cartwise.plans.recency import ranked_orders
@@ -68,24 +69,21 @@ def pair_mart(b: Baskets, spread: Sequence[str], medians: bool = False) -> DataF
 
 
 def with_user_totals(pairs: DataFrame) -> DataFrame:
-    """Totals per user, per user and department, per user and aisle on every pair.
-
-    One shuffle by user serves the three windows. A user has at most one pair per product.
-    """
-    user = Window.partitionBy("user_id")
-    department = Window.partitionBy("user_id", "department_id")
-    aisle = Window.partitionBy("user_id", "aisle_id")
-    return pairs.repartition("user_id").withColumns(
-        {
-            "user_total_products": F.sum("up_orders").over(user),
-            "user_distinct_products": F.count("*").over(user),
-            "user_reorder_ratio": ratio(F.sum("reordered_sum").over(user), F.sum("up_orders").over(user)),
-            "dep_products": F.count("*").over(department),
-            "dep_reordered": F.sum("reordered_sum").over(department),
-            "aisle_products": F.count("*").over(aisle),
-            "aisle_reordered": F.sum("reordered_sum").over(aisle),
-        }
+    """Totals per user, per user and department, per user and aisle on every pair."""
+    sets = [["user_id"], ["user_id", "department_id"], ["user_id", "aisle_id"]]
+    measures = {"lines": F.sum("up_orders"), "again": F.sum("reordered_sum"), "products": F.count("*")}
+    user, department, aisle = grouping_totals(pairs, sets, measures)
+    user = user.select(
+        "user_id",
+        F.col("lines").alias("user_total_products"),
+        F.col("products").alias("user_distinct_products"),
+        ratio("again", "lines").alias("user_reorder_ratio"),
     )
+    out = lookup_join(pairs, user, "user_id")
+    for totals, keys, name in ((department, sets[1], "dep"), (aisle, sets[2], "aisle")):
+        named = totals.select(*keys, F.col("products").alias(f"{name}_products"), F.col("again").alias(f"{name}_reordered"))
+        out = lookup_join(out, named, keys)
+    return out
 
 
 def training_mart(b: Baskets) -> DataFrame:

@@ -6,12 +6,13 @@ Orders and purchases are ranked newest first. Purchases of one pair always carry
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartwise.functions.columns import ratio
 from cartwise.operators.joins import lookup_join
 from cartwise.operators.scan import ordered_scan, position_block
+from cartwise.operators.totals import grouping_totals
 from cartwise.plans.stats import count_if
 from cartwise.session import materialize
 from cartwise.sources.baskets import PRIOR, Baskets
@@ -86,40 +87,33 @@ def pair_facts(b: Baskets, orders: DataFrame) -> DataFrame:
     return facts.join(ranks, ["user_id", "newest"])
 
 
-def _group_columns(suffix: str, window: WindowSpec | None = None) -> dict[str, Column]:
-    """Ten recency measures of a group of pairs, as aggregates or over a window."""
-
-    def over(aggregate: Column) -> Column:
-        return aggregate if window is None else aggregate.over(window)
-
-    n = over(F.sum("n"))
+def _group_columns(suffix: str) -> dict[str, Column]:
+    """Ten recency measures of a group of pairs, as aggregates."""
+    n = F.sum("n")
     return {
         f"upor{suffix}": n,
-        f"upro{suffix}": over(F.sum("again")),
-        f"latest_or{suffix}": over(F.min("latest")),
-        f"max_prod_ord{suffix}": over(F.max("n")),
-        f"avg_prod_ord{suffix}": ratio(over(F.sum(F.col("n") * (F.col("n") + 1))), 2 * n),
-        f"up_first_order{suffix}": over(F.min("first")),
-        f"up_last_order{suffix}": over(F.max("newest")),
-        f"up_average_cart_position{suffix}": ratio(over(F.sum("position")), n),
+        f"upro{suffix}": F.sum("again"),
+        f"latest_or{suffix}": F.min("latest"),
+        f"max_prod_ord{suffix}": F.max("n"),
+        f"avg_prod_ord{suffix}": ratio(F.sum(F.col("n") * (F.col("n") + 1)), 2 * n),
+        f"up_first_order{suffix}": F.min("first"),
+        f"up_last_order{suffix}": F.max("newest"),
+        f"up_average_cart_position{suffix}": ratio(F.sum("position"), n),
         f"up_order_rate{suffix}": n,
-        f"upaog{suffix}": ratio(over(F.sum("days")), over(F.sum("days_known"))),
+        f"upaog{suffix}": ratio(F.sum("days"), F.sum("days_known")),
     }
 
 
-def _user_columns(window: WindowSpec | None = None) -> dict[str, Column]:
-    def over(aggregate: Column) -> Column:
-        return aggregate if window is None else aggregate.over(window)
-
-    n, baskets = over(F.sum("n")), over(F.max("newest"))
+def _user_columns() -> dict[str, Column]:
+    n, baskets = F.sum("n"), F.max("newest")
     return {
-        "uror": ratio(over(F.sum("again")), over(F.sum("later"))),
+        "uror": ratio(F.sum("again"), F.sum("later")),
         "ul": n,
-        "udl": over(F.count("*")),
+        "udl": F.count("*"),
         "num_baskets": baskets,
-        "prod_ro_density": ratio(over(F.sum(F.col("n") * (F.col("n") + 1))), 2 * n),
+        "prod_ro_density": ratio(F.sum(F.col("n") * (F.col("n") + 1)), 2 * n),
         "avg_basket_size": ratio(n, baskets),
-        "aog": ratio(over(F.sum("days")), over(F.sum("days_known"))),
+        "aog": ratio(F.sum("days"), F.sum("days_known")),
     }
 
 
@@ -180,22 +174,21 @@ def product_recency(facts: DataFrame) -> DataFrame:
 def recency_mart(b: Baskets) -> DataFrame:
     """All recency features per (user, product) with the label of the target order.
 
-    The pair facts are stored once. A user has at most one fact per product, so one shuffle by
-    user serves the windows over the user, the user's aisles and the user's departments.
+    The pair facts are stored once; one aggregate over them gives the totals of the user, the user's aisles
+    and the user's departments, which are joined back.
     """
     orders = materialize(ranked_orders(b.prior, b.split), "ranked")
     dims = b.products.select("product_id", "aisle_id", "department_id")
     facts = materialize(lookup_join(pair_facts(b, orders), dims, "product_id"), "facts")
     products = materialize(product_recency(facts), "products")
     flags = b.target_orders.select("user_id", F.col("eval_set").alias("flag"))
-    mart = (
-        pair_recency(facts.repartition("user_id"))
-        .withColumns(_user_columns(Window.partitionBy("user_id")))
-        .withColumns(_group_columns("_a", Window.partitionBy("user_id", "aisle_id")))
-        .withColumns(_group_columns("_d", Window.partitionBy("user_id", "department_id")))
-        .join(basket_lags(orders), "user_id")
-        .join(flags, "user_id")
-    )
+    sets = [["user_id"], ["user_id", "aisle_id"], ["user_id", "department_id"]]
+    user, aisle, department = grouping_totals(facts, sets, _user_columns() | _group_columns("_g"))
+    mart = lookup_join(pair_recency(facts), user.select("user_id", *_user_columns()), "user_id")
+    for totals, keys, suffix in ((aisle, sets[1], "_a"), (department, sets[2], "_d")):
+        renamed = [F.col(f"{c}_g").alias(f"{c}{suffix}") for c in _group_columns("")]
+        mart = lookup_join(mart, totals.select(*keys, *renamed), keys)
+    mart = mart.join(basket_lags(orders), "user_id").join(flags, "user_id")
     mart = lookup_join(mart, products, "product_id")
     baskets = F.col("num_baskets")
     derived = {}
