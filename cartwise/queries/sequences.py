@@ -18,7 +18,8 @@ STEPS = """
             count(*) OVER (PARTITION BY user_id) AS steps, (row_number() OVER (PARTITION BY user_id ORDER BY order_number) - 1) // 1000 AS chunk
         FROM (SELECT user_id, order_id, order_number, list(l.product_id ORDER BY add_to_cart_order) AS products,
                 list(aisle_id ORDER BY add_to_cart_order) AS aisles, list(department_id ORDER BY add_to_cart_order) AS departments,
-                list(reordered ORDER BY add_to_cart_order) AS reorders, count(*) AS order_size, sum(reordered)::BIGINT AS reorder_size
+                list(reordered ORDER BY add_to_cart_order) AS reorders, count(*) AS order_size, sum(reordered)::BIGINT AS reorder_size,
+                max(order_dow) AS dow, max(order_hour_of_day) AS hour, coalesce(max(days_since_prior_order), 0) AS days
               FROM c_lines l JOIN c_products p ON p.product_id = l.product_id GROUP BY user_id, order_id, order_number))"""
 
 
@@ -84,14 +85,17 @@ def user_entity_sets(spark, sf):
 
 HISTORY_SPEC = (
     "user_id,product_id,chunk,aisle_id,department_id:i product_name:s is_ordered_history,index_in_order_history,"
-    "order_size_history,reorder_size_history,order_number_history:a label:i"
+    "order_size_history,reorder_size_history,order_number_history,order_dow_history,order_hour_history,"
+    "days_since_prior_order_history:a label:i"
 )
 # Histories per user, and the same with the pseudo-product added.
 PRODUCT_HISTORY = """
     h AS MATERIALIZED (
         SELECT user_id, chunk, coalesce(list(products ORDER BY step) FILTER (step < steps), []) AS past,
             coalesce(list(order_size ORDER BY step) FILTER (step < steps), []) AS sizes,
-            coalesce(list(reorder_size ORDER BY step) FILTER (step < steps), []) AS again, list(order_number ORDER BY step) AS numbers
+            coalesce(list(reorder_size ORDER BY step) FILTER (step < steps), []) AS again, list(order_number ORDER BY step) AS numbers,
+            list(dow ORDER BY step) AS order_dow_history, list(hour ORDER BY step) AS order_hour_history,
+            list(days ORDER BY step) AS days_since_prior_order_history
         FROM b GROUP BY user_id, chunk),
     nx AS MATERIALIZED (SELECT user_id, products, reorder_size FROM b WHERE step = steps),
     hp AS MATERIALIZED (
@@ -99,6 +103,7 @@ PRODUCT_HISTORY = """
             [CASE WHEN list_contains(o, s.product_id) THEN 1 ELSE 0 END for o in h.past] AS is_ordered_history,
             [coalesce(list_position(o, s.product_id), 0) for o in h.past] AS index_in_order_history,
             h.sizes AS order_size_history, h.again AS reorder_size_history, h.numbers AS order_number_history,
+            h.order_dow_history, h.order_hour_history, h.days_since_prior_order_history,
             CASE WHEN list_contains(nx.products, s.product_id) THEN 1 ELSE 0 END AS label
         FROM (SELECT DISTINCT user_id, unnest(products) AS product_id FROM b WHERE step < steps) s
         JOIN h ON h.user_id = s.user_id JOIN nx ON nx.user_id = s.user_id JOIN c_products c ON c.product_id = s.product_id),
@@ -106,6 +111,7 @@ PRODUCT_HISTORY = """
         SELECT h.user_id, 0 AS product_id, h.chunk, 0 AS aisle_id, 0 AS department_id, '0' AS product_name,
             [CASE WHEN r = 0 THEN 1 ELSE 0 END for r in h.again] AS is_ordered_history, [0 for r in h.again] AS index_in_order_history,
             h.sizes AS order_size_history, h.again AS reorder_size_history, h.numbers AS order_number_history,
+            h.order_dow_history, h.order_hour_history, h.days_since_prior_order_history,
             CASE WHEN nx.reorder_size = 0 THEN 1 ELSE 0 END AS label
         FROM h JOIN nx ON nx.user_id = h.user_id WHERE len(h.numbers) > 1)"""
 
@@ -205,13 +211,16 @@ PADDED = f"""{VOCABULARY},
             list_resize(order_size_history[1:100], 100, 0) AS order_size_history,
             list_resize(reorder_size_history[1:100], 100, 0) AS reorder_size_history,
             list_resize(order_number_history[1:100], 100, 0) AS order_number_history,
+            list_resize(order_dow_history[1:100], 100, 0) AS order_dow_history,
+            list_resize(order_hour_history[1:100], 100, 0) AS order_hour_history,
+            list_resize(days_since_prior_order_history[1:100], 100, 0) AS days_since_prior_order_history,
             least(len(is_ordered_history), 100) AS history_length,
             list_resize(coalesce(n.ids, [0])[1:30], 30, 0) AS product_name, least(len(coalesce(n.ids, [0])), 30) AS product_name_length
         FROM (SELECT * FROM hp UNION ALL SELECT * FROM hn) u LEFT JOIN names n ON n.product_id = u.product_id)"""
 PADDED_SQL = f"{STEPS},{PRODUCT_HISTORY},{PADDED};;"
 PADDED_SPEC = (
     "user_id,product_id,aisle_id,department_id,label,history_length,product_name_length:i "
-    + ",".join(f"{name}_history" for name in histories.HISTORIES)
+    + ",".join(f"{name}_history" for name in (*histories.HISTORIES, *histories.ORDER_HISTORIES))
     + ",product_name:a"
 )
 
@@ -247,43 +256,43 @@ def seq_shift_targets(spark, sf):
     return histories.shift_targets(_padded(spark, sf))
 
 
+# One row per real step of each padded example.
+STEP_ROWS = (
+    "(SELECT user_id, product_id, unnest(range(1, history_length + 1)) AS pos, "
+    + ", ".join(f"unnest({n}_history[1:history_length]) AS {n}" for n in histories.DEPTHS)
+    + " FROM x)"
+)
+
+
 @query(
     "seq_scaled_features",
-    "user_id,product_id:i " + ",".join(f"sum_{name},last_{name}" for name in histories.SCALES) + ":d",
-    PADDED_SQL
-    + "SELECT user_id, product_id, "
-    + ", ".join(
-        f"list_sum([v / {d}::DOUBLE for v in {n}_history]) AS sum_{n}, {n}_history[history_length] / {d}::DOUBLE AS last_{n}"
-        for n, d in histories.SCALES.items()
-    )
-    + " FROM x",
+    "user_id,product_id,pos:i " + ",".join(f"{name}_scaled" for name in histories.SCALES) + ":d",
+    f"{PADDED_SQL}SELECT user_id, product_id, pos, "
+    + ", ".join(f"{n} / {d}::DOUBLE AS {n}_scaled" for n, d in histories.SCALES.items())
+    + f" FROM {STEP_ROWS}",
 )
 def seq_scaled_features(spark, sf):
-    """Scaled histories, shown by their sum and their last real step."""
-    scaled = histories.scaled(_padded(spark, sf))
-    shown = []
-    for name in histories.SCALES:
-        values = F.col(f"{name}_scaled")
-        shown.append(F.aggregate(values, F.lit(0.0), lambda total, v: total + v).alias(f"sum_{name}"))
-        shown.append(F.try_element_at(values, F.col("history_length")).alias(f"last_{name}"))
-    return scaled.select("user_id", "product_id", *shown)
+    """All scaled histories, step by step."""
+    return histories.scaled(_padded(spark, sf))
+
+
+def _hot_sql() -> str:
+    """The text of a sparse vector: its width, the places of its ones, and the ones."""
+    places, base = [], 0
+    for name, depth in histories.DEPTHS.items():
+        places.append(f"CASE WHEN {name} >= 0 AND {name} < {depth} THEN {base} + {name} END")
+        base += depth
+    return (
+        f"SELECT user_id, product_id, pos, '({base},[' || array_to_string(cells, ',') || '],[' "
+        f"|| array_to_string([1.0 FOR c IN cells], ',') || '])' AS hot FROM (SELECT user_id, product_id, pos, "
+        f"[c FOR c IN [{', '.join(places)}] IF c IS NOT NULL] AS cells FROM {STEP_ROWS})"
+    )
 
 
-@query(
-    "seq_one_hot",
-    "history:s pos,hot,ones:i",
-    PADDED_SQL
-    + "SELECT history, pos, hot, count(*) AS ones FROM ("
-    + " UNION ALL ".join(
-        f"SELECT '{n}' AS history, unnest(range(1, 101)) AS pos, unnest({n}_history) AS hot, {depth} AS depth FROM x"
-        for n, depth in histories.DEPTHS.items()
-    )
-    + ") WHERE hot >= 0 AND hot < depth GROUP BY history, pos, hot",
-)
+@query("seq_one_hot", "user_id,product_id,pos:i hot:s", PADDED_SQL + _hot_sql())
 def seq_one_hot(spark, sf):
-    """One-hot cells of all examples, shown by the number of ones per history, step and value."""
-    cells = histories.one_hot_positions(_padded(spark, sf))
-    return cells.groupBy("history", "pos", "hot").agg(F.count("*").alias("ones"))
+    """The one-hot vector of every step of every example."""
+    return histories.one_hot(_padded(spark, sf))
 
 
 @query(

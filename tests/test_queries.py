@@ -62,6 +62,12 @@ def test_plans_have_no_cross_join_and_python_only_for_baskets(spark, name):
     assert "BatchEvalPython" not in plan
 
 
+@pytest.mark.parametrize("name", ["training_mart", "recency_mart"])
+def test_totals_need_no_window_over_a_user(spark, name):
+    plan = ENTRIES[name].plan(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
 def test_scan_prunes_columns(spark):
     plan = ENTRIES["product_stat"].plan(spark, SF)._jdf.queryExecution().executedPlan().toString()
     schemas = [line.split("ReadSchema: ")[1] for line in plan.splitlines() if "ReadSchema" in line]
