@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import filterfalse
 from operator import itemgetter
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,11 @@ SCHEMA = (
 )
 
 
+def _letters(core: str) -> bool:
+    """Whether ``core`` is letters alone, also composed and in lower case as the tokenizer sees it."""
+    return core.isalpha() and (core.isascii() or normalize("NFC", normalize("NFC", core).lower()).isalpha())
+
+
 class Chunks(dict):
     """Ids of the parts between white space, as bytes, remembered per worker.
 
@@ -105,7 +111,8 @@ class Chunks(dict):
     def add(self, parts: set[str]) -> bool:
         """Know all ``parts``; true if others were forgotten for it.
 
-        A run of letters with stops behind it is taken as two.
+        A run of letters with stops behind it is taken as two, unless a letter ends in a mark once it is
+        normalised: the tokenizer keeps a mark and the stop behind it together.
         """
         emptied = len(self) > self.LIMIT
         if emptied:
@@ -115,7 +122,7 @@ class Chunks(dict):
         other: set[str] = set()
         for part in parts:
             core = part.rstrip(".,!?")
-            if core.isalpha():
+            if _letters(core):
                 tail = part[len(core) :]
                 if core.isascii():
                     core = core.lower()

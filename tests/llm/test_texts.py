@@ -73,6 +73,21 @@ def test_packing_keeps_every_token_once_and_in_order(spark):
     assert padding <= 0.05 * got.length.sum()
 
 
+def test_packing_ids_of_letters_with_marks_and_stops():
+    rng = np.random.default_rng(8)
+    letters = ["ALİ", "İ", "\u0958", "\ufb1d", "e\u0301", "\u00c9", "Σ", "ß", "abc", "Ａ", "\u1e9e", "\u01c5", "x\u0307", "क"]
+    stops = [".", "!", "?", ",", "...", "?!", "", "'s", "1"]
+    texts = ["ALİ.", "ALİ", "\u0958!", "\ufb1d,"]
+    for _ in range(600):
+        parts = rng.integers(1, 6)
+        texts.append(
+            " ".join("".join(rng.choice(letters, rng.integers(1, 4))) + str(rng.choice(stops)) for _ in range(parts))
+        )
+    for text in texts:
+        ids, _ = packing.tokens_of(text, public_tokenizers.path("word_bpe_49k.json"))
+        assert ids.tolist() == packed_ids(text).tolist(), text
+
+
 def test_packing_counts_repeated_rows_and_empty_tables(awkward, nothing):
     assert packing.pack(nothing).count() == 0
     got = packing.pack(awkward).toPandas()
