@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartwise.sources.baskets import PRIOR, Baskets
@@ -38,9 +38,15 @@ def bought_before_and_now(lines: DataFrame) -> DataFrame:
     )
 
 
+def known_label(label: str = "reordered") -> Column:
+    """The label, or NULL where the target order's lines are not known (see ``Baskets.labelled_targets``)."""
+    return F.when(F.col("labelled"), F.col(label)).alias(label)
+
+
 def candidate_labels(b: Baskets) -> DataFrame:
-    target = b.target_orders.select("user_id", "order_id", "eval_set")
-    return bought_before_and_now(b.lines).join(target, "user_id")
+    target = b.labelled_targets.select("user_id", "order_id", "eval_set", "labelled")
+    labels = bought_before_and_now(b.lines).join(target, "user_id")
+    return labels.withColumn("reordered", known_label()).drop("labelled")
 
 
 def label_join(candidate: DataFrame, truth: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cartwise.functions.expected_f1 import optimal_basket
 from cartwise.plans import stats
+from cartwise.plans.candidates import known_label
 from cartwise.sources.baskets import PRIOR, Baskets
 
 # Thresholds in use for turning a score into a prediction.
@@ -26,12 +27,12 @@ def scored(b: Baskets) -> DataFrame:
         .filter("up_orders > 0")
         .join(stats.user_stat(b.prior_orders).select("user_id", "user_orders"), "user_id")
     )
-    target = b.target_orders.select("user_id", "order_id")
+    target = b.labelled_targets.select("user_id", "order_id", "labelled")
     return stats.with_rates(pairs).join(target, "user_id").select(
         "order_id",
         "user_id",
         "product_id",
-        "reordered",
+        known_label(),
         F.col("up_order_rate").alias("score"),
         F.col("up_orders_per_order_since_first").alias("score2"),
     )

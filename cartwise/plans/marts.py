@@ -12,7 +12,7 @@ from cartwise.operators.joins import lookup_join
 from cartwise.operators.scan import global_rank, ntile
 from cartwise.operators.totals import grouping_totals
 from cartwise.plans import gaps, stats
-from cartwise.plans.candidates import TARGET_COLUMNS
+from cartwise.plans.candidates import TARGET_COLUMNS, known_label
 from cartwise.plans.recency import ranked_orders
 from cartwise.session import materialize
 from cartwise.sources.baskets import PRIOR, Baskets
@@ -82,7 +82,8 @@ def with_user_totals(pairs: DataFrame) -> DataFrame:
     out = lookup_join(pairs, user, "user_id")
     for totals, keys, name in ((department, sets[1], "dep"), (aisle, sets[2], "aisle")):
         named = totals.select(*keys, F.col("products").alias(f"{name}_products"), F.col("again").alias(f"{name}_reordered"))
-        out = lookup_join(out, named, keys)
+        # Products without a category form one.
+        out = lookup_join(out, named, keys, null_safe=True)
     return out
 
 
@@ -93,7 +94,7 @@ def training_mart(b: Baskets) -> DataFrame:
     )
     pairs = materialize(pairs)
     products = materialize(stats.product_stat(pairs))
-    target = b.target_orders.select("user_id", "order_id", "eval_set", *TARGET_COLUMNS)
+    target = b.labelled_targets.select("user_id", "order_id", "eval_set", "labelled", *TARGET_COLUMNS)
     mart = (
         with_user_totals(pairs)
         .join(stats.user_stat(b.prior_orders), "user_id")
@@ -104,7 +105,7 @@ def training_mart(b: Baskets) -> DataFrame:
     )
     mart = lookup_join(stats.with_rates(mart), products, "product_id")
     return mart.fillna(MISSING_GAP, subset=list(gaps.GAP_COLUMNS)).select(
-        "order_id", "user_id", "eval_set", *CATEGORIES, *FEATURES, "reordered"
+        "order_id", "user_id", "eval_set", *CATEGORIES, *FEATURES, known_label()
     )
 
 
@@ -155,8 +156,8 @@ def lgbm_features(b: Baskets) -> DataFrame:
     items = pairs.groupBy("user_id").agg(
         F.sum("up_orders").alias("user_total_items"), F.count("*").alias("total_distinct_items")
     )
-    target = b.target_orders.select(
-        "user_id", "order_id", "eval_set", "order_hour_of_day", "days_since_prior_order"
+    target = b.labelled_targets.select(
+        "user_id", "order_id", "eval_set", "labelled", "order_hour_of_day", "days_since_prior_order"
     )
     mart = lookup_join(
         pairs.join(items, "user_id").join(users, "user_id").join(target, "user_id"), products, "product_id"
@@ -168,7 +169,7 @@ def lgbm_features(b: Baskets) -> DataFrame:
         "user_id",
         "product_id",
         "eval_set",
-        "label",
+        known_label("label"),
         total,
         "user_total_items",
         "total_distinct_items",
@@ -215,16 +216,17 @@ def compact_mart(b: Baskets) -> DataFrame:
         .withColumnRenamed("user_order_starts_at", "user_period")
         .drop("user_median_days_since_prior")
     )
-    target = b.target_orders.select(
-        "user_id", "order_id", "eval_set", F.col("days_since_prior_order").alias("time_since_last_order")
+    target = b.labelled_targets.select(
+        "user_id", "order_id", "eval_set", "labelled", F.col("days_since_prior_order").alias("time_since_last_order")
     )
     mart = pairs.join(totals, "user_id").join(users, "user_id").join(target, "user_id")
     mart = mart.withColumns(
         {
             "user_average_basket": ratio("user_total_products", "user_orders"),
             "up_average_cart_position": ratio("position_sum", "up_orders"),
+            "reordered": known_label(),
         }
-    )
+    ).drop("labelled")
     return lookup_join(stats.with_rates(mart), products, "product_id")
 
 
@@ -323,7 +325,9 @@ def snapshot_mart(b: Baskets) -> DataFrame:
     products = materialize(stats.product_stat(pairs))
     users = stats.user_basket_stat(pairs, stats.user_stat(b.prior_orders))
     mart = lookup_join(stats.with_rates(pairs.join(users, "user_id")), products, "product_id")
+    mart = mart.fillna(MISSING, subset=[c for c in mart.columns if c != "reordered"])
+    mart = mart.join(b.labelled_targets.select("user_id", "labelled"), "user_id")
     ranks = with_holdout(customer_ranks(b.orders))
-    return mart.fillna(MISSING).join(ranks, "user_id")
+    return mart.withColumn("reordered", known_label()).drop("labelled").join(ranks, "user_id")
 
 

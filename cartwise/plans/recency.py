@@ -13,11 +13,15 @@ from cartwise.functions.columns import ratio
 from cartwise.operators.joins import lookup_join
 from cartwise.operators.scan import ordered_scan, position_block
 from cartwise.operators.totals import grouping_totals
+from cartwise.plans.candidates import known_label
 from cartwise.plans.stats import count_if
 from cartwise.session import materialize
 from cartwise.sources.baskets import PRIOR, Baskets
 
 
+CATEGORY_COLUMNS = ("aisle_id", "department_id")
+
+
 def newest_first(rows: DataFrame, keys: list[str], out: str, split: bool = False) -> DataFrame:
     """Rank rows of each key by ``order_number`` (unique in the key), the newest being 1."""
     counted = ordered_scan(
@@ -181,13 +185,13 @@ def recency_mart(b: Baskets) -> DataFrame:
     dims = b.products.select("product_id", "aisle_id", "department_id")
     facts = materialize(lookup_join(pair_facts(b, orders), dims, "product_id"), "facts")
     products = materialize(product_recency(facts), "products")
-    flags = b.target_orders.select("user_id", F.col("eval_set").alias("flag"))
+    flags = b.labelled_targets.select("user_id", F.col("eval_set").alias("flag"), "labelled")
     sets = [["user_id"], ["user_id", "aisle_id"], ["user_id", "department_id"]]
     user, aisle, department = grouping_totals(facts, sets, _user_columns() | _group_columns("_g"))
     mart = lookup_join(pair_recency(facts), user.select("user_id", *_user_columns()), "user_id")
     for totals, keys, suffix in ((aisle, sets[1], "_a"), (department, sets[2], "_d")):
         renamed = [F.col(f"{c}_g").alias(f"{c}{suffix}") for c in _group_columns("")]
-        mart = lookup_join(mart, totals.select(*keys, *renamed), keys)
+        mart = lookup_join(mart, totals.select(*keys, *renamed), keys, null_safe=True)
     mart = mart.join(basket_lags(orders), "user_id").join(flags, "user_id")
     mart = lookup_join(mart, products, "product_id")
     baskets = F.col("num_baskets")
@@ -198,4 +202,6 @@ def recency_mart(b: Baskets) -> DataFrame:
         derived[share] = ratio(count, baskets)
         derived[f"up_orders_since_last_order{tail}"] = baskets - last
         derived[f"up_order_rate_since_first_order{tail}"] = ratio(count, baskets - first + 1)
-    return mart.withColumns(derived).fillna(0)
+    mart = mart.withColumns(derived)
+    filled = mart.fillna(0, subset=[c for c in mart.columns if c not in ("reordered", *CATEGORY_COLUMNS)])
+    return filled.withColumn("reordered", known_label()).drop("labelled")

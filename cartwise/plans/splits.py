@@ -11,12 +11,22 @@ from cartwise.operators.scan import global_rank, ordered_scan, position_block
 from cartwise.sources.baskets import Baskets
 
 
+# Least number of product ids that an integer key leaves room for.
+PRODUCT_ROOM = 100_000
+
+
 def composite_keys(rows: DataFrame) -> DataFrame:
-    """Text key of user and order, integer key of user and product."""
+    """Text key of user and order, integer key of user and product.
+
+    The user's part is a multiple of a power of ten above the largest product id, so keys never collide.
+    """
+    largest = rows.agg(F.coalesce(F.max("product_id"), F.lit(0)).alias("largest")).scalar()
+    digits = F.length(F.greatest(largest, F.lit(PRODUCT_ROOM - 1)).cast("string"))
+    room = F.rpad(F.lit("1"), digits + 1, F.lit("0")).cast("bigint")
     return rows.withColumns(
         {
             "user_order": F.concat_ws("_", "user_id", "order_number"),
-            "user_product": F.col("product_id") + F.col("user_id") * 100000,
+            "user_product": F.col("product_id") + F.col("user_id") * room,
         }
     )
 

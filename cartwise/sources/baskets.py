@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartwise.operators.joins import lookup_join
@@ -27,17 +27,91 @@ from cartwise.sources import files
 
 PRIOR, TRAIN, TEST = "prior", "train", "test"
 
+# The columns every plan may read. ``order_id`` has the source's type; a source leaves NULL what it does not know.
+PRODUCT_COLUMNS = {
+    "product_id": "bigint",
+    "product_name": "string",
+    "aisle_id": "bigint",
+    "department_id": "bigint",
+    "aisle": "string",
+    "department": "string",
+}
+ORDER_COLUMNS = {
+    "order_id": None,
+    "user_id": "bigint",
+    "order_date": "date",
+    "order_number": "bigint",
+    "user_total_orders": "bigint",
+    "rank_order": "bigint",
+    "eval_set": "string",
+    "days_since_prior_order": "int",
+    "timeline": "bigint",
+    "order_dow": "int",
+    "order_hour_of_day": "bigint",
+}
+LINE_COLUMNS = ORDER_COLUMNS | {
+    "product_id": "bigint",
+    "units": "double",
+    "dollars": "double",
+    "add_to_cart_order": "int",
+    "order_size": "bigint",
+    "reordered": "int",
+    "pair_nth": "bigint",
+    "pair_lines": "bigint",
+    "pair_prior_lines": "bigint",
+    "gap": "bigint",
+}
+# What no source may lack.
+REQUIRED = {"order_id", "user_id", "order_number", "eval_set", "product_id", "add_to_cart_order", "reordered", "timeline"}
+
+
+def conform(df: DataFrame, columns: dict[str, str | None]) -> DataFrame:
+    """``df`` with exactly ``columns`` of the declared types; what it lacks is NULL."""
+    lacking = [c for c in columns if c in REQUIRED and c not in df.columns]
+    if lacking:
+        raise ValueError(f"baskets need {', '.join(lacking)}")
+
+    def typed(name: str, kind: str | None) -> Column:
+        c = F.col(name) if name in df.columns else F.lit(None)
+        return (c if kind is None else c.cast(kind)).alias(name)
+
+    return df.select(*[typed(name, kind) for name, kind in columns.items()])
+
+
+def _check(what: str, df: DataFrame, columns: dict[str, str | None]) -> DataFrame:
+    """Refuse a frame that does not keep the contract; whole numbers may be of either width."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    whole = {"int", "bigint"}
+    for name, kind in columns.items():
+        if name not in kinds:
+            raise ValueError(f"{what} lack {name}; see conform()")
+        if kind is not None and kinds[name] != kind and not {kinds[name], kind} <= whole:
+            raise TypeError(f"{name} of the {what} is {kinds[name]}, not {kind}; see conform()")
+    return df
+
 
 class Baskets:
-    """``longest`` is the order count of the busiest user; plans cut histories by it."""
+    """Frames that keep the contract above, which is checked here.
+
+    ``longest`` is the order count of the busiest user; plans cut histories by it. ``test_lines`` tells whether
+    the lines of orders to be scored are there: without them their labels are NULL.
+    """
 
-    def __init__(self, products: DataFrame, orders: DataFrame | None, lines: DataFrame | None, longest: int):
-        self.products = products
+    def __init__(
+        self,
+        products: DataFrame,
+        orders: DataFrame | None,
+        lines: DataFrame | None,
+        longest: int,
+        test_lines: bool = True,
+    ):
+        self.test_lines = test_lines
+        self.products = _check("products", products, PRODUCT_COLUMNS)
         self.longest = longest
         if orders is not None:
-            self.orders = orders
+            self.orders = _check("orders", orders, ORDER_COLUMNS)
         if lines is not None:
-            self.lines = lines
+            self.lines = _check("lines", lines, LINE_COLUMNS)
 
     @property
     def split(self) -> bool:
@@ -52,6 +126,11 @@ class Baskets:
     def target_orders(self) -> DataFrame:
         return self.orders.filter(F.col("eval_set") != PRIOR)
 
+    @property
+    def labelled_targets(self) -> DataFrame:
+        """Target orders with ``labelled``: whether the source knows what was bought in them."""
+        return self.target_orders.withColumn("labelled", F.lit(self.test_lines) | (F.col("eval_set") != TEST))
+
     @property
     def prior(self) -> DataFrame:
         return self.lines.filter(F.col("eval_set") == PRIOR)
@@ -229,7 +308,8 @@ def from_csv(spark: SparkSession, folder: str) -> Baskets:
     """Baskets from a folder of CSV tables that already describe histories.
 
     Reads ``orders``, ``order_products__prior``, ``order_products__train``, ``products``,
-    ``aisles`` and ``departments`` (``.csv``, with header). Orders to be scored have no lines.
+    ``aisles`` and ``departments`` (``.csv``, with header). Orders to be scored have no lines, so their
+    candidates' labels are NULL. There are no dates: rolling windows over them are empty.
     """
 
     def table(name: str, schema: str) -> DataFrame:
@@ -239,20 +319,22 @@ def from_csv(spark: SparkSession, folder: str) -> Baskets:
     products = lookup_join(products, table("departments", files.DEPARTMENTS), "department_id", "left")
     given = table("orders", files.ORDERS)
     longest = longest_history(given)
-    orders = materialize(complete_orders(given, longest > GROUP_ROWS), "orders")
+    orders = conform(complete_orders(given, longest > GROUP_ROWS), ORDER_COLUMNS)
+    orders = materialize(orders, "orders")
     lines = table("order_products__prior", files.ORDER_PRODUCTS).unionByName(
         table("order_products__train", files.ORDER_PRODUCTS)
     )
-    placed = place_lines(lines, orders, longest > GROUP_ROWS)
-    return Baskets(materialize(products, "products"), orders, materialize(placed, "lines"), longest)
+    placed = materialize(conform(place_lines(lines, orders, longest > GROUP_ROWS), LINE_COLUMNS), "lines")
+    products = materialize(conform(products, PRODUCT_COLUMNS), "products")
+    return Baskets(products, orders, placed, longest, test_lines=False)
 
 
 def from_log(log: DataFrame) -> Baskets:
     """Baskets from a purchase log with a calendar date per line (see ``files.read_log``).
 
     The log's order ids number the orders of a user, so user and number together name an order;
-    the newest order of a user is the target. Cart positions are ranks of the product id, and the
-    products carry no names or categories.
+    the newest order of a user is the target. Cart positions are ranks of the product id. Names, categories and
+    hours are not in a log and stay NULL; a user's products without a category form one category.
     """
     order_id = F.concat_ws("_", "user_id", "order_id")
     keyed = log.withColumns({"order_number": F.col("order_id"), "order_id": order_id})
@@ -265,12 +347,13 @@ def from_log(log: DataFrame) -> Baskets:
     )
     given = materialize(given, "given")
     longest = longest_history(given)
-    orders = materialize(complete_orders(given, longest > GROUP_ROWS), "orders")
+    orders = materialize(conform(complete_orders(given, longest > GROUP_ROWS), ORDER_COLUMNS), "orders")
     cart = Window.partitionBy("order_id").orderBy("product_id")
     lines = (
         keyed.groupBy("order_id", "product_id")
         .agg(F.sum("units").alias("units"), F.sum("dollars").alias("dollars"), F.max("reordered").alias("reordered"))
         .withColumn("add_to_cart_order", F.dense_rank().over(cart))
     )
-    placed = materialize(place_lines(lines, orders, longest > GROUP_ROWS), "lines")
-    return Baskets(placed.select("product_id").distinct(), orders, placed, longest)
+    placed = materialize(conform(place_lines(lines, orders, longest > GROUP_ROWS), LINE_COLUMNS), "lines")
+    products = conform(placed.select("product_id").distinct(), PRODUCT_COLUMNS)
+    return Baskets(materialize(products, "products"), orders, placed, longest)
