@@ -188,7 +188,7 @@ def name_multi_hot(spark, sf):
 @query(
     "document_vocabulary",
     "word:s word_count,word_id:i",
-    """tok AS (SELECT unnest(string_split_regex(trim(lower(text)), '\\s+')) AS word FROM documents),
+    """tok AS (SELECT unnest(regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+')) AS word FROM documents),
        counted AS (SELECT word, count(*) AS word_count FROM tok WHERE word <> '' GROUP BY word);;
        SELECT *, row_number() OVER (ORDER BY word_count DESC, word) AS word_id FROM counted WHERE word_count >= 10
        UNION ALL SELECT *, 0 FROM counted WHERE word_count < 10""",

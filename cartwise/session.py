@@ -40,3 +40,35 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _bucketed(spark: SparkSession, path: str, ddl: str, keys: list[str], buckets: int) -> DataFrame:
+    """The bucketed files at ``path`` under a name of this session's catalogue."""
+    name = f"cartwise_{uuid.uuid4().hex}"
+    by = ", ".join(keys)
+    spark.sql(
+        f"CREATE TABLE {name} ({ddl}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS "
+        f"LOCATION '{path}'"
+    )
+    return spark.table(name)
+
+
+def materialize_bucketed(df: DataFrame, name: str, keys: list[str], path: str | None = None) -> DataFrame:
+    """Like :func:`materialize`, with rows of equal ``keys`` in one sorted bucket.
+
+    Aggregates and windows by these keys then read their buckets without a shuffle. There are as many
+    buckets as shuffle partitions, so rows that come from a shuffle by the keys are written where they are. The files
+    need no catalogue: :func:`open_bucketed` finds them again in another session.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name) if path is None else path
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"cartwise_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
+def open_bucketed(spark: SparkSession, path: str, keys: list[str], buckets: int) -> DataFrame:
+    """Files written by :func:`materialize_bucketed` with so many buckets."""
+    fields = spark.read.parquet(path).schema.fields
+    return _bucketed(spark, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), keys, buckets)

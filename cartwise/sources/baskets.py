@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 
 from cartwise.operators.joins import lookup_join
 from cartwise.operators.scan import BLOCK_IDS, GROUP_ROWS, dense_ids, ordered_scan, position_block
-from cartwise.session import materialize
+from cartwise.session import materialize, materialize_bucketed, open_bucketed
 from cartwise.sources import files
 
 PRIOR, TRAIN, TEST = "prior", "train", "test"
+# Lines are stored in buckets of these keys: the grain every mart starts from, fine enough for busy users and products.
+PAIR = ["user_id", "product_id"]
 
 # The columns every plan may read. ``order_id`` has the source's type; a source leaves NULL what it does not know.
 PRODUCT_COLUMNS = {
@@ -281,7 +283,7 @@ class StoredBaskets(Baskets):
             parts.select(F.col("p_partkey").alias("part_key"), "product_id"),
             "part_key",
         )
-        return materialize(order_lines(keyed.drop("part_key"), self.orders, self.split), "lines")
+        return materialize_bucketed(order_lines(keyed.drop("part_key"), self.orders, self.split), "lines", PAIR)
 
 
 _LOADED: dict[tuple[str, str], StoredBaskets] = {}
@@ -324,7 +326,7 @@ def from_csv(spark: SparkSession, folder: str) -> Baskets:
     lines = table("order_products__prior", files.ORDER_PRODUCTS).unionByName(
         table("order_products__train", files.ORDER_PRODUCTS)
     )
-    placed = materialize(conform(place_lines(lines, orders, longest > GROUP_ROWS), LINE_COLUMNS), "lines")
+    placed = materialize_bucketed(conform(place_lines(lines, orders, longest > GROUP_ROWS), LINE_COLUMNS), "lines", PAIR)
     products = materialize(conform(products, PRODUCT_COLUMNS), "products")
     return Baskets(products, orders, placed, longest, test_lines=False)
 
@@ -354,6 +356,32 @@ def from_log(log: DataFrame) -> Baskets:
         .agg(F.sum("units").alias("units"), F.sum("dollars").alias("dollars"), F.max("reordered").alias("reordered"))
         .withColumn("add_to_cart_order", F.dense_rank().over(cart))
     )
-    placed = materialize(conform(place_lines(lines, orders, longest > GROUP_ROWS), LINE_COLUMNS), "lines")
+    placed = materialize_bucketed(conform(place_lines(lines, orders, longest > GROUP_ROWS), LINE_COLUMNS), "lines", PAIR)
     products = conform(placed.select("product_id").distinct(), PRODUCT_COLUMNS)
     return Baskets(materialize(products, "products"), orders, placed, longest)
+
+
+def save(b: Baskets, folder: str) -> None:
+    """Keep baskets at ``folder`` for other sessions, lines in buckets by user and product."""
+    spark = b.products.sparkSession
+    b.products.write.parquet(f"{folder}/products")
+    b.orders.write.parquet(f"{folder}/orders")
+    buckets = spark.conf.get("spark.sql.shuffle.partitions")
+    # With as many partitions as buckets each bucket is one file.
+    materialize_bucketed(b.lines.repartition(int(buckets), *PAIR), "lines", PAIR, f"{folder}/lines")
+    facts = spark.range(1).select(
+        F.lit(b.longest).alias("longest"), F.lit(b.test_lines).alias("test_lines"), F.lit(int(buckets)).alias("buckets")
+    )
+    facts.write.parquet(f"{folder}/facts")
+
+
+def open_saved(spark: SparkSession, folder: str) -> Baskets:
+    """Baskets kept by :func:`save`; nothing is derived or moved again."""
+    facts = spark.read.parquet(f"{folder}/facts").first()
+    return Baskets(
+        spark.read.parquet(f"{folder}/products"),
+        spark.read.parquet(f"{folder}/orders"),
+        open_bucketed(spark, f"{folder}/lines", PAIR, facts.buckets),
+        facts.longest,
+        facts.test_lines,
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from cartwise.plans import candidates, decisions, gaps, histories, marts, recency, rolling, splits, stats
 from cartwise.queries import base
 from cartwise.sources import files
-from cartwise.sources.baskets import LINE_COLUMNS, ORDER_COLUMNS, Baskets, conform, from_log, load
+from cartwise.sources.baskets import LINE_COLUMNS, ORDER_COLUMNS, Baskets, conform, from_log, load, open_saved, save
 
 SF = "/root/testdata/sf0.001"
 
@@ -92,3 +92,23 @@ def test_integer_keys_never_collide(spark):
     )
     assert splits.composite_keys(rows).select("user_product").distinct().count() == 3
     assert {r.user_product for r in splits.composite_keys(rows.filter("product_id < 9")).collect()} == {200_000, 100_007}
+
+
+def exchanges(frame):
+    return frame._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_pairs_of_stored_lines_need_no_shuffle(loaded):
+    for b in loaded.values():
+        assert exchanges(stats.pairs(b.lines)) == exchanges(stats.pairs(b.prior)) == 0
+        assert exchanges(candidates.bought_before_and_now(b.lines)) == 0
+
+
+def test_saved_baskets_serve_another_session(spark, loaded, tmp_path):
+    folder = str(tmp_path / "kept")
+    save(loaded["csv"], folder)
+    other = open_saved(spark.newSession(), folder)
+    assert exchanges(stats.pairs(other.lines)) == 0 and not other.test_lines
+    want = sorted(map(tuple, stats.pairs(loaded["csv"].lines).collect()))
+    assert sorted(map(tuple, stats.pairs(other.lines).collect())) == want
+    assert marts.compact_mart(other).count() == marts.compact_mart(loaded["csv"]).count()
