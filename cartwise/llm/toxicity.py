@@ -220,13 +220,14 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose text scores below ``threshold``, with all their columns."""
+    """The rows of ``docs`` whose text scores below ``threshold``, with all their columns.
+
+    Only texts go to Python and only scores come back; the rows stay where they are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def scores(texts: pa.Array) -> pa.Array:
         model = shared.value
-        keep = [model.score(features(t.as_py())) < threshold for t in batch.column(at)]
-        return batch.filter(pa.array(keep, pa.bool_()))
+        return pa.array([model.score(features(t.as_py())) for t in texts], pa.float64())
 
-    return batches(docs, step, docs.schema)
+    return docs.filter(F.arrow_udf(scores, "double")("text") < threshold)
