@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries after which a worker's cache is emptied; it bounds memory and never changes a result.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 200_000
 #: The six characters that separate words or are deleted for exact comparison.
 SPACES = " \t\n\x0b\x0c\r"
 #: ASCII-only lower case of bytes; other letters keep their case.

@@ -12,14 +12,16 @@ from tests.llm.conftest import AWKWARD, frame, sentence
 def test_query_equals_sql(spark, small, name):
     got = QUERIES[name](spark, small).toPandas()
     db = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "pages"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{small}/{table}.parquet'")
     want = db.execute(SQL[name]).df()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
     a = got[columns].sort_values(columns, ignore_index=True)
     b = want[columns].sort_values(columns, ignore_index=True)
-    assert a.equals(b.astype(a.dtypes))
+    assert len(a) == len(b)
+    for c in columns:
+        assert ((a[c] == b[c]) | (a[c].isna() & b[c].isna())).all(), c
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
