@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: Entries after which a worker's cache is emptied; it bounds memory and never changes a result.
 CACHE_ENTRIES = 200_000
@@ -23,6 +24,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores added until no column of ``taken`` is called so."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
+def row_keys(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(doc_id, text) with ids that tell texts apart, and the way back to the ids of ``docs``.
+
+    Ids that are neither null nor repeated stay as they are. Otherwise an id becomes a text that sorts
+    like it (null last), then the MD5 of the row's text; equal rows share one. The way back maps
+    ``doc_id`` and ``first_doc`` and adds ``text_id``, that MD5, or null where ids are enough.
+    """
+    plain = docs.select("doc_id", "text")
+    kind = docs.schema["doc_id"].dataType
+    if plain.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
+        return plain, lambda found: found.withColumn("text_id", F.lit(None).cast("string"))
+    whole = isinstance(kind, IntegralType)
+    shift = F.lit("9223372036854775808").cast("decimal(20,0)")
+    own = F.col("doc_id")
+    name = F.lpad((own.cast("decimal(20,0)") + shift).cast("string"), 20, "0") if whole else own.cast("string")
+    none = "~" if whole else "\U0010ffff"
+    key = F.concat(F.coalesce(name, F.lit(none)), F.lit("\x01"), F.coalesce(F.md5("text"), F.lit("")))
+
+    def back(column: str) -> Column:
+        id_ = F.regexp_extract(column, "(?s)^(.*)\x01[0-9a-f]*$", 1)
+        value = (id_.cast("decimal(20,0)") - shift).cast(kind) if whole else id_.cast(kind)
+        return F.when(id_ != none, value)
+
+    def restore(found: DataFrame) -> DataFrame:
+        text_id = F.regexp_extract("doc_id", "\x01([0-9a-f]*)$", 1)
+        return found.withColumns(
+            {"text_id": text_id, **{c: back(c) for c in ("doc_id", "first_doc") if c in found.columns}}
+        )
+
+    return plain.withColumn("doc_id", key).dropDuplicates(["doc_id"]), restore
+
+
 def fold(doc_id: str | Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id falls into the fold of ''."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -297,3 +297,72 @@ def test_units_are_pieces_and_lines():
     hashes = word_hashes(" ".join(lines_))
     assert [passages.paragraph_name(hashes[a : a + n]) for a, n in zip(starts, sizes, strict=True)] == names.tolist()
     assert all(len(x) == 0 for x in (*passages.units(None), *passages.units(" ")))
+
+
+def test_edited_passages_inside_longer_lines(spark):
+    rng = np.random.default_rng(15)
+    kinds, rows, pairs = ((60, 1), (80, 1), (100, 2), (150, 3)), [], {}
+    for k in range(200):
+        n, edits = kinds[k % 4]
+        passage = random_words(rng, n)
+        changed = list(passage)
+        for e, at in enumerate(np.sort(rng.choice(n, edits, replace=False)).tolist()):
+            changed[at] = f"edit{k}x{e}"
+        p, q = (shingles(word_hashes(" ".join(x)), 5) for x in (passage, changed))
+        if 100 * len(np.intersect1d(p, q)) < 80 * len(np.union1d(p, q)):
+            continue
+        rows.append((k, " ".join(random_words(rng, 40) + passage + random_words(rng, 40))))
+        rows.append((1000 + k, " ".join(random_words(rng, 40) + changed + random_words(rng, 40))))
+        pairs[1000 + k] = n, edits
+    found = passages.find(frame(spark, rows)).collect()
+    assert all(r.doc_id in pairs and r.first_doc == r.doc_id - 1000 for r in found)
+    for kind in kinds:
+        mine = [i for i, x in pairs.items() if x == kind]
+        gone = [sum(len(set(range(r.start, r.start + r.n_words)) & set(range(40, 40 + kind[0]))) for r in found if r.doc_id == i) for i in mine]
+        assert np.mean(np.array(gone) > 0) >= 0.95 and np.sum(gone) >= 0.9 * kind[0] * len(mine), (kind, gone)
+    assert all(r.start >= 40 and r.start + r.n_words <= 40 + pairs[r.doc_id][0] for r in found)
+
+
+def test_extension_over_edits_against_a_plain_walk():
+    rng = np.random.default_rng(16)
+    for turn in range(300):
+        own = rng.integers(0, 10**6, 200).astype(np.uint64)
+        other = own.copy()
+        at = int(rng.integers(120, 140))
+        if turn % 3 == 0:
+            other[at] += np.uint64(10**7)
+        elif turn % 3 == 1:
+            other = np.delete(other, at)
+        else:
+            other = np.insert(other, at, np.uint64(10**7))
+        start, size = passages.extended(own, 60, 50, other[20:60], other[110:150], 80)
+        assert start == 20
+        ends = {0: 150, 1: 151, 2: 149}[turn % 3]
+        room = ends - at - (turn % 3 < 2)
+        assert start + size == (ends if room >= passages.WIDTH else at), (turn, at)
+
+
+def test_passages_of_rows_without_ids_of_their_own(spark):
+    rng = np.random.default_rng(17)
+    passage = random_words(rng, 70)
+    texts = [" ".join(random_words(rng, 90)) for _ in range(40)]
+    twice = " ".join(random_words(rng, 30) + passage)
+    rows = [(None, t) for t in texts] + [(None, twice), (None, twice), (3, " ".join(passage + random_words(rng, 20))), (3, texts[0] + " x")]
+    docs = frame(spark, rows)
+    found = passages.find(docs)
+    out = [(r.doc_id, r.text) for r in passages.clean(docs, found).collect()]
+    assert len(out) == len(rows)
+    assert all((None, t) in out for t in texts[1:]) and all(r in out for r in rows[-2:])
+    assert sum(i is None and set(t.split()) & set(passage) != set() for i, t in out) == 0
+    assert (None, texts[0]) not in out
+
+
+def test_cleaning_keeps_columns_with_clashing_names(spark):
+    rng = np.random.default_rng(18)
+    text = " ".join(random_words(rng, 60))
+    docs = spark.createDataFrame(
+        [(1, text, "a", "b", "c", "d"), (2, text, "a", "b", "c", "d")],
+        "doc_id long, text string, cut_id string, cuts string, cut_text string, text_id string",
+    )
+    out = {r.doc_id: r for r in passages.clean(docs, passages.find(docs)).collect()}
+    assert out[1].text == text and out[2].text == "" and out[2].cuts == "b" and out[2].text_id == "d"
