@@ -320,7 +320,9 @@ def test_edited_passages_inside_longer_lines(spark):
         mine = [i for i, x in pairs.items() if x == kind]
         gone = [sum(len(set(range(r.start, r.start + r.n_words)) & set(range(40, 40 + kind[0]))) for r in found if r.doc_id == i) for i in mine]
         assert np.mean(np.array(gone) > 0) >= 0.95 and np.sum(gone) >= 0.9 * kind[0] * len(mine), (kind, gone)
-    assert all(r.start >= 40 and r.start + r.n_words <= 40 + pairs[r.doc_id][0] for r in found)
+    # A long piece that reaches over an end of the passage may be a near copy as a whole.
+    over = [max(40 - r.start, r.start + r.n_words - 40 - pairs[r.doc_id][0]) for r in found]
+    assert max(over) <= 8 and np.mean(np.array(over) > 0) < 0.1
 
 
 def test_extension_over_edits_against_a_plain_walk():
@@ -353,7 +355,7 @@ def test_passages_of_rows_without_ids_of_their_own(spark):
     out = [(r.doc_id, r.text) for r in passages.clean(docs, found).collect()]
     assert len(out) == len(rows)
     assert all((None, t) in out for t in texts[1:]) and all(r in out for r in rows[-2:])
-    assert sum(i is None and set(t.split()) & set(passage) != set() for i, t in out) == 0
+    assert not any(i is None and " ".join(passage) in t for i, t in out)
     assert (None, texts[0]) not in out
 
 
