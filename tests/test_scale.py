@@ -1,10 +1,12 @@
 """Work that must grow with the tables, on rows made here."""
 
 import datetime
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
+from cartwise.plans import models
 from cartwise.sources import baskets
 from tests.conftest import rows
 
@@ -48,3 +50,37 @@ def test_buckets_of_lines_grow_with_the_lines(spark, star, monkeypatch):
     assert rows(many.lines) == rows(few.lines)
     pairs = many.lines.groupBy("user_id", "product_id").agg(F.count("*").alias("n"))
     assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+class _Stub:
+    """Stands for an estimator and its model: fits only while another fold is being fitted too."""
+
+    def __init__(self):
+        self.together = threading.Barrier(2)
+        self.trained = []
+
+    def fit(self, train):
+        self.trained.append(sorted(r.x for r in train.select("x").collect()))
+        self.together.wait(60)
+        return self
+
+    @property
+    def stages(self):
+        return [type("Trees", (), {"getNumTrees": 3})()]
+
+    def transform(self, rows):
+        return rows
+
+    def evaluate(self, rows):
+        return float(rows.agg(F.sum("x")).first()[0])
+
+
+def test_folds_of_small_rows_are_fitted_side_by_side(spark):
+    rows_ = spark.range(20).select(F.col("id").cast("double").alias("x"), (F.col("id") % 4).cast("int").alias("fold"))
+    stub = _Stub()
+    scores = models.cross_validate(stub, rows_, 4, stub).orderBy("fold").collect()
+    want = {k: [float(i) for i in range(20) if i % 4 == k] for k in range(4)}
+    assert [tuple(r) for r in scores] == [(k, 5, 3, sum(v)) for k, v in want.items()]
+    assert sorted(stub.trained) == sorted(sorted(x for j, v in want.items() if j != k for x in v) for k in want)
+    with pytest.raises(ValueError, match="fold 4"):
+        models.cross_validate(stub, rows_, 5, stub)
