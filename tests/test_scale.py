@@ -6,7 +6,8 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from cartwise.plans import models
+from cartwise.plans import marts, models
+from cartwise.queries import ENTRIES
 from cartwise.sources import baskets
 from tests.conftest import rows
 
@@ -84,3 +85,47 @@ def test_folds_of_small_rows_are_fitted_side_by_side(spark):
     assert sorted(stub.trained) == sorted(sorted(x for j, v in want.items() if j != k for x in v) for k in want)
     with pytest.raises(ValueError, match="fold 4"):
         models.cross_validate(stub, rows_, 5, stub)
+
+
+def test_snapshots_have_a_row_per_window(spark, star, tmp_path):
+    orders, lineitem, part = star
+    named = {"order_id": "o_orderkey", "user_id": "o_custkey", "order_date": "o_orderdate"}
+    for name, df in (("orders", orders.withColumnsRenamed(named)), ("lineitem", lineitem), ("part", part)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = ENTRIES["rolling_snapshots"].build(spark, str(tmp_path))
+    lines = baskets.load(spark, str(tmp_path)).lines.select("order_id", "user_id", "product_id", "order_date").collect()
+    first = min(r.order_date for r in lines)
+    # Starts reach from 0 to the last counter, 0 in a short log, for train and 15 days on for test.
+    want = [
+        (0, r.order_id, r.product_id, split, r.user_id)
+        for r in lines
+        for split, start in (("train", 0), ("test", 15))
+        if start <= (r.order_date - first).days <= start + 120
+    ]
+    assert rows(got) == sorted(want, key=repr)
+
+
+def test_pairs_meet_all_totals_of_their_user_at_once(spark):
+    pairs = spark.createDataFrame(
+        [(1, 1, 7, 3, 2, 1), (1, 2, 7, None, 1, 0), (1, 3, None, None, 4, 3), (2, 1, 7, 3, 5, 4), (None, 1, 7, 3, 1, 0)],
+        "user_id LONG, product_id LONG, department_id LONG, aisle_id LONG, up_orders LONG, reordered_sum LONG",
+    )
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(kept, ("-1", "false")):
+            spark.conf.set(k, v)
+        out = marts.with_user_totals(pairs)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        found = out.select(
+            "user_id", "product_id", "user_total_products", "user_distinct_products", "dep_products", "dep_reordered",
+            "aisle_products", "aisle_reordered",
+        )
+        got = {tuple(r) for r in found.collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert dealt and not any("department_id" in line or "aisle_id" in line for line in dealt)
+    assert got == {
+        (1, 1, 7, 3, 2, 1, 1, 1), (1, 2, 7, 3, 2, 1, 2, 3), (1, 3, 7, 3, 1, 3, 2, 3), (2, 1, 5, 1, 1, 4, 1, 4),
+    }
