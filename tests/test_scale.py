@@ -6,7 +6,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from cartwise.plans import marts, models
+from cartwise.plans import marts, models, rolling
 from cartwise.queries import ENTRIES
 from cartwise.sources import baskets
 from tests.conftest import rows
@@ -129,3 +129,35 @@ def test_pairs_meet_all_totals_of_their_user_at_once(spark):
     assert got == {
         (1, 1, 7, 3, 2, 1, 1, 1), (1, 2, 7, 3, 2, 1, 2, 3), (1, 3, 7, 3, 1, 3, 2, 3), (2, 1, 5, 1, 1, 4, 1, 4),
     }
+
+
+def _dealt_by(spark, make):
+    """What rows are shuffled by, without broadcasts."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(kept, ("-1", "false")):
+            spark.conf.set(k, v)
+        plan = make()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    return [line.split("hashpartitioning")[1] for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_daily_ranges_are_dealt_once_for_both_splits(spark, star):
+    b = baskets.StoredBaskets(*star)
+    dealt = _dealt_by(spark, lambda: rolling.ranges(b, rolling.Windows(span_days=20, shift_days=4)))
+    assert dealt and not any("split" in keys for keys in dealt)
+
+
+def test_touching_equal_ranges_become_one(spark):
+    found = spark.createDataFrame(
+        [(1, 0, 2, 5), (1, 3, 3, 5), (1, 4, 9, 5), (1, 10, 11, None), (1, 12, 12, None), (1, 14, 15, None), (2, 0, 1, 7), (2, 2, 3, 8)],
+        "k INT, low INT, high INT, v INT",
+    )
+    got = rolling._neighbours_joined(found, ("k",), "low", "high")
+    assert rows(got.select(F.struct("k", "low", "high", "v").alias("r")).select("r.*")) == rows(
+        spark.createDataFrame(
+            [(1, 0, 9, 5), (1, 10, 12, None), (1, 14, 15, None), (2, 0, 1, 7), (2, 2, 3, 8)], "k INT, low INT, high INT, v INT"
+        )
+    )
