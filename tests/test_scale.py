@@ -161,3 +161,12 @@ def test_touching_equal_ranges_become_one(spark):
             [(1, 0, 9, 5), (1, 10, 12, None), (1, 14, 15, None), (2, 0, 1, 7), (2, 2, 3, 8)], "k INT, low INT, high INT, v INT"
         )
     )
+
+
+def test_rows_per_window_are_not_dealt(spark, star):
+    b = baskets.StoredBaskets(*star)
+    dealt = _dealt_by(spark, lambda: rolling.features(b, rolling.Windows(span_days=20, shift_days=4)))
+    # Pairs meet their products by block of starts; only the events of difference arrays are dealt by start.
+    assert any("product_id" in keys and "block" in keys and "user_id" not in keys for keys in dealt)
+    assert not any("product_id" in keys and "start" in keys and "block" not in keys and "user_id" not in keys for keys in dealt)
+    assert not any("counter" in keys or "split" in keys for keys in dealt)
