@@ -87,6 +87,33 @@ def test_folds_of_small_rows_are_fitted_side_by_side(spark):
         models.cross_validate(stub, rows_, 5, stub)
 
 
+def test_trees_read_stored_vectors_in_even_files(spark, monkeypatch):
+    given = spark.createDataFrame(
+        [(k // 3, k % 2, float("nan") if k == 4 else k / 2, None if k == 5 else k) for k in range(90)],
+        "order_id LONG, reordered INT, x DOUBLE, y INT",
+    ).coalesce(1)
+    found = models.vectors(given, ["x", "y"], "order_id").collect()
+    want = [(k // 3, [0.0 if k == 4 else k / 2, 0.0 if k == 5 else float(k)]) for k in range(90)]
+    assert [(r.order_id, r.features.toArray().tolist()) for r in found] == want
+    monkeypatch.setattr(models, "FOLD_ROWS", 20)
+    kept, seen = models.materialize, []
+
+    def stored(*args):
+        seen.append(kept(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(models, "materialize", stored)
+    model = models.fit_classifier(given, ["x", "y"], rounds=1, depth=1)
+    scores = models.cross_validate_classifier(given, ["x", "y"], 3).orderBy("fold").collect()
+    assert [(r.fold, r.examples) for r in scores] == [(0, 30), (1, 30), (2, 30)]
+    assert models.classify(model, given, ["x", "y"]).filter("score BETWEEN 0 AND 1").count() == 90
+    for table in seen:
+        assert "features" in table.columns and not {"x", "y"} & set(table.columns)
+        sizes = [r["count"] for r in table.groupBy(F.input_file_name()).count().collect()]
+        assert sum(sizes) == 90 and len(sizes) >= 5 and max(sizes) <= 20
+    assert len(seen) == 2
+
+
 def test_snapshots_have_a_row_per_window(spark, star, tmp_path):
     orders, lineitem, part = star
     named = {"order_id": "o_orderkey", "user_id": "o_custkey", "order_date": "o_orderdate"}
