@@ -2,16 +2,16 @@
 
 Training counts all words of all training texts. Words whose share reaches ``WORD_SHARE`` have ids of
 their own; every other word is one of a class of rare words with the same last letters (classes below
-that share fall together). Pairs and triples of ids are counted over all texts and kept where their
-share reaches ``GRAM_SHARE``; shares add up to one, so each level has at most ``1 / share`` entries,
-however large the corpus is. What is gathered to find them grows with the corpus: every count is
-taken over all of it, combined before it is shuffled. A triple is counted where both its pairs are
-kept, since it cannot be more frequent than they are.
+that share fall together). All pairs and triples of ids are counted over all texts, combined before
+they are shuffled, and all belong to the model. Those whose share reaches ``GRAM_SHARE`` go into the
+trie; shares add up to one, so each of its levels has at most ``1 / share`` entries, however large the
+corpus is. The rest stays in a table that grows with the corpus and is never in one place.
 
-Probabilities are interpolated with absolute discounting; what a context's kept successors leave is
-its weight for the shorter context. A rare word has its class's probability in context, times its own
-smoothed share of the class, which is looked up with a join, so that no table of all words is sent
-anywhere.
+Probabilities are interpolated with absolute discounting; what is discounted from all of a context's
+successors is its weight for the shorter context. A rare word has its class's probability in context,
+times its own smoothed share of the class, which is looked up with a join, so that no table of all
+words is sent anywhere. Pairs and triples outside of the trie are looked up in the same join: the table
+has what each adds to the logarithm that its text gets without it, so their sums by text are exact.
 
 The trie has a level per n-gram length. A level's entries are grouped by context; monotone pointers
 delimit the groups. A pair's last word is its id; a triple's last word is its place among the
@@ -48,7 +48,7 @@ from cartwise.session import materialize, scratch_path
 WORD_SHARE, GRAM_SHARE, DISCOUNT, LEVELS, SUFFIX = 1e-6, 1e-6, 0.75, 256, 3
 #: The end token and the class of all other rare words; neither can be a word.
 END, RARE = " ", "\t"
-_FLUSH_WORDS, _FLUSH_TOKENS = 500_000, 4_000_000
+_FLUSH_WORDS, _FLUSH_GRAMS, _FLUSH_SCORED, _FLUSH_ROWS = 500_000, 4_000_000, 200_000, 100_000
 _BITS = 21
 
 
@@ -91,6 +91,11 @@ class Vocabulary:
     def start(self) -> int:
         return len(self.counts)
 
+    @property
+    def context_counts(self) -> np.ndarray:
+        """How often each id stands before another one; texts start as often as they end."""
+        return np.append(self.counts, self.counts[self.ids[END]]).astype(np.float64)
+
 
 def _vocabulary(counts: DataFrame, word_share: float) -> Vocabulary:
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -163,13 +168,17 @@ def _held(key, make):
     return _HELD[kind][1]
 
 
-def _count_grams(vocabulary, name: str, pairs=None):
-    """Counts of pairs, or of triples both of whose pairs are kept, combined per few million tokens."""
+def _triples(before: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Keys of all places of a text but the first, from the word before and the pair at each place."""
+    return (before[:-1] << (2 * _BITS)) | two[1:]
+
+
+def _count_grams(vocabulary, name: str):
+    """Counts of triples and, as ``-1 - pair``, of pairs, combined per few million of them."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _held(("ids", name), lambda: _Ids(vocabulary.value))
         start = vocabulary.value.start
-        kept = None if pairs is None else pairs.value
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
@@ -181,14 +190,9 @@ def _count_grams(vocabulary, name: str, pairs=None):
                 row = ids.of(words(text.as_py() or ""))
                 before = np.concatenate([[start], row[:-1]])
                 two = (before << _BITS) | row
-                if kept is not None:
-                    at = np.minimum(np.searchsorted(kept, two), max(len(kept) - 1, 0))
-                    there = kept[at] == two if len(kept) else np.zeros(len(two), bool)
-                    both = np.flatnonzero(there[1:] & there[:-1]) + 1
-                    two = (before[both - 1] << (2 * _BITS)) | two[both]
-                held.append(two)
-                size += len(two)
-                if size >= _FLUSH_TOKENS:
+                held += [-1 - two, _triples(before, two)]
+                size += 2 * len(two) - 1
+                if size >= _FLUSH_GRAMS:
                     yield out()
                     held, size = [], 0
         if size:
@@ -208,6 +212,11 @@ def quantise(values: np.ndarray, levels: int = LEVELS) -> tuple[np.ndarray, np.n
     return codes, sums / np.maximum(sizes, 1)
 
 
+def _left_over(followers: np.ndarray, n: np.ndarray, discount: float = DISCOUNT) -> np.ndarray:
+    """The weight of the shorter context: what is taken off all successors of a context seen ``n`` times."""
+    return np.where(followers > 0, np.clip(discount * followers / np.maximum(n, 1), 1e-9, 1), 1.0)
+
+
 @dataclass
 class Level:
     """One n-gram length: groups of successors, their quantised probabilities and weights."""
@@ -239,17 +248,28 @@ class Trie:
         self.unigram, self.unigram_weight, self.two, self.three = unigram, unigram_weight, two, three
 
     @classmethod
-    def build(cls, vocabulary: Vocabulary, pairs: np.ndarray, pair_n: np.ndarray, triples: np.ndarray, triple_n: np.ndarray, discount: float = DISCOUNT) -> Trie:
-        """From sorted pair and triple keys with their counts."""
+    def build(
+        cls,
+        vocabulary: Vocabulary,
+        followers: np.ndarray,
+        pairs: np.ndarray,
+        pair_n: np.ndarray,
+        pair_followers: np.ndarray,
+        triples: np.ndarray,
+        triple_n: np.ndarray,
+        discount: float = DISCOUNT,
+    ) -> Trie:
+        """From sorted pair and triple keys with their counts; ``followers`` counts the kinds of successors of
+        each id and pair, kept or not."""
         size, mask = vocabulary.start + 1, (1 << _BITS) - 1
         total = max(vocabulary.total, 1)
         single = np.maximum(vocabulary.counts, 0.1) / total
         with np.errstate(divide="ignore"):
             unigram = np.log10(np.append(single, 1.0))
-        context_n = np.append(vocabulary.counts, vocabulary.counts[vocabulary.ids[END]]).astype(np.float64)
+        context_n = vocabulary.context_counts
         a, b = pairs >> _BITS, pairs & mask
         share = np.maximum(pair_n - discount, 0) / np.maximum(context_n[a], 1)
-        weight1 = np.clip(1 - np.bincount(a, share, size), 1e-9, 1)
+        weight1 = _left_over(followers, context_n, discount)
         p2 = share + weight1[a] * single[b]
         two = _level(a, size, b, np.log10(p2))
         # A triple's context is a pair; its last word is the place among the middle word's successors.
@@ -258,7 +278,7 @@ class Trie:
         first = np.searchsorted(a, np.arange(size + 1))
         middle = (triples >> _BITS) & mask
         share = np.maximum(triple_n - discount, 0) / np.maximum(pair_n[context], 1) if len(triples) else np.empty(0)
-        weight2 = np.clip(1 - np.bincount(context, share, len(pairs)), 1e-9, 1)
+        weight2 = _left_over(pair_followers, pair_n, discount)
         p3 = share + weight2[context] * p2[tail] if len(triples) else np.empty(0)
         three = _level(context, len(pairs), tail - first[middle], np.log10(p3))
         two.weight, two.weight_book = quantise(np.log10(weight2))
@@ -291,6 +311,12 @@ class Trie:
         ``pair`` is the place of these two and ``context`` that of ``second`` with the word before it,
         both from ``find_pairs``.
         """
+        return self.log_p_found(second, word, pair, context)[0]
+
+    def log_p_found(
+        self, second: np.ndarray, word: np.ndarray, pair: np.ndarray, context: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """``log_p`` and whether it comes from a triple."""
         out = self.unigram_weight[second] + self.unigram[word]
         hit = pair >= 0
         out[hit] = self.two.probability_book[self.two.probability[pair[hit]]]
@@ -308,7 +334,7 @@ class Trie:
         shorter = longer & ~found
         out[shorter] += self.two.weight_book[self.two.weight[context[shorter]]]
         out[found] = self.three.probability_book[self.three.probability[place[found]]]
-        return out
+        return out, found
 
     def to_bytes(self) -> bytes:
         """A header and the arrays, each at a multiple of eight bytes."""
@@ -356,11 +382,13 @@ class Trie:
 
 @dataclass
 class Model:
-    """The vocabulary, the name of the trie's file, and the table of all words' counts."""
+    """The vocabulary, the name of the trie's file, the table of all words' counts, and what the pairs and triples
+    outside of the trie add (kind, key, delta), None where there are none."""
 
     vocabulary: Vocabulary
     trie_file: str
     counts: DataFrame
+    rest: DataFrame | None
 
 
 def _share_file(spark: SparkSession, data: bytes) -> str:
@@ -387,29 +415,80 @@ def train(texts: DataFrame, word_share: float = WORD_SHARE, gram_share: float =
     vocabulary = _vocabulary(counts, word_share)
     shared, name = spark.sparkContext.broadcast(vocabulary), uuid.uuid4().hex
     least = max(1, math.ceil(gram_share * vocabulary.total))
+    grams = rows.mapInArrow(_count_grams(shared, name), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    grams = materialize(grams, "grams")
+    triples = grams.filter("gram >= 0")
+    # Each pair's count and the kinds of its successors.
+    pairs = (
+        grams.filter("gram < 0")
+        .select((-1 - F.col("gram")).alias("pair"), "n", F.lit(0).alias("f"))
+        .unionByName(triples.select(F.shiftright("gram", _BITS).alias("pair"), F.lit(0).alias("n"), F.lit(1).alias("f")))
+        .groupBy("pair")
+        .agg(F.sum("n").alias("n"), F.sum("f").alias("followers"))
+    )
+    pairs = materialize(pairs, "pairs")
+    by_id = pairs.groupBy(F.shiftright("pair", _BITS).alias("id")).agg(F.count("*").alias("f")).toPandas()
+    followers = np.zeros(vocabulary.start + 1)
+    followers[by_id["id"].to_numpy(np.int64)] = by_id["f"]
+    # At most 1 / gram_share rows each.
+    two = pairs.filter(F.col("n") >= least).toPandas().sort_values("pair")
+    three = triples.filter(F.col("n") >= least).toPandas().sort_values("gram")
+    trie = Trie.build(
+        vocabulary,
+        followers,
+        two["pair"].to_numpy(np.int64),
+        two["n"].to_numpy(np.float64),
+        two["followers"].to_numpy(np.float64),
+        three["gram"].to_numpy(np.int64),
+        three["n"].to_numpy(np.float64),
+    )
+    rest = None if least == 1 else _rest(vocabulary, trie, pairs, triples, least)
+    return Model(vocabulary, _share_file(spark, trie.to_bytes()), counts, rest)
 
-    def kept(pairs=None) -> tuple[np.ndarray, np.ndarray]:
-        found = (
-            rows.mapInArrow(_count_grams(shared, name, pairs), "gram long, n long")
-            .groupBy("gram")
-            .agg(F.sum("n").alias("n"))
-            .filter(F.col("n") >= least)  # at most 1 / gram_share rows
-            .toPandas()
-            .sort_values("gram")
-        )
-        return found["gram"].to_numpy(np.int64), found["n"].to_numpy(np.float64)
 
-    pairs, pair_n = kept()
-    triples, triple_n = kept(spark.sparkContext.broadcast(pairs))
-    trie = Trie.build(vocabulary, pairs, pair_n, triples, triple_n)
-    return Model(vocabulary, _share_file(spark, trie.to_bytes()), counts)
+def _rest(vocabulary: Vocabulary, trie: Trie, pairs: DataFrame, triples: DataFrame, least: int) -> DataFrame:
+    """(kind, key, delta) of the pairs and triples seen fewer than ``least`` times.
+
+    A pair changes the probability of its last word and, as a context, that of the word behind it; a
+    triple changes that of its last word only. Derived from the stored counts whenever it is used, which
+    takes less disk than to store it.
+    """
+    shared = pairs.sparkSession.sparkContext.broadcast((vocabulary.context_counts, trie.unigram, trie.unigram_weight))
 
+    def known(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context_n, unigram, weight = shared.value
+        for batch in it:
+            pair, n, followers = (batch.column(c).to_numpy() for c in ("pair", "n", "followers"))
+            a, b = pair >> _BITS, pair & ((1 << _BITS) - 1)
+            lower = weight[a] + unigram[b]
+            log_p = np.log10((n - DISCOUNT) / np.maximum(context_n[a], 1) + 10**lower)
+            longer = np.log10(_left_over(followers, n))
+            yield pa.record_batch(
+                [batch.column("pair"), batch.column("n"), pa.array(log_p), pa.array(longer), pa.array(log_p - lower + longer)],
+                names=["pair", "n", "log_p", "weight", "delta"],
+            )
+
+    facts = pairs.mapInArrow(known, "pair long, n long, log_p double, weight double, delta double")
+    lower = F.col("weight") + F.col("log_p")
+    raised = (F.col("n") - DISCOUNT) / F.col("context_n") + F.pow(F.lit(10.0), lower)
+    found = (
+        triples.filter(F.col("n") < least)
+        .select("gram", "n", F.shiftright("gram", _BITS).alias("first"), F.col("gram").bitwiseAND((1 << (2 * _BITS)) - 1).alias("second"))
+        .join(facts.select(F.col("pair").alias("first"), F.col("n").alias("context_n"), "weight"), "first")
+        .join(facts.select(F.col("pair").alias("second"), "log_p"), "second")
+        .select(F.lit(TRIPLE).alias("kind"), F.col("gram").alias("key"), (F.log10(raised) - lower).alias("delta"))
+    )
+    few = facts.filter(F.col("n") < least).select(F.lit(PAIR).alias("kind"), F.col("pair").alias("key"), "delta")
+    return found.unionByName(few)
 
-_OUT = ["row_key", "word_key", "doc_id", "times", "score", "base", "n_tokens", "n_known"]
 
+#: What a row of ``_score_rows`` is: a document, or something looked up for it.
+DOCUMENT, WORD, PAIR, TRIPLE = range(4)
+_OUT = ["row_key", "kind", "key", "times", "doc"]
 
-def _score_rows(vocabulary, trie_file: str):
-    """A row per document, and one per rare word of it, to be joined to that word's count."""
+
+def _score_rows(vocabulary, trie_file: str, has_rest: bool):
+    """A row per document, and one per rare word and per pair and triple outside of the trie, to be joined to theirs."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
@@ -431,7 +510,7 @@ def _score_rows(vocabulary, trie_file: str):
             pair = trie.find_pairs(second, word)
             context = np.concatenate([[-1], pair[:-1]])  # what stood one place before
             context[heads] = -1
-            log_p = trie.log_p(second, word, pair, context)
+            log_p, found = trie.log_p_found(second, word, pair, context)
             rare = (word >= v.words) & (word < v.start)
             log_p -= np.where(rare, v.rare_mass[np.minimum(word, v.start - 1)], 0)
             score = np.add.reduceat(log_p, heads)
@@ -439,6 +518,7 @@ def _score_rows(vocabulary, trie_file: str):
             n_known = np.add.reduceat(known[word].astype(np.int64), heads)
             doc_ids = part.column("doc_id").to_pylist()
             row_keys, events = [], ([], [], [])
+            at_row = np.repeat(np.arange(len(rows)), size)
             for k, (doc_id, text) in enumerate(zip(doc_ids, part.column("text"), strict=True)):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 key = xxhash.xxh3_64_intdigest(raw + b"\0" + repr(doc_id).encode()) >> 1
@@ -449,31 +529,56 @@ def _score_rows(vocabulary, trie_file: str):
                     events[0].append(key)
                     events[1].append(h - (1 << 64) if h >= 1 << 63 else h)
                     events[2].append(n)
+            keys = np.array(row_keys, np.int64)
             n, m = len(row_keys), len(events[0])
-            none = lambda kind: pa.nulls(m, kind)
+            # A document's own row meets nothing: its key is spread at random.
+            parts = [
+                (keys, DOCUMENT, keys, np.zeros(n, np.int64)),
+                (np.array(events[0], np.int64), WORD, np.array(events[1], np.int64), np.array(events[2], np.int64)),
+            ]
+            if has_rest:
+                two = (second << _BITS) | word
+                lacking = np.flatnonzero(pair < 0)
+                inner = np.ones(len(word), bool)
+                inner[heads] = False
+                longest = np.flatnonzero(inner & ~found)
+                triple = (second[longest - 1] << (2 * _BITS)) | two[longest]
+                for kind, at, gram in ((PAIR, lacking, two[lacking]), (TRIPLE, longest, triple)):
+                    parts.append((keys[at_row[at]], kind, gram, np.ones(len(at), np.int64)))
+            every = sum(len(x[0]) for x in parts)
+            docs = pa.StructArray.from_arrays(
+                [
+                    part.column("doc_id"),
+                    pa.array(score),
+                    pa.array(base),
+                    pa.array(size.astype(np.int64)),
+                    pa.array(n_known),
+                ],
+                ["doc_id", "score", "base", "n_tokens", "n_known"],
+            )
             columns = [
-                pa.array(row_keys + events[0], pa.int64()),
-                # A document's own row meets no word: its key is spread at random and marked by 0 times.
-                pa.array(row_keys + events[1], pa.int64()),
-                pa.concat_arrays([part.column("doc_id"), none(part.schema.field("doc_id").type)]),
-                pa.array([0] * n + events[2], pa.int32()),
-                pa.concat_arrays([pa.array(score), none(pa.float64())]),
-                pa.concat_arrays([pa.array(base), none(pa.float64())]),
-                pa.concat_arrays([pa.array(size.astype(np.int64)), none(pa.int64())]),
-                pa.concat_arrays([pa.array(n_known), none(pa.int64())]),
+                pa.array(np.concatenate([x[0] for x in parts])),
+                pa.array(np.repeat(np.array([x[1] for x in parts], np.int32), [len(x[0]) for x in parts])),
+                pa.array(np.concatenate([x[2] for x in parts])),
+                pa.array(np.concatenate([x[3] for x in parts])),
+                pa.concat_arrays([docs, pa.nulls(every - n, docs.type)]),
             ]
             return pa.record_batch(columns, names=_OUT)
 
+        def pieces(made: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for a in range(0, made.num_rows, _FLUSH_ROWS):
+                yield made.slice(a, _FLUSH_ROWS)
+
         for batch in it:
             start, texts, held = 0, [], 0
             for k, text in enumerate(batch.column("text")):
                 texts.append(words(text.as_py() or ""))
                 held += len(texts[-1]) + 1
-                if held >= 1_000_000:
-                    yield out(batch.slice(start, k + 1 - start), texts)
+                if held >= _FLUSH_SCORED:
+                    yield from pieces(out(batch.slice(start, k + 1 - start), texts))
                     start, texts, held = k + 1, [], 0
             if texts:
-                yield out(batch.slice(start), texts)
+                yield from pieces(out(batch.slice(start), texts))
 
     return run
 
@@ -486,20 +591,24 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     v = model.vocabulary
     shared = docs.sparkSession.sparkContext.broadcast(v)
-    rows = docs.select("doc_id", "text").mapInArrow(
-        _score_rows(shared, model.trie_file),
-        f"row_key long, word_key long, doc_id {kind}, times int, score double, base double, n_tokens long, n_known long",
+    doc = f"struct<doc_id: {kind}, score: double, base: double, n_tokens: bigint, n_known: bigint>"
+    run = _score_rows(shared, model.trie_file, model.rest is not None)
+    rows = docs.select("doc_id", "text").mapInArrow(run, f"row_key long, kind int, key long, times long, doc {doc}")
+    rest = model.counts.select(
+        F.lit(WORD).alias("kind"), F.xxhash64("word").alias("key"), F.lit(0.0).alias("delta"), F.col("n").alias("c")
     )
-    counts = model.counts.select(F.xxhash64("word").alias("word_key"), F.col("n").alias("c"))
-    c = F.when(F.col("times") > 0, F.coalesce("c", F.lit(0)))
-    joined = rows.join(counts, "word_key", "left").select(
+    if model.rest is not None:
+        rest = rest.unionByName(model.rest.withColumn("c", F.lit(0).cast("long")))
+    times, word = F.col("times"), F.col("kind") == WORD
+    smoothed = F.log10(F.coalesce("c", F.lit(0)) + 0.1)
+    joined = rows.join(rest, ["kind", "key"], "left").select(
         "row_key",
-        "doc_id",
-        (F.col("times") == 0).cast("long").alias("copies"),
-        F.coalesce("score", F.col("times") * F.log10(c + 0.1)).alias("score"),
-        F.coalesce("base", F.col("times") * F.log10(c + 0.1)).alias("base"),
-        F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
-        F.coalesce("n_known", F.when(c > 0, F.col("times")).otherwise(0).cast("long")).alias("n_known"),
+        "doc.doc_id",
+        (F.col("kind") == DOCUMENT).cast("long").alias("copies"),
+        F.coalesce("doc.score", times * F.when(word, smoothed).otherwise(F.coalesce("delta", F.lit(0.0)))).alias("score"),
+        F.coalesce("doc.base", F.when(word, times * smoothed).otherwise(0.0)).alias("base"),
+        F.coalesce("doc.n_tokens", F.lit(0)).alias("n_tokens"),
+        F.coalesce("doc.n_known", F.when(word & (F.col("c") > 0), times).otherwise(0)).alias("n_known"),
     )
     # Rows that repeat id and text share a key: all their sums are that many times too large.
     summed = joined.groupBy("row_key").agg(

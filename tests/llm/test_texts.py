@@ -215,3 +215,32 @@ def test_scores_against_brute_force_base(spark, awkward):
     assert sorted(shown, key=repr) == sorted(want, key=repr)
     assert all(r.score < 0 for r in got)
     assert ngrams.score(awkward.limit(0), ngrams.train(train.limit(0))).count() == 0
+
+
+def test_pairs_and_triples_outside_of_the_trie_count_in_full(spark):
+    texts = ["a b c a b d", "a b c", "b c a c", "d d a b", "c b a"]
+    train = spark.createDataFrame([(t,) for t in texts], "text string")
+    asked = spark.createDataFrame([(1, "a b c"), (2, "d d a c"), (2, "d d a c"), (3, "c c c"), (4, ""), (5, "b a d b c a b d")], "doc_id long, text string")
+    # 25 tokens: the second share leaves pairs and triples seen fewer than 3 times out of the trie, the third all.
+    whole, some, none = (ngrams.train(train, 1e-9, share) for share in (1e-9, 0.1, 0.9))
+    assert whole.rest is None and some.rest.count() > 0
+    counts = Counter(g for t in texts for w in [["^", *t.split(), "$"]] for k in (1, 2, 3) for g in zip(*(w[i:] for i in range(k)), strict=False))
+    total = sum(len(t.split()) + 1 for t in texts)
+
+    def p(gram):
+        if len(gram) == 1:
+            return counts[gram] / total
+        before, seen = gram[:-1], sum(n for g, n in counts.items() if g[:-1] == gram[:-1] and len(g) == len(gram))
+        if not seen:
+            return p(gram[1:])
+        kinds = sum(g[:-1] == before for g in counts if len(g) == len(gram))
+        return (max(counts[gram] - 0.75, 0) + 0.75 * kinds * p(gram[1:])) / seen
+
+    want = []
+    for r in asked.collect():
+        w = ["^", *r.text.split(), "$"]
+        want.append((r.doc_id, sum(math.log10(p(tuple(w[max(0, i - 2) : i + 1]))) for i in range(1, len(w)))))
+    for model in (whole, some, none):
+        got = [(r.doc_id, r.score) for r in ngrams.score(asked, model).collect()]
+        assert [i for i, _ in sorted(got)] == [i for i, _ in sorted(want)]
+        assert [s for _, s in sorted(got)] == pytest.approx([s for _, s in sorted(want)], abs=1e-6)
