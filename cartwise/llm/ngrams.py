@@ -217,6 +217,17 @@ def _left_over(followers: np.ndarray, n: np.ndarray, discount: float = DISCOUNT)
     return np.where(followers > 0, np.clip(discount * followers / np.maximum(n, 1), 1e-9, 1), 1.0)
 
 
+def _weight(
+    context: np.ndarray, share: np.ndarray, kept_n: np.ndarray, followers: np.ndarray, n: np.ndarray, discount: float
+) -> np.ndarray:
+    """The same of contexts seen ``n`` times, some of whose successors are kept: their shares are taken off one by
+    one, those of the rest by their sums."""
+    rest_n = n - np.bincount(context, kept_n, len(n))
+    rest = rest_n - discount * (followers - np.bincount(context, minlength=len(n)))
+    taken = np.bincount(context, share, len(n)) + np.where(followers > 0, rest, 0) / np.maximum(n, 1)
+    return np.clip(1 - taken, 1e-9, 1)
+
+
 @dataclass
 class Level:
     """One n-gram length: groups of successors, their quantised probabilities and weights."""
@@ -269,7 +280,7 @@ class Trie:
         context_n = vocabulary.context_counts
         a, b = pairs >> _BITS, pairs & mask
         share = np.maximum(pair_n - discount, 0) / np.maximum(context_n[a], 1)
-        weight1 = _left_over(followers, context_n, discount)
+        weight1 = _weight(a, share, pair_n, followers, context_n, discount)
         p2 = share + weight1[a] * single[b]
         two = _level(a, size, b, np.log10(p2))
         # A triple's context is a pair; its last word is the place among the middle word's successors.
@@ -278,7 +289,7 @@ class Trie:
         first = np.searchsorted(a, np.arange(size + 1))
         middle = (triples >> _BITS) & mask
         share = np.maximum(triple_n - discount, 0) / np.maximum(pair_n[context], 1) if len(triples) else np.empty(0)
-        weight2 = _left_over(pair_followers, pair_n, discount)
+        weight2 = _weight(context, share, triple_n, pair_followers, pair_n, discount)
         p3 = share + weight2[context] * p2[tail] if len(triples) else np.empty(0)
         three = _level(context, len(pairs), tail - first[middle], np.log10(p3))
         two.weight, two.weight_book = quantise(np.log10(weight2))
