@@ -5,13 +5,13 @@ their own; every other word is one of a class of rare words with the same last l
 that share fall together). All pairs and triples of ids are counted over all texts, combined before
 they are shuffled, and all belong to the model. Those whose share reaches ``GRAM_SHARE`` go into the
 trie; shares add up to one, so each of its levels has at most ``1 / share`` entries, however large the
-corpus is. The rest stays in a table that grows with the corpus and is never in one place.
+corpus is. The rest stays in packed runs (see ``parts``) that grow with the corpus and are never in one place.
 
 Probabilities are interpolated with absolute discounting; what is discounted from all of a context's
 successors is its weight for the shorter context. A rare word has its class's probability in context,
-times its own smoothed share of the class, which is looked up with a join, so that no table of all
-words is sent anywhere. Pairs and triples outside of the trie are looked up in the same join: the table
-has what each adds to the logarithm that its text gets without it, so their sums by text are exact.
+times its own smoothed share of the class, which is looked up in parts of all words, so that no table of all
+words is sent anywhere. Pairs and triples outside of the trie are looked up in their parts in the same pass: a part
+tells what each adds to the logarithm that its text gets without it, so their sums by text are exact.
 
 The trie has a level per n-gram length. A level's entries are grouped by context; monotone pointers
 delimit the groups. A pair's last word is its id; a triple's last word is its place among the
@@ -30,26 +30,31 @@ import json
 import math
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import SparkFiles, TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartwise.llm.common import words
 from cartwise.llm.eliasfano import EliasFano
+from cartwise.llm.parts import BITS, NONE, RUN_KEYS, Parts, dealt, gram, heads_of, merged, pack, places, summed, ungram, unpack
 from cartwise.session import materialize, scratch_path
 
 WORD_SHARE, GRAM_SHARE, DISCOUNT, LEVELS, SUFFIX = 1e-6, 1e-6, 0.75, 256, 3
 #: The end token and the class of all other rare words; neither can be a word.
 END, RARE = " ", "\t"
-_FLUSH_WORDS, _FLUSH_GRAMS, _FLUSH_SCORED, _FLUSH_ROWS = 500_000, 4_000_000, 200_000, 100_000
-_BITS = 21
+_FLUSH_WORDS, _FLUSH_GRAMS, _FLUSH_SCORED = 500_000, 4_000_000, 500_000
+#: Tokens whose grams one part holds, and the fewest for which a part of its own pays.
+PART_TOKENS, LEAST_PART_TOKENS = 3_000_000, 200_000
+#: Stored grams of a part that are worked out together, or all of a word.
+_REST_KEYS = 500_000
 
 
 def rare_class(word: str) -> str:
@@ -168,13 +173,8 @@ def _held(key, make):
     return _HELD[kind][1]
 
 
-def _triples(before: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Keys of all places of a text but the first, from the word before and the pair at each place."""
-    return (before[:-1] << (2 * _BITS)) | two[1:]
-
-
-def _count_grams(vocabulary, name: str):
-    """Counts of triples and, as ``-1 - pair``, of pairs, combined per few million of them."""
+def _count_grams(vocabulary, parts: Parts, name: str):
+    """Packed counts of grams per part, combined per few million of them."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _held(("ids", name), lambda: _Ids(vocabulary.value))
@@ -183,15 +183,18 @@ def _count_grams(vocabulary, name: str):
 
         def out() -> pa.RecordBatch:
             keys, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.record_batch([pa.array(keys), pa.array(n.astype(np.int64))], names=["gram", "n"])
+            before, middle, _ = ungram(keys)
+            found = [(p, pack(keys[at], n[at].astype(np.int64))) for p, at in dealt(parts.of(before, middle))]
+            return pa.record_batch(
+                [pa.array([p for p, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=["part", "blob"]
+            )
 
         for batch in it:
             for text in batch.column("text"):
                 row = ids.of(words(text.as_py() or ""))
                 before = np.concatenate([[start], row[:-1]])
-                two = (before << _BITS) | row
-                held += [-1 - two, _triples(before, two)]
-                size += 2 * len(two) - 1
+                held.append(gram(before, row, np.append(row[1:], NONE)))
+                size += len(row)
                 if size >= _FLUSH_GRAMS:
                     yield out()
                     held, size = [], 0
@@ -201,6 +204,67 @@ def _count_grams(vocabulary, name: str):
     return run
 
 
+#: What a row of the table of grams is: packed grams of a part, a frequent pair or triple, how many kinds of words
+#: come behind an id, or the pairs that begin with a word whose grams are cut into slices.
+GRAMS, PAIR, TRIPLE, FOLLOWERS, SLICED = range(1, 6)
+_GRAM_TABLE = "kind int, part int, key long, n long, followers long, blob binary"
+
+
+def _sum_grams(parts: Parts, least: int):
+    """The rows of one part."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        part = key[0].as_py()
+        keys, n = merged(x.as_py() for x in table.column("blob"))
+        before, middle, behind = ungram(keys)
+        heads = heads_of(keys >> np.uint64(BITS))
+        inner = behind != NONE
+        pair_n, followers = np.add.reduceat(n, heads), np.add.reduceat(inner.astype(np.int64), heads)
+        pair = (before[heads] << BITS) | middle[heads]
+        often, often3 = pair_n >= least, inner & (n >= least)
+        triple = (before[often3] << (2 * BITS)) | (middle[often3] << BITS) | behind[often3]
+        ids, seconds = np.unique(before[heads], return_counts=True)
+        rows = [
+            (PAIR, pair[often], pair_n[often], followers[often]),
+            (TRIPLE, triple, n[often3], np.zeros(len(triple), np.int64)),
+            (FOLLOWERS, ids, seconds, np.zeros(len(ids), np.int64)),
+        ]
+        blobs = []
+        if least > 1:
+            blobs += [(GRAMS, part, pack(keys[a : a + RUN_KEYS], n[a : a + RUN_KEYS])) for a in range(0, len(keys), RUN_KEYS)]
+            if part < parts.cut_parts:
+                blobs.append((SLICED, int(middle[0]), pack(*summed(behind[inner].astype(np.uint64), n[inner]))))
+        size, m = sum(len(r[1]) for r in rows), len(blobs)
+        kinds = np.concatenate([np.full(len(r[1]), r[0]) for r in rows] + [np.array([b[0] for b in blobs], np.int64)])
+        keys, n, followers = (
+            np.concatenate([r[c] for r in rows] + [np.array([b[1] * (c == 1) for b in blobs], np.int64)]) for c in (1, 2, 3)
+        )
+        return pa.table(
+            {
+                "kind": pa.array(kinds.astype(np.int32)),
+                "part": pa.array(np.full(size + m, part, np.int32)),
+                "key": pa.array(keys),
+                "n": pa.array(n),
+                "followers": pa.array(followers),
+                "blob": pa.concat_arrays([pa.nulls(size, pa.binary()), pa.array([b[2] for b in blobs], pa.binary())]),
+            }
+        )
+
+    return run
+
+
+def _share_slices(parts: Parts):
+    """The pairs that begin with a word, added up, for each part that has a slice of the word's grams."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        word = key[0].as_py()
+        blob = pack(*merged(x.as_py() for x in table.column("blob")))
+        first, k = int(parts.first[word]), int(parts.slices[word])
+        return pa.table({"part": pa.array(range(first, first + k), pa.int32()), "blob": pa.array([blob] * k, pa.binary())})
+
+    return run
+
+
 def quantise(values: np.ndarray, levels: int = LEVELS) -> tuple[np.ndarray, np.ndarray]:
     """(codes, codebook): bins of equal numbers of values, each shown by its mean."""
     if not len(values):
@@ -239,6 +303,14 @@ class Level:
     weight: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint8))
     weight_book: np.ndarray = field(default_factory=lambda: np.zeros(1))
 
+    @cached_property
+    def groups(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where each group begins, and what was added to its successors; decoded once per process."""
+        heads = self.pointers.get(np.arange(self.pointers.n)).astype(np.int64)
+        base, inner = np.zeros(len(heads), np.int64), heads > 0
+        base[inner] = self.successors.get(heads[inner] - 1).astype(np.int64) + 1
+        return heads, base
+
 
 def _level(group: np.ndarray, groups: int, last: np.ndarray, log_p: np.ndarray) -> Level:
     """``group`` ascends; within one, ``last`` ascends strictly."""
@@ -272,22 +344,22 @@ class Trie:
     ) -> Trie:
         """From sorted pair and triple keys with their counts; ``followers`` counts the kinds of successors of
         each id and pair, kept or not."""
-        size, mask = vocabulary.start + 1, (1 << _BITS) - 1
+        size, mask = vocabulary.start + 1, (1 << BITS) - 1
         total = max(vocabulary.total, 1)
         single = np.maximum(vocabulary.counts, 0.1) / total
         with np.errstate(divide="ignore"):
             unigram = np.log10(np.append(single, 1.0))
         context_n = vocabulary.context_counts
-        a, b = pairs >> _BITS, pairs & mask
+        a, b = pairs >> BITS, pairs & mask
         share = np.maximum(pair_n - discount, 0) / np.maximum(context_n[a], 1)
         weight1 = _weight(a, share, pair_n, followers, context_n, discount)
         p2 = share + weight1[a] * single[b]
         two = _level(a, size, b, np.log10(p2))
         # A triple's context is a pair; its last word is the place among the middle word's successors.
-        context = np.searchsorted(pairs, triples >> _BITS)
-        tail = np.searchsorted(pairs, triples & ((1 << (2 * _BITS)) - 1))
+        context = np.searchsorted(pairs, triples >> BITS)
+        tail = np.searchsorted(pairs, triples & ((1 << (2 * BITS)) - 1))
         first = np.searchsorted(a, np.arange(size + 1))
-        middle = (triples >> _BITS) & mask
+        middle = (triples >> BITS) & mask
         share = np.maximum(triple_n - discount, 0) / np.maximum(pair_n[context], 1) if len(triples) else np.empty(0)
         weight2 = _weight(context, share, triple_n, pair_followers, pair_n, discount)
         p3 = share + weight2[context] * p2[tail] if len(triples) else np.empty(0)
@@ -300,21 +372,20 @@ class Trie:
         """Place of ``last`` among the successors of ``group``, -1 where it is not kept."""
         if not level.successors.n:
             return np.full(len(group), -1, np.int64)
-        lo = level.pointers.get(group).astype(np.int64)
-        hi = level.pointers.get(group + 1).astype(np.int64)
-        base = np.zeros(len(group), np.int64)
-        inner = lo > 0
-        base[inner] = level.successors.get(lo[inner] - 1).astype(np.int64) + 1
-        want = base + last
+        heads, base = level.groups
+        out = np.full(len(group), -1, np.int64)
+        some = np.flatnonzero(heads[group] < heads[group + 1])
+        want = base[group[some]] + last[some]
         at = level.successors.successor(want.astype(np.uint64))
-        ok = (at >= lo) & (at < hi)
+        ok = (at >= heads[group[some]]) & (at < heads[group[some] + 1])
         ok[ok] = level.successors.get(at[ok]).astype(np.int64) == want[ok]
-        return np.where(ok, at, -1)
+        out[some[ok]] = at[ok]
+        return out
 
     def find_pairs(self, second: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Places of pairs, -1 where one is not kept; equal pairs are looked up once."""
-        keys, back = np.unique((second << _BITS) | word, return_inverse=True)
-        return self._find(self.two, keys >> _BITS, keys & ((1 << _BITS) - 1))[back]
+        keys, back = np.unique((second << BITS) | word, return_inverse=True)
+        return self._find(self.two, keys >> BITS, keys & ((1 << BITS) - 1))[back]
 
     def log_p(self, second: np.ndarray, word: np.ndarray, pair: np.ndarray, context: np.ndarray) -> np.ndarray:
         """log10 probability of ``word`` behind ``second``.
@@ -339,8 +410,7 @@ class Trie:
             c, q = keys >> 32, keys & 0xFFFFFFFF
             middle = np.empty(len(keys), np.int64)
             middle[back] = second[rows]
-            head = self.two.pointers.get(middle).astype(np.int64)
-            place[rows] = self._find(self.three, c, q - head)[back]
+            place[rows] = self._find(self.three, c, q - self.two.groups[0][middle])[back]
         found = place >= 0
         shorter = longer & ~found
         out[shorter] += self.two.weight_book[self.two.weight[context[shorter]]]
@@ -393,13 +463,15 @@ class Trie:
 
 @dataclass
 class Model:
-    """The vocabulary, the name of the trie's file, the table of all words' counts, and what the pairs and triples
-    outside of the trie add (kind, key, delta), None where there are none."""
+    """The vocabulary, the name of the trie's file, the table of all words' counts, the parts of the grams and their
+    packed runs (kind, part, blob), None where the trie holds all grams, and the count from which the trie holds one."""
 
     vocabulary: Vocabulary
     trie_file: str
     counts: DataFrame
+    parts: Parts
     rest: DataFrame | None
+    least: int
 
 
 def _share_file(spark: SparkSession, data: bytes) -> str:
@@ -416,8 +488,14 @@ def _share_file(spark: SparkSession, data: bytes) -> str:
     return name
 
 
-def train(texts: DataFrame, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE) -> Model:
-    """Learn from every row of ``texts`` (text)."""
+def train(
+    texts: DataFrame, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE, part_tokens: int | None = None
+) -> Model:
+    """Learn from every row of ``texts`` (text).
+
+    A part holds the grams of about ``part_tokens`` tokens. Unless told otherwise there are two parts a core
+    at least, none of them tiny.
+    """
     spark = texts.sparkSession
     rows = texts.select("text")
     counts = materialize(
@@ -426,80 +504,109 @@ def train(texts: DataFrame, word_share: float = WORD_SHARE, gram_share: float =
     vocabulary = _vocabulary(counts, word_share)
     shared, name = spark.sparkContext.broadcast(vocabulary), uuid.uuid4().hex
     least = max(1, math.ceil(gram_share * vocabulary.total))
-    grams = rows.mapInArrow(_count_grams(shared, name), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    grams = materialize(grams, "grams")
-    triples = grams.filter("gram >= 0")
-    # Each pair's count and the kinds of its successors.
-    pairs = (
-        grams.filter("gram < 0")
-        .select((-1 - F.col("gram")).alias("pair"), "n", F.lit(0).alias("f"))
-        .unionByName(triples.select(F.shiftright("gram", _BITS).alias("pair"), F.lit(0).alias("n"), F.lit(1).alias("f")))
-        .groupBy("pair")
-        .agg(F.sum("n").alias("n"), F.sum("f").alias("followers"))
+    if part_tokens is None:
+        even = -(-vocabulary.total // (2 * spark.sparkContext.defaultParallelism))
+        part_tokens = min(max(even, LEAST_PART_TOKENS), PART_TOKENS)
+    parts = Parts(vocabulary.counts, part_tokens)
+    grams = (
+        rows.mapInArrow(_count_grams(shared, parts, name), "part int, blob binary")
+        .groupBy("part")
+        .applyInArrow(_sum_grams(parts, least), _GRAM_TABLE)
     )
-    pairs = materialize(pairs, "pairs")
-    by_id = pairs.groupBy(F.shiftright("pair", _BITS).alias("id")).agg(F.count("*").alias("f")).toPandas()
+    grams = materialize(grams, "grams")
+    by_id = grams.filter(F.col("kind") == FOLLOWERS).groupBy("key").agg(F.sum("n").alias("f")).toPandas()
     followers = np.zeros(vocabulary.start + 1)
-    followers[by_id["id"].to_numpy(np.int64)] = by_id["f"]
+    followers[by_id["key"].to_numpy(np.int64)] = by_id["f"]
     # At most 1 / gram_share rows each.
-    two = pairs.filter(F.col("n") >= least).toPandas().sort_values("pair")
-    three = triples.filter(F.col("n") >= least).toPandas().sort_values("gram")
+    two = grams.filter(F.col("kind") == PAIR).select("key", "n", "followers").toPandas().sort_values("key")
+    three = grams.filter(F.col("kind") == TRIPLE).select("key", "n").toPandas().sort_values("key")
     trie = Trie.build(
         vocabulary,
         followers,
-        two["pair"].to_numpy(np.int64),
+        two["key"].to_numpy(np.int64),
         two["n"].to_numpy(np.float64),
         two["followers"].to_numpy(np.float64),
-        three["gram"].to_numpy(np.int64),
+        three["key"].to_numpy(np.int64),
         three["n"].to_numpy(np.float64),
     )
-    rest = None if least == 1 else _rest(vocabulary, trie, pairs, triples, least)
-    return Model(vocabulary, _share_file(spark, trie.to_bytes()), counts, rest)
+    rest = None
+    if least > 1:
+        rest = grams.filter(F.col("kind") == GRAMS).select("kind", "part", "blob")
+        if parts.cut_parts:
+            sliced = grams.filter(F.col("kind") == SLICED).groupBy("key").applyInArrow(_share_slices(parts), "part int, blob binary")
+            rest = rest.unionByName(materialize(sliced, "sliced").select(F.lit(SLICED).alias("kind"), "part", "blob"))
+    return Model(vocabulary, _share_file(spark, trie.to_bytes()), counts, parts, rest, least)
 
 
-def _rest(vocabulary: Vocabulary, trie: Trie, pairs: DataFrame, triples: DataFrame, least: int) -> DataFrame:
-    """(kind, key, delta) of the pairs and triples seen fewer than ``least`` times.
+class _Rest:
+    """What the grams of one part that are not in the trie add to the logarithms found in the trie.
 
     A pair changes the probability of its last word and, as a context, that of the word behind it; a
-    triple changes that of its last word only. Derived from the stored counts whenever it is used, which
-    takes less disk than to store it.
+    triple changes that of its last word only. A text's triple that is not in the trie asks for both, as its
+    first pair is followed by that triple alone; a pair at a text's end asks as a triple with ``NONE``.
     """
-    shared = pairs.sparkSession.sparkContext.broadcast((vocabulary.context_counts, trie.unigram, trie.unigram_weight))
-
-    def known(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context_n, unigram, weight = shared.value
-        for batch in it:
-            pair, n, followers = (batch.column(c).to_numpy() for c in ("pair", "n", "followers"))
-            a, b = pair >> _BITS, pair & ((1 << _BITS) - 1)
-            lower = weight[a] + unigram[b]
-            log_p = np.log10((n - DISCOUNT) / np.maximum(context_n[a], 1) + 10**lower)
-            longer = np.log10(_left_over(followers, n))
-            yield pa.record_batch(
-                [batch.column("pair"), batch.column("n"), pa.array(log_p), pa.array(longer), pa.array(log_p - lower + longer)],
-                names=["pair", "n", "log_p", "weight", "delta"],
-            )
 
-    facts = pairs.mapInArrow(known, "pair long, n long, log_p double, weight double, delta double")
-    lower = F.col("weight") + F.col("log_p")
-    raised = (F.col("n") - DISCOUNT) / F.col("context_n") + F.pow(F.lit(10.0), lower)
-    found = (
-        triples.filter(F.col("n") < least)
-        .select("gram", "n", F.shiftright("gram", _BITS).alias("first"), F.col("gram").bitwiseAND((1 << (2 * _BITS)) - 1).alias("second"))
-        .join(facts.select(F.col("pair").alias("first"), F.col("n").alias("context_n"), "weight"), "first")
-        .join(facts.select(F.col("pair").alias("second"), "log_p"), "second")
-        .select(F.lit(TRIPLE).alias("kind"), F.col("gram").alias("key"), (F.log10(raised) - lower).alias("delta"))
-    )
-    few = facts.filter(F.col("n") < least).select(F.lit(PAIR).alias("kind"), F.col("pair").alias("key"), "delta")
-    return found.unionByName(few)
+    def __init__(self, facts: tuple, least: int, runs: Iterable[bytes], sliced: Iterable[bytes]):
+        found = sorted((unpack(r, np.int64) for r in runs), key=lambda f: f[0][0])
+        self.keys = np.concatenate([np.empty(0, np.uint64), *[f[0] for f in found]])
+        n = np.concatenate([np.empty(0, np.int64), *[f[1] for f in found]])
+        del found
+        # A sliced word has a part of its own: the counts of the pairs that it begins, over all slices.
+        ends = merged(sliced)
+        self.triple_delta, pairs, deltas = np.zeros(len(n)), [], []
+        unit = np.uint64(BITS if len(ends[0]) else 2 * BITS)  # what must not be torn apart: a pair, or all of a word
+        bounds = heads_of(self.keys >> unit)
+        bounds = np.append(bounds[np.unique(np.searchsorted(bounds, np.arange(0, len(n), _REST_KEYS)))[:-1]] if len(n) > _REST_KEYS else bounds[:1], len(n))
+        for x, y in zip(bounds[:-1], bounds[1:], strict=True):
+            self._add(facts, least, slice(x, y), n[x:y], ends, pairs, deltas)
+        self.pairs = np.concatenate([np.empty(0, np.uint64), *pairs])
+        self.pair_delta = np.concatenate([np.empty(0), *deltas])
+
+    def _add(self, facts: tuple, least: int, at: slice, n: np.ndarray, ends: tuple, pairs: list, deltas: list) -> None:
+        """What the grams at some places add."""
+        context_n, unigram, weight = facts
+
+        def log_p(n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return np.log10((n - DISCOUNT) / np.maximum(context_n[a], 1) + 10 ** (weight[a] + unigram[b]))
+
+        keys = self.keys[at]
+        before, middle, behind = ungram(keys)
+        heads = heads_of(keys >> np.uint64(BITS))
+        inner = behind != NONE
+        pair_n, kinds = np.add.reduceat(n, heads), np.add.reduceat(inner.astype(np.int64), heads)
+        longer = np.log10(_left_over(kinds, pair_n))
+        a, b = before[heads], middle[heads]
+        pairs.append(keys[heads] >> np.uint64(BITS))
+        deltas.append(np.where(pair_n < least, log_p(pair_n, a, b) - weight[a] - unigram[b] + longer, 0.0))
+        few = np.flatnonzero(inner & (n < least))
+        if not len(few):
+            return
+        of_pair = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(n))))[few]
+        end = behind if len(ends[0]) else (middle << BITS) | behind
+        known, end_n = ends if len(ends[0]) else summed(end[inner].astype(np.uint64), n[inner])
+        end_n = end_n[places(known, end[few].astype(np.uint64))[1]]
+        lower = longer[of_pair] + log_p(end_n, middle[few], behind[few])
+        self.triple_delta[few + at.start] = np.log10((n[few] - DISCOUNT) / pair_n[of_pair] + 10**lower) - lower
+
+    def of(self, asked: np.ndarray) -> np.ndarray:
+        """The sum of both for sorted grams; nothing for what was never seen."""
+        out = np.zeros(len(asked))
+        for known, delta, keys in ((self.pairs, self.pair_delta, asked >> np.uint64(BITS)), (self.keys, self.triple_delta, asked)):
+            found, at = places(known, keys)
+            out[found] += delta[at[found]]
+        return out
 
 
-#: What a row of ``_score_rows`` is: a document, or something looked up for it.
-DOCUMENT, WORD, PAIR, TRIPLE = range(4)
-_OUT = ["row_key", "kind", "key", "times", "doc"]
+#: What a row of ``_score_rows`` is: a batch's documents, or packed grams or words to be looked up for them. Packed
+#: words and what was found are rows like these.
+DOCUMENTS, ASKED, WORDS, FOUND = range(6, 10)
+_ROWS = "kind int, part int, batch long, blob binary"
 
 
-def _score_rows(vocabulary, trie_file: str, has_rest: bool):
-    """A row per document, and one per rare word and per pair and triple outside of the trie, to be joined to theirs."""
+def _score_rows(vocabulary, trie_file: str, parts: Parts, word_parts: int, has_rest: bool):
+    """Per batch a row with its documents, and one per part with the grams outside of the trie, or the rare words, that
+    are looked up there for them. A batch is known by its partition and number, so the same partitions must come again
+    if they are read again."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
@@ -510,6 +617,7 @@ def _score_rows(vocabulary, trie_file: str, has_rest: bool):
         known[: v.words] = v.counts[: v.words] > 0
         base_of = np.zeros(v.start + 1)
         base_of[: v.words] = np.log10(v.counts[: v.words] + 0.1) - scale
+        number = TaskContext.get().partitionId() << 32
 
         def out(part: pa.RecordBatch, texts: list[list[str]]) -> pa.RecordBatch:
             rows = [ids.of(t) for t in texts]
@@ -524,61 +632,47 @@ def _score_rows(vocabulary, trie_file: str, has_rest: bool):
             log_p, found = trie.log_p_found(second, word, pair, context)
             rare = (word >= v.words) & (word < v.start)
             log_p -= np.where(rare, v.rare_mass[np.minimum(word, v.start - 1)], 0)
-            score = np.add.reduceat(log_p, heads)
-            base = np.add.reduceat(np.where(rare, -scale, base_of[word]), heads)
-            n_known = np.add.reduceat(known[word].astype(np.int64), heads)
-            doc_ids = part.column("doc_id").to_pylist()
-            row_keys, events = [], ([], [], [])
             at_row = np.repeat(np.arange(len(rows)), size)
-            for k, (doc_id, text) in enumerate(zip(doc_ids, part.column("text"), strict=True)):
-                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                key = xxhash.xxh3_64_intdigest(raw + b"\0" + repr(doc_id).encode()) >> 1
-                row_keys.append(key)
-                at = np.flatnonzero(rare[heads[k] : heads[k] + size[k]]).tolist()
-                for w, n in Counter([texts[k][i] for i in at]).items():
-                    h = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42)
-                    events[0].append(key)
-                    events[1].append(h - (1 << 64) if h >= 1 << 63 else h)
-                    events[2].append(n)
-            keys = np.array(row_keys, np.int64)
-            n, m = len(row_keys), len(events[0])
-            # A document's own row meets nothing: its key is spread at random.
-            parts = [
-                (keys, DOCUMENT, keys, np.zeros(n, np.int64)),
-                (np.array(events[0], np.int64), WORD, np.array(events[1], np.int64), np.array(events[2], np.int64)),
-            ]
-            if has_rest:
-                two = (second << _BITS) | word
-                lacking = np.flatnonzero(pair < 0)
-                inner = np.ones(len(word), bool)
-                inner[heads] = False
-                longest = np.flatnonzero(inner & ~found)
-                triple = (second[longest - 1] << (2 * _BITS)) | two[longest]
-                for kind, at, gram in ((PAIR, lacking, two[lacking]), (TRIPLE, longest, triple)):
-                    parts.append((keys[at_row[at]], kind, gram, np.ones(len(at), np.int64)))
-            every = sum(len(x[0]) for x in parts)
-            docs = pa.StructArray.from_arrays(
+            docs = pa.record_batch(
                 [
                     part.column("doc_id"),
-                    pa.array(score),
-                    pa.array(base),
                     pa.array(size.astype(np.int64)),
-                    pa.array(n_known),
+                    pa.array(np.add.reduceat(known[word].astype(np.int64), heads)),
+                    pa.array(np.add.reduceat(np.where(rare, -scale, base_of[word]), heads)),
+                    pa.array(np.add.reduceat(log_p, heads)),
                 ],
-                ["doc_id", "score", "base", "n_tokens", "n_known"],
+                names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
             )
-            columns = [
-                pa.array(np.concatenate([x[0] for x in parts])),
-                pa.array(np.repeat(np.array([x[1] for x in parts], np.int32), [len(x[0]) for x in parts])),
-                pa.array(np.concatenate([x[2] for x in parts])),
-                pa.array(np.concatenate([x[3] for x in parts])),
-                pa.concat_arrays([docs, pa.nulls(every - n, docs.type)]),
-            ]
-            return pa.record_batch(columns, names=_OUT)
-
-        def pieces(made: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for a in range(0, made.num_rows, _FLUSH_ROWS):
-                yield made.slice(a, _FLUSH_ROWS)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, docs.schema) as stream:
+                stream.write_batch(docs)
+            # Documents pass the parts by; a part of their own spreads them.
+            made = [(DOCUMENTS, -1 - number % parts.number, sink.getvalue().to_pybytes())]
+
+            def ask(kind: int, keys: np.ndarray, rows_: np.ndarray, part_of: np.ndarray) -> None:
+                order = np.argsort(keys, kind="stable")
+                keys, rows_ = keys[order], rows_[order].astype(np.uint32)
+                made.extend((kind, p, pack(keys[at], rows_[at])) for p, at in dealt(part_of[order]))
+
+            places_ = np.flatnonzero(rare).tolist()
+            if places_:
+                flat = [w for t in texts for w in (*t, END)]
+                names = np.array([xxhash.xxh64_intdigest(flat[i].encode("utf-8", "surrogatepass"), 42) for i in places_], np.uint64)
+                ask(WORDS, names, at_row[places_], parts.number + _word_part(names, word_parts))
+            if has_rest:
+                inner = np.ones(len(word), bool)
+                inner[heads] = False
+                longest = np.flatnonzero(inner & ~found)
+                last = np.append(heads[1:], len(word)) - 1
+                last = last[pair[last] < 0]
+                before = np.concatenate([second[longest - 1], second[last]])
+                middle = np.concatenate([second[longest], word[last]])
+                behind = np.concatenate([word[longest], np.full(len(last), NONE)])
+                at = np.concatenate([at_row[longest], at_row[last]])
+                ask(ASKED, gram(before, middle, behind), at, parts.of(before, middle))
+            kinds, where, blobs = zip(*made, strict=True)
+            columns = [pa.array(kinds, pa.int32()), pa.array(where, pa.int32()), pa.array([number] * len(made), pa.int64())]
+            return pa.record_batch([*columns, pa.array(blobs, pa.binary())], names=["kind", "part", "batch", "blob"])
 
         for batch in it:
             start, texts, held = 0, [], 0
@@ -586,10 +680,108 @@ def _score_rows(vocabulary, trie_file: str, has_rest: bool):
                 texts.append(words(text.as_py() or ""))
                 held += len(texts[-1]) + 1
                 if held >= _FLUSH_SCORED:
-                    yield from pieces(out(batch.slice(start, k + 1 - start), texts))
+                    yield out(batch.slice(start, k + 1 - start), texts)
                     start, texts, held = k + 1, [], 0
+                    number += 1
             if texts:
-                yield from pieces(out(batch.slice(start), texts))
+                yield out(batch.slice(start), texts)
+                number += 1
+
+    return run
+
+
+def _word_part(names: np.ndarray, word_parts: int) -> np.ndarray:
+    return (names % np.uint64(word_parts)).astype(np.int64)
+
+
+def _pack_words(first: int, word_parts: int):
+    """Packed (name, count) of words per part."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            names, n = summed(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+            found = [(first + p, pack(names[at], n[at])) for p, at in dealt(_word_part(names, word_parts))]
+            return pa.record_batch(
+                [pa.array([p for p, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=["part", "blob"]
+            )
+
+        for batch in it:
+            held.append((batch.column("name").to_numpy().view(np.uint64), batch.column("n").to_numpy()))
+            size += batch.num_rows
+            if size >= _FLUSH_WORDS:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    return run
+
+
+def _look_up(shared, least: int):
+    """The rows of one part of grams or words, and what batches ask of it: per batch the sums by document."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        by_kind: dict[int, list] = {}  # what is stored under the negative of its kind
+        for kind, batch, blob in zip(table.column("kind").to_pylist(), table.column("batch").to_pylist(), table.column("blob"), strict=True):
+            by_kind.setdefault(kind if batch is not None else -kind, []).append((batch, blob))
+        out = [(DOCUMENTS, batch, blob.as_py()) for batch, blob in by_kind.get(DOCUMENTS, [])]
+
+        def answer(kind: int, value) -> None:
+            for batch, blob in by_kind.get(kind, []):
+                asked, row = unpack(blob.as_py(), np.uint32)
+                at, back = np.unique(row, return_inverse=True)
+                given, known = value(asked)
+                sums = np.bincount(back, given, len(at))
+                some = (sums != 0) if known is None else np.ones(len(at), bool)
+                seen = np.zeros(len(at)) if known is None else np.bincount(back, known, len(at))
+                out.append((FOUND if known is None else WORDS, batch, pack(at[some].astype(np.uint64), sums[some], seen[some].astype(np.uint32))))
+
+        if ASKED in by_kind:
+            runs, sliced = ((blob.as_py() for _, blob in by_kind.get(-kind, [])) for kind in (GRAMS, SLICED))
+            rest = _Rest(shared.value, least, runs, sliced)
+            answer(ASKED, lambda asked: (rest.of(asked), None))
+        if WORDS in by_kind:
+            names, n = merged(blob.as_py() for _, blob in by_kind.get(-WORDS, []))
+
+            def counted(asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                found, at = places(names, asked)
+                c = np.where(found, n[at], 0) if len(names) else np.zeros(len(asked), np.int64)
+                return np.log10(c + 0.1), c > 0
+
+            answer(WORDS, counted)
+        kinds, batches, blobs = zip(*out, strict=True) if out else ([], [], [])
+        return pa.table({"kind": pa.array(kinds, pa.int32()), "batch": pa.array(batches, pa.int64()), "blob": pa.array(blobs, pa.binary())})
+
+    return run
+
+
+def _put_together(total: int):
+    """The documents of one batch with all that was found for them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = list(zip(table.column("kind").to_pylist(), table.column("blob"), strict=True))
+        docs = next(pa.ipc.open_stream(blob.as_py()).read_all() for kind, blob in rows if kind == DOCUMENTS)
+        known, base, score = (docs.column(c).to_numpy().copy() for c in ("n_known", "base_score", "score"))
+        for kind, blob in rows:
+            if kind != DOCUMENTS:
+                at, sums, seen = unpack(blob.as_py(), np.float64, np.uint32)
+                at = at.astype(np.int64)
+                score[at] += sums
+                if kind == WORDS:
+                    base[at] += sums
+                    known[at] += seen
+        return pa.table(
+            {
+                "doc_id": docs.column("doc_id"),
+                "n_tokens": docs.column("n_tokens"),
+                "n_known": known,
+                "train_tokens": np.full(len(known), total, np.int64),
+                "base_score": base,
+                "score": score,
+            }
+        )
 
     return run
 
@@ -600,37 +792,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Columns: doc_id, n_tokens, n_known, train_tokens, base_score, score.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    v = model.vocabulary
-    shared = docs.sparkSession.sparkContext.broadcast(v)
-    doc = f"struct<doc_id: {kind}, score: double, base: double, n_tokens: bigint, n_known: bigint>"
-    run = _score_rows(shared, model.trie_file, model.rest is not None)
-    rows = docs.select("doc_id", "text").mapInArrow(run, f"row_key long, kind int, key long, times long, doc {doc}")
-    rest = model.counts.select(
-        F.lit(WORD).alias("kind"), F.xxhash64("word").alias("key"), F.lit(0.0).alias("delta"), F.col("n").alias("c")
+    v, parts, context = model.vocabulary, model.parts, docs.sparkSession.sparkContext
+    word_parts = max(1, -(-v.distinct // PART_TOKENS))
+    run = _score_rows(context.broadcast(v), model.trie_file, parts, word_parts, model.rest is not None)
+    asked = docs.select("doc_id", "text").mapInArrow(run, _ROWS)
+    counted = model.counts.select(F.xxhash64("word").alias("name"), "n").mapInArrow(
+        _pack_words(parts.number, word_parts), "part int, blob binary"
     )
+    tables = counted.select(F.lit(WORDS).alias("kind"), "part", "blob")
+    facts = None
     if model.rest is not None:
-        rest = rest.unionByName(model.rest.withColumn("c", F.lit(0).cast("long")))
-    times, word = F.col("times"), F.col("kind") == WORD
-    smoothed = F.log10(F.coalesce("c", F.lit(0)) + 0.1)
-    joined = rows.join(rest, ["kind", "key"], "left").select(
-        "row_key",
-        "doc.doc_id",
-        (F.col("kind") == DOCUMENT).cast("long").alias("copies"),
-        F.coalesce("doc.score", times * F.when(word, smoothed).otherwise(F.coalesce("delta", F.lit(0.0)))).alias("score"),
-        F.coalesce("doc.base", F.when(word, times * smoothed).otherwise(0.0)).alias("base"),
-        F.coalesce("doc.n_tokens", F.lit(0)).alias("n_tokens"),
-        F.coalesce("doc.n_known", F.when(word & (F.col("c") > 0), times).otherwise(0)).alias("n_known"),
-    )
-    # Rows that repeat id and text share a key: all their sums are that many times too large.
-    summed = joined.groupBy("row_key").agg(
-        F.max("doc_id").alias("doc_id"), F.sum("copies").alias("copies"), *[F.sum(x).alias(x) for x in ("score", "base", "n_tokens", "n_known")]
-    )
-    each = summed.select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-    return each.select(
-        "doc_id",
-        (F.col("n_tokens") / F.col("copies")).cast("long").alias("n_tokens"),
-        (F.col("n_known") / F.col("copies")).cast("long").alias("n_known"),
-        F.lit(v.total).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("copies")).alias("base_score"),
-        (F.col("score") / F.col("copies")).alias("score"),
-    )
+        tables = tables.unionByName(model.rest)
+        trie = Trie.open(SparkFiles.get(model.trie_file))
+        facts = context.broadcast((v.context_counts, np.array(trie.unigram), np.array(trie.unigram_weight)))
+    tables = tables.withColumn("batch", F.lit(None).cast("long"))
+    found = asked.unionByName(tables).groupBy("part").applyInArrow(_look_up(facts, model.least), "kind int, batch long, blob binary")
+    schema = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return found.groupBy("batch").applyInArrow(_put_together(v.total), schema)

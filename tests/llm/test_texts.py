@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from cartwise.llm import bpe, langid, ngrams, packing, toxicity
+from cartwise.llm import bpe, langid, ngrams, packing, parts, toxicity
 from cartwise.llm.common import words
 from cartwise.llm.eliasfano import EliasFano
 from tests.llm.conftest import AWKWARD, frame, sentence
@@ -244,3 +244,29 @@ def test_pairs_and_triples_outside_of_the_trie_count_in_full(spark):
         got = [(r.doc_id, r.score) for r in ngrams.score(asked, model).collect()]
         assert [i for i, _ in sorted(got)] == [i for i, _ in sorted(want)]
         assert [s for _, s in sorted(got)] == pytest.approx([s for _, s in sorted(want)], abs=1e-6)
+
+
+def test_grams_of_a_common_middle_word_are_cut(spark):
+    train = spark.createDataFrame([(f"{sentence(k, 9)} to a to b to {sentence(k % 3, 4)}",) for k in range(60)], "text string")
+    asked = train.limit(20).selectExpr("xxhash64(text) doc_id", "concat(text, ' to a to') text")
+    # One part for all, or many, of which some hold a slice of the word "to".
+    one, many = (ngrams.train(train, 1e-9, 0.02, part_tokens=n) for n in (10**6, 20))
+    assert one.parts.number == 1 and many.parts.cut_parts > 1
+    got = [{r.doc_id: r.score for r in ngrams.score(asked, m).collect()} for m in (one, many)]
+    assert got[1] == pytest.approx(got[0], abs=1e-9) and len(got[0]) == asked.distinct().count()
+
+
+def test_grams_take_few_bytes(spark):
+    """All that is stored of a corpus without repeats: one pair and one triple per token."""
+    rng = np.random.default_rng(5)
+    texts = [(" ".join(f"w{i}" for i in rng.integers(0, 3000, 400)),) for _ in range(250)]
+    model = ngrams.train(spark.createDataFrame(texts, "text string"), 1e-9, 1e-3)
+    assert model.rest.selectExpr("sum(length(blob)) n").first().n < 8 * 100_000
+
+
+def test_packed_runs_come_back():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 1000):
+        keys, counts = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)), rng.integers(1, 1 << 40, n)
+        back = parts.unpack(parts.pack(keys, counts, counts / 7), np.int64, np.float64)
+        assert all((x == y).all() and len(x) == n for x, y in zip(back, (keys, counts, counts / 7), strict=True))
