@@ -368,3 +368,14 @@ def test_cleaning_keeps_columns_with_clashing_names(spark):
     )
     out = {r.doc_id: r for r in passages.clean(docs, passages.find(docs)).collect()}
     assert out[1].text == text and out[2].text == "" and out[2].cuts == "b" and out[2].text_id == "d"
+
+
+def test_signatures_and_sets_of_many_lines_are_those_of_each():
+    rng = np.random.default_rng(2)
+    some = ["".join(rng.choice(list("ab cé\U0001f600\ud800"), n)).strip() or "x" for n in rng.integers(1, 60, 300)] + ["a" * 50, "b" * 40_000, "c"]
+    family = lines._family()
+    got = np.concatenate([family.signatures(*lines.runs_of(part)) for part in lines._chunks(some)])
+    assert (got == np.stack([family.signature(lines.character_runs(x)) for x in some])).all()
+    for one, many in zip(map(lines.character_shingles, some), lines.character_sets(some), strict=True):
+        assert one.tolist() == many.tolist()
+    assert lines.character_sets([]) == []
