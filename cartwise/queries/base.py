@@ -144,7 +144,7 @@ def log_purchase_gaps(spark, sf):
     )
     columns = [item.split()[0] for item in files.PURCHASE_LOG.split(", ")]
     numbered = log.withColumn("order_id", F.col("order_number")).select(*columns)
-    files.write_csv(numbered, path, header=False, null="\\N")
+    files.write_csv(numbered, path, header=False, null="\\N", codec="gzip")
     return gaps.purchase_gaps(from_log(files.read_log(spark, path)).prior)
 
 

@@ -112,3 +112,16 @@ def test_saved_baskets_serve_another_session(spark, loaded, tmp_path):
     want = sorted(map(tuple, stats.pairs(loaded["csv"].lines).collect()))
     assert sorted(map(tuple, stats.pairs(other.lines).collect())) == want
     assert marts.compact_mart(other).count() == marts.compact_mart(loaded["csv"]).count()
+
+
+def test_the_next_purchase_of_a_log_is_found_without_joining_lines_with_lines(loaded):
+    star = loaded["star"]
+    ranks = marts.customer_ranks(star.orders)
+    log = splits.purchase_log(star, ranks)
+    plan = log._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Join" in x and "pair_nth" in x]
+    # Long histories are cut; the rows are the same.
+    cut = splits.purchase_log(Baskets(star.products, star.orders, star.lines, 10**9), ranks)
+    assert sorted(map(repr, log.collect())) == sorted(map(repr, cut.collect()))
+    following = {(r.user_id, r.product_id, r.visit_date): r.cust_prod_lead_date for r in log.collect()}
+    assert any(following.values()) and all(d is None or d >= k[2] for k, d in following.items())
